@@ -94,3 +94,74 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode(F.concat(
             F.lit("def before_"), doc, F.lit('():\n    """'), safe, F.lit('"""\ndef after_'), doc,
             F.lit("(): pass\n")), "UTF-8").alias("content"))
+
+
+def supplier_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paths, markers): one source file per supplier; some suppliers and some
+    nations are project roots."""
+    rows = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('ws/n', s_nationkey) AS nation", "concat('ws/n', s_nationkey, '/s', s_suppkey) AS home",
+        "s_nationkey", "s_suppkey")
+    marked = rows.where("s_nationkey % 3 = 0").selectExpr("nation AS dir").unionByName(
+        rows.where("s_suppkey % 5 = 0").selectExpr("home AS dir")).distinct()
+    return rows.selectExpr("concat(home, '/src/f.py') AS path"), marked
+
+
+SUPPLIER_FILES = ["src/f.py", "build/o.py", "a.gen.py", "keep.gen.py", ".hid/h.py"]
+
+
+def supplier_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(files, ignore lines): five files per supplier; generated files are
+    ignored everywhere but one, ``build/`` in nations with even numbers."""
+    rows = table(spark, sf_dir, "supplier")
+    names = F.explode(F.lit(SUPPLIER_FILES)).alias("name")
+    files = rows.select("s_nationkey", "s_suppkey", names).selectExpr(
+        "concat('ws/n', s_nationkey, '/s', s_suppkey, '/', name) AS path", "'python' AS lang")
+    top = rows.selectExpr("inline(array(struct('ws' AS dir, 1L AS rank, '*.gen.py' AS line),"
+                          " struct('ws' AS dir, 2L AS rank, '!keep.gen.py' AS line)))")
+    even = rows.where("s_nationkey % 2 = 0").selectExpr(
+        "concat('ws/n', s_nationkey) AS dir", "1L AS rank", "'build/' AS line")
+    return files, top.unionByName(even).distinct()
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change per event: an error deletes the file, all else rewrites it."""
+    # Times without a zone: read as UTC whatever the session says.
+    micros = "unix_micros(CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP))"
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('u', user_id, '/f', event_id % 7, '.py') AS path",
+        f"{micros} DIV 1000000 AS mtime_secs", f"{micros} % 1000000 * 1000 AS mtime_nanos",
+        "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op",
+        "encode(concat('def ev_', event_id, '(): pass\n'), 'UTF-8') AS content")
+
+
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region hierarchy as a table of tree nodes, one file per region."""
+    region, nation, customer, orders, lineitem = (
+        table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
+    nations = nation.selectExpr("n_nationkey", "n_name", "n_regionkey AS region")
+    customers = customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    items = lineitem.withColumn("i", F.row_number().over(order)).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def nodes(rows, file, node_id, parent_id, field, kind, text):
+        return rows.selectExpr(
+            f"concat('region_', {file}) AS file", f"CAST({node_id} AS BIGINT) AS node_id",
+            f"CAST({parent_id} AS BIGINT) AS parent_id", f"CAST({field} AS STRING) AS field", f"'{kind}' AS type",
+            f"CAST({text} AS STRING) AS text", "1L AS start_line", "1L AS end_line", f"CAST({node_id} AS BIGINT) AS pos")
+
+    out = nodes(region, "r_regionkey", "0", "null", "null", "region", "r_name")
+    for part in (
+        nodes(nations, "region", "1 + n_nationkey", "0", "null", "nation", "n_name"),
+        nodes(customers, "region", "1000 + c_custkey", "1 + n_nationkey", "null", "customer", "c_name"),
+        nodes(customers, "region", "1000000000000 + 1000 + c_custkey", "1000 + c_custkey", "'segment'", "segment",
+              "c_mktsegment"),
+        nodes(placed, "region", "10000000 + o_orderkey", "1000 + c_custkey", "null", "order", "o_orderkey"),
+        nodes(placed, "region", "1000000000000 + 10000000 + o_orderkey", "10000000 + o_orderkey", "'status'", "status",
+              "o_orderstatus"),
+        nodes(items, "region", "1000000000 + l_orderkey * 1000 + i", "10000000 + o_orderkey", "null", "item",
+              "l_partkey"),
+    ):
+        out = out.unionByName(part)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpora.templates import LANG_ORDER, PLANTED
+from corpora.templates import LANG_ORDER, PLANTED, TEMPLATES
 from srcatlas.functions.langs import EXTENSIONS
 
 N = "replace(p_name, ' ', '_')"
@@ -53,3 +53,16 @@ def order_lines() -> str:
     """Numbered order lines: l_orderkey, l_partkey, l_linenumber, i."""
     return ("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey "
             "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem")
+
+
+def written_files() -> str:
+    """Path, language and size of the files written for a tree scan: each part
+    file, and a copy of it under a name that Spark's own listing would skip."""
+    sizes = ", ".join("('{}', '{}')".format(lang, ("\n".join(lines) + "\n").replace("'", "''"))
+                      for lang, lines in TEMPLATES.items())
+    size = "strlen(replace(replace(t.body, '{k}', f.k::VARCHAR), '{n}', f.n))::BIGINT"
+    join = f"FROM ({part_files()}) f JOIN (VALUES {sizes}) AS t(lang, body) ON f.lang = t.lang"
+    first = f"SELECT f.path AS path, f.lang AS lang, {size} AS length {join}"
+    copy = (f"SELECT array_to_string(list_slice(string_split(f.path, '/'), 1, 3), '/') || '/_k' || f.k || "
+            f"'/__init__.py' AS path, 'python' AS lang, {size} AS length {join}")
+    return f"{first} UNION ALL {copy}"

@@ -115,3 +115,28 @@ PLANTED = {
 }
 
 LANG_ORDER = sorted(TEMPLATES)
+
+# Every identifier with the part key, outside comments and strings: (name, lines)
+MENTIONS = {
+    "rust": [
+        ("T{k}", [2, 5]), ("E{k}", [3]), ("R{k}", [4, 5]), ("sig_{k}", [4, 6]), ("helper_{k}", [6]), ("go_{k}", [6]),
+        ("C{k}", [8]), ("S{k}", [9]), ("A{k}", [10]), ("m{k}", [11]), ("{n}_{k}", [11]), ("mac{k}", [12]),
+    ],
+    "python": [("K{k}", [2]), ("meth_{k}", [3]), ("{n}_{k}", [5]), ("helper_{k}", [6])],
+    "javascript": [("K{k}", [2]), ("meth_{k}", [3]), ("{n}_{k}", [5]), ("helper_{k}", [5])],
+    "typescript": [
+        ("I{k}", [2]), ("A{k}", [3]), ("E{k}", [4]), ("K{k}", [5]), ("meth_{k}", [6]), ("{n}_{k}", [8]),
+    ],
+    "go": [("T{k}", [3, 7]), ("G{k}", [5]), ("M{k}", [7]), ("{n}_{k}", [8])],
+    "c": [("T{k}", [2, 4]), ("E{k}", [3]), ("A{k}", [3]), ("{n}_{k}", [4]), ("helper_{k}", [5])],
+    "cpp": [
+        ("ns{k}", [2]), ("K{k}", [3]), ("T{k}", [4]), ("E{k}", [5]), ("K{k}::m", [6]), ("helper_{k}", [6]),
+        ("{n}_{k}", [7]),
+    ],
+    "swift": [
+        ("T{k}", [2]), ("K{k}", [3]), ("B{k}", [4]), ("E{k}", [5]), ("P{k}", [6]), ("A{k}", [7]), ("{n}_{k}", [8]),
+    ],
+    "bash": [("{n}_{k}", [2]), ("g{k}", [5])],
+}
+# Identifiers of the templates that end in digits of their own.
+FIXED_NAMES = ["i32"]

@@ -103,7 +103,8 @@ def with_neighbours(tokens: DataFrame, before: int, after: int) -> DataFrame:
     cols = [f"lag(text, {k}) OVER {BY_FILE} AS p{k}" for k in range(1, before + 1)]
     cols += [f"lead(text, {k}) OVER {BY_FILE} AS n{k}" for k in range(1, after + 1)]
     cols += [f"lag(line_end, {k}) OVER {BY_FILE} AS p{k}_line_end" for k in range(2, before + 1)]
-    cols += [f"lag({c}, 1) OVER {BY_FILE} AS p1_{c}" for c in ("cls", "line", "pos")]
+    cols += [f"lag({c}, 1) OVER {BY_FILE} AS p1_{c}" for c in ("cls", "line", "pos", "at")]
+    cols += [f"lag(cls, 2) OVER {BY_FILE} AS p2_cls"] if before > 1 else []
     cols += [f"lag(line, 2) OVER {BY_FILE} AS p2_line"] if before > 1 else []
     cols += [f"lead({c}, 1) OVER {BY_FILE} AS n1_{c}" for c in ("cls", "line", "pos")]
     starts = f"coalesce(line > lag(line_end, 1) OVER {BY_FILE}, true) AS starts_line"
