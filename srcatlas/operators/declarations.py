@@ -263,13 +263,14 @@ def extract_symbols(files: DataFrame, lang: str | None = None, cap: int | None =
                     ordered: bool = True, clustered: bool = False) -> DataFrame:
     """Symbols of a corpus as (name, kind, file, line, pos)."""
     langs = [lang] if lang else None
-    out = declarations(positioned(files, langs, clustered), langs)
-    if ordered:
-        # A range sort samples its input first. This exchange, of declarations
-        # only, keeps the sample from computing the tokens a second time.
-        out = out.repartition(partition_count(files.sparkSession), "file")
-    out = cap_per_file(out, cap).select("name", "kind", "file", "line", "pos")
-    return out.orderBy("file", "line", "pos") if ordered else out
+    out = cap_per_file(declarations(positioned(files, langs, clustered), langs), cap)
+    out = out.select("name", "kind", "file", "line", "pos")
+    if not ordered:
+        return out
+    # A range sort samples its input first. This exchange, of declarations
+    # only, keeps the sample from computing the tokens a second time. By two
+    # keys, because an exchange by file alone is already there and is dropped.
+    return out.repartition(partition_count(files.sparkSession), "file", "line").orderBy("file", "line", "pos")
 
 
 _DEFINITION = "STRUCT<name: STRING, kind: STRING, line: BIGINT, pos: BIGINT, head: STRUCT<line: BIGINT, at: BIGINT>>"

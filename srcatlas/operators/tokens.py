@@ -26,8 +26,8 @@ def partition_count(spark: SparkSession) -> int:
 
     Stated explicitly, because adaptive execution would merge partitions by the
     size of the content, while the work is done on tokens, ten times as large.
-    At scale set ``spark.sql.shuffle.partitions`` (or the adaptive initial
-    partition number) to about one partition per 32 MB of source text.
+    At scale ``srcatlas.configure(spark, source_bytes)`` sets the number that
+    is read here.
     """
     default = spark.conf.get("spark.sql.shuffle.partitions")
     return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", default) or default)
@@ -53,10 +53,13 @@ def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool
     content = F.col("src") if "src" in files.columns else source_text(F.col("content"))
     chosen = files.where(F.col("lang").isin(langs) if langs else F.col("lang").isNotNull())
     chosen = chosen.select(F.col("path").alias("file"), "lang", content.alias("src"))
+    # Everything about the whole text is computed here, so that the rows of the
+    # exploded tokens do not carry it along.
+    chosen = chosen.withColumn("valid", F.is_valid_utf8("src"))
     if not clustered:
         chosen = chosen.repartition(partition_count(files.sparkSession), "file")
     return chosen.select(
-        "file", "lang", F.is_valid_utf8("src").alias("valid"),
+        "file", "lang", "valid",
         F.posexplode(cut(F.col("lang"), F.col("src"), langs)).alias("pos", "raw"))
 
 

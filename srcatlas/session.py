@@ -10,13 +10,26 @@ SETTINGS = {
     # A parent node may have a third of all nodes as children: split such join
     # keys even where that costs another exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffled content grows about ten-fold when it is cut into tokens, and it
+    # is compressed while adaptive execution measures it: aim at less.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # The JVM does not compile methods above 8000 bytes of byte code. Beyond
     # that, generated code that Spark can split is several times as fast.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+TEXT_PER_PARTITION = 64 << 20
+MOST_PARTITIONS = 100_000
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, source_bytes: int | None = None) -> SparkSession:
+    """Applies the settings. With the size of the source text, also raises the
+    number of shuffle partitions to one per 64 MB, so that the sort of the
+    tokens of one partition stays in memory or spills little."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if source_bytes:
+        wanted = min(MOST_PARTITIONS, source_bytes // TEXT_PER_PARTITION + 1)
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
