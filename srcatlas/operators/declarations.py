@@ -25,7 +25,7 @@ SO_FAR = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def _in(column: str, words: str) -> str:
+def words_in(column: str, words: str) -> str:
     """``column IN (...)`` for a blank-separated word list; null counts as ''."""
     return f"coalesce({column}, '') IN ({', '.join(repr(w) for w in words.split())})"
 
@@ -59,8 +59,8 @@ class Rule:
 def _starts_statement(k: int) -> str:
     """Does the k-th token before the name start a JavaScript statement?"""
     q = f"p{k + 1}"
-    return (f"({q} IS NULL OR {_in(q, JS_STATEMENT_STARTS)}"
-            f" OR (p{k}_line > {q}_line_end AND NOT {_in(q, JS_CONTINUES)}))")
+    return (f"({q} IS NULL OR {words_in(q, JS_STATEMENT_STARTS)}"
+            f" OR (p{k}_line > {q}_line_end AND NOT {words_in(q, JS_CONTINUES)}))")
 
 
 _JS_FUNCTION = f"p1 = 'function' AND ({_starts_statement(1)} OR (p2 = 'async' AND {_starts_statement(2)}))"
@@ -111,7 +111,7 @@ NAME_RULES = {
     ],
     "swift": [
         Rule("struct", "p1 = 'struct'"),
-        Rule("class", f"p1 = 'class' AND NOT {_in('text', SWIFT_MEMBERS)}"),
+        Rule("class", f"p1 = 'class' AND NOT {words_in('text', SWIFT_MEMBERS)}"),
         Rule("class", "p1 = 'actor' AND n1 IN ('{', ':', '<')"),
         Rule("enum", "p1 = 'enum'"),
         Rule("type", "p1 = 'extension'"),
@@ -121,7 +121,7 @@ NAME_RULES = {
     ],
     "bash": [
         Rule("fn", "n1 = '(' AND n2 = ')' AND coalesce(p1, '') <> 'function'"),
-        Rule("fn", f"p1 = 'function' AND (p2 IS NULL OR {_in('p2', BASH_COMMAND_STARTS)} OR p1_line > p2_line_end)"),
+        Rule("fn", f"p1 = 'function' AND (p2 IS NULL OR {words_in('p2', BASH_COMMAND_STARTS)} OR p1_line > p2_line_end)"),
     ],
 }
 
@@ -141,9 +141,9 @@ _IN_GROUP = ("(lang = 'go' AND cls = 'ident' AND paren > 0 AND coalesce(n1, '')
              " AND (starts_line OR p1 IN ('(', ';')))")
 # A TypeScript member whose type parameters come before its parameter list.
 _GENERIC = ("(lang = 'typescript' AND cls = 'ident' AND n1 = '<'"
-            f" AND (starts_line OR {_in('p1', TS_MEMBER_STARTS)}))")
-_STRUCTURAL = (f"({_in('lang', NESTED_LANGS)} AND ({OPENS} OR {CLOSES} OR text = ';'"
-               f" OR (lang = 'rust' AND text = '=') OR (lang = 'swift' AND {_in('text', SWIFT_MEMBERS)})))")
+            f" AND (starts_line OR {words_in('p1', TS_MEMBER_STARTS)}))")
+_STRUCTURAL = (f"({words_in('lang', NESTED_LANGS)} AND ({OPENS} OR {CLOSES} OR text = ';'"
+               f" OR (lang = 'rust' AND text = '=') OR (lang = 'swift' AND {words_in('text', SWIFT_MEMBERS)})))")
 
 
 # Where an item starts: at its line, in C and C++ after the previous statement.
@@ -186,23 +186,23 @@ _NOTHING_WAITS = _waiting(*["CAST(null AS STRING)"] * 3, *["CAST(null AS BIGINT)
 # The name before my pair of parentheses, as ``own``.
 _JS_METHOD = (
     "(NOT edge AND text = ')' AND lang IN ('javascript', 'typescript') AND own.cls = 'ident'"
-    f" AND NOT {_in('own.name', JS_CONTROL)} AND NOT {_in('own.p1', 'function new . ?.')}"
+    f" AND NOT {words_in('own.name', JS_CONTROL)} AND NOT {words_in('own.p1', 'function new . ?.')}"
     " AND NOT (coalesce(own.p1, '') = '*' AND coalesce(own.p2, '') = 'function')"
-    f" AND (n1 = '{{' OR (lang = 'typescript' AND n1 = ':' AND (own.starts OR {_in('own.p1', TS_MEMBER_STARTS)}))))")
+    f" AND (n1 = '{{' OR (lang = 'typescript' AND n1 = ':' AND (own.starts OR {words_in('own.p1', TS_MEMBER_STARTS)}))))")
 _AT_FILE_LEVEL = ("(encl IS NULL OR (encl.text = '{' AND (encl.p1 = 'namespace'"
                   " OR coalesce(encl.p2, '') IN ('namespace', 'extern'))))")
-_TYPED_NAME = f"(own.cls = 'ident' AND own.p1 IS NOT NULL AND NOT {_in('own.p1', C_NOT_BEFORE_NAME)})"
+_TYPED_NAME = f"(own.cls = 'ident' AND own.p1 IS NOT NULL AND NOT {words_in('own.p1', C_NOT_BEFORE_NAME)})"
 _C_FUNCTION = (
     f"(NOT edge AND text = ')' AND {_AT_FILE_LEVEL} AND ("
     f"(lang = 'c' AND {_TYPED_NAME} AND n1 IN ('{{', '__attribute__')) OR "
-    f"(lang = 'cpp' AND {_in('n1', CPP_AFTER_PARAMETERS)} AND ({_TYPED_NAME}"
-    f" OR (own.cls = 'qualified' AND NOT {_in('own.p1', ': , * & && = . ->')})))))")
+    f"(lang = 'cpp' AND {words_in('n1', CPP_AFTER_PARAMETERS)} AND ({_TYPED_NAME}"
+    f" OR (own.cls = 'qualified' AND NOT {words_in('own.p1', ': , * & && = . ->')})))))")
 
 _WAITS = f"""CASE
     WHEN NOT edge AND rule.need IS NOT NULL THEN {_waiting('rule.kind', 'rule.need', 'text', 'line', 'pos', 'head')}
     WHEN {_JS_METHOD} THEN {_waiting("'method'", "'{'", 'own.name', 'own.line', 'own.pos', 'own.head')}
     WHEN {_C_FUNCTION} THEN {_waiting("'fn'", "'{'", 'own.name', 'own.line', 'own.pos', 'own.head')}
-    WHEN {_STOPS} OR rule IS NOT NULL OR (lang = 'swift' AND {_in('text', SWIFT_MEMBERS)}) THEN {_NOTHING_WAITS}
+    WHEN {_STOPS} OR rule IS NOT NULL OR (lang = 'swift' AND {words_in('text', SWIFT_MEMBERS)}) THEN {_NOTHING_WAITS}
     END"""
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from srcatlas.functions.langs import resolve_lang
 from srcatlas.functions.paths import decode_capture, path_scope, source_text
-from srcatlas.operators.declarations import Rule, definition_spans
+from srcatlas.operators.declarations import TS_MEMBER_STARTS, Rule, definition_spans, words_in
 from srcatlas.operators.tokens import BY_FILE, captured, positioned, with_neighbours
 
 MAX_CAPTURES = 500
@@ -111,7 +111,7 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
     rows = rows.where("text IN ('(', ')')")
     level = "(PARTITION BY file, paren, brace ORDER BY pos ROWS UNBOUNDED PRECEDING)"
     opened = ("named_struct('cls', p1_cls, 'name', p1, 'pos', p1_pos, 'line', p1_line, 'at', p1_at, 'before', p2,"
-              " 'before_cls', p2_cls, 'brace', brace)")
+              " 'before_cls', p2_cls, 'brace', brace, 'starts', coalesce(p1_line > p2_line_end, true))")
     rows = rows.selectExpr("*", f"last(CASE WHEN text = '(' THEN {opened} END, true) OVER {level} AS own")
     rows = rows.where("text = ')' AND own.cls = 'ident'")
     if name is not None:
@@ -124,6 +124,8 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
         # A name before a parameter list is a declaration, not a call.
         if lang in ("javascript", "typescript", "c", "cpp"):
             rows = rows.where("coalesce(n1, '') <> '{'")
+        if lang == "typescript":
+            rows = rows.where(f"NOT (coalesce(n1, '') = ':' AND (own.starts OR {words_in('own.before', TS_MEMBER_STARTS)}))")
         if lang in ("c", "cpp"):
             rows = rows.where(f"coalesce(own.before_cls, '') <> 'ident' OR own.before IN {_C_KEYWORDS}")
             rows = rows.where("NOT (own.brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
