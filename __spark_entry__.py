@@ -7,6 +7,7 @@ source text.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 import tempfile
@@ -27,6 +28,12 @@ from srcatlas.plans import index as plans
 from srcatlas.sources import store, tree
 from srcatlas.streaming import feed
 
+# The training-text operators may be taken out of the library.
+llm = None
+if importlib.util.find_spec("srcatlas.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from srcatlas.llm import queries as llm
+
 SYMBOL = ["name", "kind", "file", "line"]
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -319,7 +326,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     def configured(query):
         return lambda spark, sf: query(configure(spark), sf)
-    return {name: configured(query) for name, query in _QUERIES.items()}
+    out = {name: configured(query) for name, query in _QUERIES.items()}
+    if llm:
+        out |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 # --------------------------------------------------------------------- oracles
@@ -473,4 +483,4 @@ def oracle_sql() -> dict[str, str]:
     out["scan_corpus"] = cq.written_files()
     for lang in LANG_ORDER:
         out[f"symbols_{lang}"] = f"SELECT name, kind, file, line FROM ({cq.planted(lang)})"
-    return out
+    return out | llm.SQL if llm else out
