@@ -8,7 +8,7 @@ reuses the range partitioning, so whole texts are shuffled once.
 A text that very many rows share must not meet in one partition. The most
 frequent texts (by a hash, counted with map-side partial sums; at most
 ``HEAVY_KEYS`` of them, so the list has a fixed size) get a salt after the
-text in the sort key. Their rows are compared in full within each salt; the
+text's hash in the sort key. Their rows are compared in full within each salt; the
 salts of one text, at most ``HEAVY_KEYS * SALTS`` rows, are then joined by the
 SHA-256 of the text.
 """
@@ -22,6 +22,7 @@ from .common import lower_ascii, private, stored, table
 HEAVY_KEYS = 1000
 HEAVY_ROWS = 200
 SALTS = 64
+HEAD = 24
 
 
 def copy_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -38,10 +39,12 @@ def copy_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     rows = private(docs, "doc_id", "text").select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
     heavy = _heavy_texts(docs)
     salted = rows.withColumn("h", F.xxhash64(F.lower("norm"))).join(F.broadcast(heavy), "h", "left").select(
-        "doc_id", "norm", F.when(F.col("heavy"), (F.monotonically_increasing_id() % SALTS).cast("int")).otherwise(0).alias("salt"), "heavy")
-    # equal texts become adjacent; the window compares neighbours in full
-    ranged = salted.repartitionByRange("norm", "salt")
-    by_text = Window.partitionBy("norm", "salt")
+        "doc_id", "norm", "h", F.when(F.col("heavy"), (F.monotonically_increasing_id() % SALTS).cast("int")).otherwise(0).alias("salt"), "heavy")
+    # Splitters are sampled on the driver, so they are the first bytes of a text and a hash, not whole texts.
+    # Equal texts become adjacent; the window compares neighbours in full.
+    order = ["head", "h", "salt"]
+    ranged = salted.withColumn("head", F.substring("norm", 1, HEAD)).repartitionByRange(*order)
+    by_text = Window.partitionBy(*order, "norm")
     first = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     sorted_rows = ranged.select(
         "doc_id", "salt", "heavy", "norm", F.row_number().over(by_text.orderBy(first)).alias("nth"),
