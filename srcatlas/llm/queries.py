@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, sharding, simhash, url_filter
+from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {f.__name__: f for f in (
-    decontamination.op1_decontamination, simhash.op4_simhash_near_dedup, url_filter.op6_url_filter, exact_dedup.op7_exact_dedup,
+    decontamination.op1_decontamination, toxicity.op2_toxicity, simhash.op4_simhash_near_dedup,
+    quality.op5_quality_classifier, url_filter.op6_url_filter, exact_dedup.op7_exact_dedup,
     mixing.op9_mixing, sharding.op10_sharding,
 )}
 
