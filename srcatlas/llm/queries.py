@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES = {f.__name__: f for f in (
     decontamination.op1_decontamination, toxicity.op2_toxicity, simhash.op4_simhash_near_dedup,
     quality.op5_quality_classifier, url_filter.op6_url_filter, exact_dedup.op7_exact_dedup,
-    mixing.op9_mixing, sharding.op10_sharding,
+    substring_dedup.op8_substring_dedup,     mixing.op9_mixing, sharding.op10_sharding,
 )}
 
 SQL = {
