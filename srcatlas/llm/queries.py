@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {f.__name__: f for f in (
-    decontamination.op1_decontamination, toxicity.op2_toxicity, simhash.op4_simhash_near_dedup,
+    decontamination.op1_decontamination, toxicity.op2_toxicity, token_counts.op3_token_counts, simhash.op4_simhash_near_dedup,
     quality.op5_quality_classifier, url_filter.op6_url_filter, exact_dedup.op7_exact_dedup,
     substring_dedup.op8_substring_dedup,     mixing.op9_mixing, sharding.op10_sharding,
 )}
