@@ -53,6 +53,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def random_rows(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the smallest ``h`` among a share chosen by h.
+
+    The share follows from the number of rows, so what the tasks send to sort
+    out the smallest is near ``most`` rows in all, however many tasks there are.
+    """
+    span = 1 << 30
+    share = min(1.0, 1.2 * most / max(1, rows.count()))
+    return rows.where(F.pmod("h", F.lit(span)) < int(share * span)).orderBy("h").limit(most)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns in one struct ``row``, out of the way of working names."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import private, stored, table
+from .common import private, random_rows, stored, table
 from .features import SIZE, calibrate, feature_rows, features, in_fold, keep_rows, score_rows
 
 SAMPLE = 4000
@@ -37,7 +37,7 @@ def sample(rows: DataFrame, most: int = SAMPLE) -> tuple[list[np.ndarray], np.nd
     """Features and labels of at most ``most`` rows a class; all that comes to the driver."""
     x, y = [], []
     for label in (0, 1):
-        for row in rows.where(F.col("y") == label).orderBy("h").limit(most).select("x").collect():
+        for row in random_rows(rows.where(F.col("y") == label), most).select("x").collect():
             x.append(np.frombuffer(row.x, np.int32))
             y.append(label)
     return x, np.array(y)

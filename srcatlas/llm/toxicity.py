@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import private, stored, table
+from .common import private, random_rows, stored, table
 from .features import SIZE, calibrate, feature_rows, in_fold, roots, score_rows
 from .quality import labelled
 
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     prior = known["toxic"] / known["n"]
 
     def fetched(part: DataFrame, most: int, label: str) -> list[tuple[np.ndarray, int]]:
-        few = part.orderBy("h").limit(most).select(F.coalesce("text", F.lit("")).alias("text"), label)
+        few = random_rows(part, most).select(F.coalesce("text", F.lit("")).alias("text"), label)
         return [(np.frombuffer(r.x, np.int32), r[label]) for r in feature_rows(few, label, extract=roots).collect()]
 
     positive = [x for x, _ in fetched(rows.where("y = 1"), POSITIVES, "y")]
