@@ -5,7 +5,8 @@ a grouped sum. The ratios scale the binary features; the hinge-loss model is
 fitted by dual coordinate descent on a sample of at most ``SAMPLE`` rows a
 class (those of the smallest hashes), and its weights are drawn towards their
 mean size as is usual for this model. Scoring is one pass over the documents,
-without a shuffle of texts.
+without a shuffle of texts; training shuffles them only where there are more
+than ``BROADCAST_LABELS`` labels.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .common import private, random_rows, stored, table
 from .features import SIZE, calibrate, feature_rows, features, in_fold, keep_rows, score_rows
 
 SAMPLE = 4000
+BROADCAST_LABELS = 2_000_000
 FOLDS, HELD = 5, 0
 CUT = 0.3
 
@@ -30,6 +32,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held:
     known = private(labels, "doc_id", column).where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("y")).where(~in_fold(F.col("_id"), folds, held)).distinct()
     rows = private(docs, "doc_id", "text")
+    if known.count() <= BROADCAST_LABELS:  # 12 bytes each; beyond, texts are shuffled to their labels
+        known = F.broadcast(known)
     return rows.join(known, F.col("doc_id") == F.col("_id")).select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
 
 
