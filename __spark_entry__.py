@@ -132,7 +132,7 @@ def symbols_of(lang):
 
 
 def symbols_capped(spark, sf):
-    return decl.extract_symbols(cs.nation_files(spark, sf), "python", ordered=False).select(*SYMBOL)
+    return decl.extract_symbols(cs.nation_files(spark, sf), "python", cap=500, ordered=False).select(*SYMBOL)
 
 
 def symbols_in_documents(spark, sf):
@@ -183,7 +183,7 @@ def match_tokens(spark, sf):
 
 
 def match_limit(spark, sf):
-    return structural.match_tokens(cs.call_files(spark, sf), "python", METHOD_CALL)
+    return structural.match_tokens(cs.call_files(spark, sf), "python", METHOD_CALL, limit=500)
 
 
 # --------------------------------------------------------------- tree patterns
@@ -213,6 +213,9 @@ TREE_QUERIES = {
     "match_same_text": _tree_query(
         Node("order", capture="o", children=[Node("item", capture="a"), Node("status", capture="s")]),
         different=[("a", "o")]),
+    "match_same": _tree_query(
+        Node("order", capture="o", children=[Node("item", capture="a"), Node("status", capture="s")]),
+        same=[("a", "o")]),
 }
 
 
@@ -297,6 +300,16 @@ def list_symbols(spark, sf):
     return plans.list_symbols(index, after, "proj/brand1", "rust", ordered=False).select(*SYMBOL)
 
 
+def list_symbols_alias(spark, sf):
+    index, after = _snapshots(spark, sf)
+    return plans.list_symbols(index, after, "proj/brand1", "RS", ordered=False).select(*SYMBOL)
+
+
+def list_symbols_unknown(spark, sf):
+    index, after = _snapshots(spark, sf)
+    return plans.list_symbols(index, after, "proj/brand1", "cobol", ordered=False).select(*SYMBOL)
+
+
 def apply_change_feed(spark, sf):
     base = _scratch(spark)
     rows = cs.change_feed(spark, sf)
@@ -318,7 +331,8 @@ _QUERIES = {f.__name__: f for f in (
     filter_ignored, tokenize, extract_symbols, symbols_capped, symbols_in_documents, definition_spans, symbols_json,
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
-    refresh_index, refresh_scope, rebuild_index, list_symbols, apply_change_feed,
+    refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
+    list_symbols_unknown, apply_change_feed,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
 
 
@@ -453,6 +467,9 @@ def oracle_sql() -> dict[str, str]:
         "match_same_text": _union(*[
             _nodes(capture, text, f"({_ITEMS}) WHERE l_partkey <> o_orderkey") for capture, text in [
                 ("o", "o_orderkey"), ("a", "l_partkey"), ("s", "o_orderstatus")]]),
+        "match_same": _union(*[
+            _nodes(capture, text, f"({_ITEMS}) WHERE l_partkey = o_orderkey") for capture, text in [
+                ("o", "o_orderkey"), ("a", "l_partkey"), ("s", "o_orderstatus")]]),
         "index_roundtrip": _SYMBOLS,
         "symbols_for_prefix": f"{_SYMBOLS} WHERE file LIKE 'proj/brand1%'",
         "cached_mtimes": f"SELECT path, mtime_secs, mtime_nanos FROM ({_FILES}) WHERE k % 10 <> 3 "
@@ -475,6 +492,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_corpus": None,
         "tokenize": None,
     }
+    out["list_symbols_alias"] = out["list_symbols"]
+    out["list_symbols_unknown"] = out["list_symbols"].replace("lang = 'rust' AND ", "")
     mentions = ", ".join(f"('{lang}', '{name}', {line})" for lang, names in MENTIONS.items()
                          for name, lines in names for line in lines)
     out["tokenize"] = (

@@ -68,11 +68,15 @@ def normalize_lang(name: Column) -> Column:
     return _lookup(ALIASES, F.lower(name))
 
 
+def find_lang(name: str) -> str | None:
+    """Driver-side form of ``normalize_lang``."""
+    return next((lang for lang, names in ALIASES.items() if name.lower() in names), None)
+
+
 def resolve_lang(name: str) -> str:
-    """Driver-side form of ``normalize_lang`` for query arguments."""
-    for lang, names in ALIASES.items():
-        if name.lower() in names:
-            return lang
+    """Language for a query argument; an unknown name is an error."""
+    if lang := find_lang(name):
+        return lang
     raise UnknownLanguage(f"unknown language {name!r}; supported: {', '.join(LANGS)}")
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from srcatlas.functions.langs import resolve_lang
 from srcatlas.operators.tokens import BY_FILE, CLOSES, OPENS, RUNNING, captured, partition_count, positioned, with_neighbours
 
 CAP_PER_FILE = 500
@@ -247,7 +248,7 @@ def declarations(tokens: DataFrame, langs: list[str] | None = None) -> DataFrame
     return found.select(captured("sym.name").alias("name"), "sym.kind", "file", "lang", "sym.line", "sym.pos")
 
 
-def cap_per_file(symbols: DataFrame, cap: int | None = CAP_PER_FILE) -> DataFrame:
+def cap_per_file(symbols: DataFrame, cap: int | None = None) -> DataFrame:
     """The first ``cap`` declarations of each file, in source order.
 
     Kept apart from the other windows so that Spark can limit each group while
@@ -259,10 +260,10 @@ def cap_per_file(symbols: DataFrame, cap: int | None = CAP_PER_FILE) -> DataFram
     return symbols.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
 
 
-def extract_symbols(files: DataFrame, lang: str | None = None, cap: int | None = CAP_PER_FILE,
+def extract_symbols(files: DataFrame, lang: str | None = None, cap: int | None = None,
                     ordered: bool = True, clustered: bool = False) -> DataFrame:
     """Symbols of a corpus as (name, kind, file, line, pos)."""
-    langs = [lang] if lang else None
+    langs = [resolve_lang(lang)] if lang else None
     out = cap_per_file(declarations(positioned(files, langs, clustered), langs), cap)
     out = out.select("name", "kind", "file", "line", "pos")
     if not ordered:

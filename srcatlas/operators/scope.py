@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from srcatlas.functions.langs import find_lang
 from srcatlas.functions.paths import ancestors, depth, parent_dir, path_prefix, path_scope
 
 BROADCAST_ROWS = 100_000
@@ -101,7 +102,8 @@ def with_prefix(df: DataFrame, prefix: str, column: str = "path") -> DataFrame:
 
 
 def in_scope(df: DataFrame, scope: str | None, lang: str | None = None, column: str = "path") -> DataFrame:
-    """Rows under a path, and in a language when one is given."""
+    """Rows under a path, and in a language when one is given by any of its names; an unknown name restricts nothing."""
     if scope is not None:
         df = df.where(path_scope(F.col(column), scope))
-    return df if lang is None else df.where(F.col("lang") == lang)
+    known = lang and find_lang(lang)
+    return df.where(F.col("lang") == known) if known else df

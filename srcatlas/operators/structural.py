@@ -72,20 +72,22 @@ def _find_definition(files, name, lang, path, kinds, item_capture, limit):
 
 
 def find_function(files: DataFrame, name: str, lang: str, path: str | None = None,
-                  limit: int | None = MAX_CAPTURES) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Where is the function or method ``name`` defined?"""
     return _find_definition(files, name, lang, path, FUNCTION_KINDS, "@fn", limit)
 
 
 def find_type(files: DataFrame, name: str, lang: str, path: str | None = None,
-              limit: int | None = MAX_CAPTURES) -> DataFrame:
+              limit: int | None = None) -> DataFrame:
     """Where is the struct, enum, class, trait, interface or type ``name`` defined?"""
     return _find_definition(files, name, lang, path, TYPE_KINDS, "@type", limit)
 
 
 def find_impls(files: DataFrame, trait: str | None, lang: str = "rust", path: str | None = None,
-               limit: int | None = MAX_CAPTURES) -> DataFrame:
-    """What implements ``trait`` (a plain name; every trait when None)?"""
+               limit: int | None = None) -> DataFrame:
+    """What implements ``trait`` (a plain name; every trait when None)? Rust only."""
+    if resolve_lang(lang) != "rust":
+        raise ValueError(f"implementations of traits are known for rust only, not {lang!r}")
     chosen = searched(files, lang, path, ["impl"] + ([trait] if trait else []))
     rule = {"rust": [Rule("impl", "p1 IN ('impl', '>', '!') AND n1 = 'for'")]}
     spans = definition_spans(chosen, resolve_lang(lang), extra=rule).where(F.col("kind") == "impl")
@@ -131,10 +133,12 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
             rows = rows.where("NOT (own.brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
         if lang == "go":
             rows = rows.where("coalesce(own.before, '') <> ')'")
+        if lang in ("javascript", "typescript"):
+            rows = rows.where("NOT (own.name = 'async' AND coalesce(n1, '') = '=>')")
         keywords = {
-            "rust": "('if', 'match', 'while', 'for', 'in', 'return', 'fn', 'let', 'move', 'where', 'pub', 'as')",
+            "rust": "('Fn', 'FnMut', 'FnOnce', 'if', 'match', 'while', 'for', 'in', 'return', 'fn', 'let', 'move', 'where', 'pub', 'as')",
             "python": "('if', 'elif', 'while', 'for', 'in', 'not', 'and', 'or', 'return', 'yield', 'lambda', 'assert',"
-                      " 'is', 'del', 'raise', 'await', 'else', 'except', 'import', 'with', 'print')",
+                      " 'is', 'del', 'raise', 'await', 'else', 'except', 'import', 'with')",
         }.get(lang, "('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'func', 'else', 'sizeof', 'in',"
                     " 'typeof', 'await', 'case', 'guard', 'with', 'super', 'import')")
         if name is None:
@@ -144,9 +148,13 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
         "line_end AS end_line", "own.at AS start_at", "until AS end_at")
 
 
+_BASH_RESERVED = ("('if', 'then', 'elif', 'else', 'fi', 'for', 'in', 'do', 'done', 'while', 'until', 'case', 'esac', 'select',"
+                  " 'function', 'time', 'coproc')")
+
+
 def _bash_commands(files: DataFrame, name: str | None) -> DataFrame:
     rows = with_neighbours(positioned(files, ["bash"]), before=2, after=2).where(
-        "cls = 'ident' AND NOT (coalesce(n1, '') = '(' AND coalesce(n2, '') = ')') AND coalesce(n1, '') <> '='"
+        f"cls = 'ident' AND text NOT IN {_BASH_RESERVED} AND NOT (coalesce(n1, '') = '(' AND coalesce(n2, '') = ')') AND coalesce(n1, '') <> '='"
         " AND (starts_line OR p1 IN (';', '{', '(', 'then', 'do', 'else', '&&', '||', '|', '!', '&', 'if', 'while', 'until'))")
     if name is not None:
         rows = rows.where(F.col("text") == name)
@@ -155,14 +163,14 @@ def _bash_commands(files: DataFrame, name: str | None) -> DataFrame:
 
 
 def find_calls(files: DataFrame, name: str | None, lang: str, path: str | None = None,
-               limit: int | None = MAX_CAPTURES) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Where is ``name`` called as a plain function? Captures @fn and @call."""
     chosen = searched(files, lang, path, [name] if name else [])
     return limited(_with_item(chosen, calls(chosen, resolve_lang(lang), name), "@fn", "@call"), limit)
 
 
 def find_method_calls(files: DataFrame, name: str | None, lang: str, path: str | None = None,
-                      limit: int | None = MAX_CAPTURES) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     """Where is ``name`` called on a receiver? Captures @method.
 
     How far the receiver reaches to the left is not resolved, so the whole call
@@ -223,7 +231,7 @@ def _token_rows(files: DataFrame, lang: str, pattern: Sequence[Tok], comments: b
 
 
 def match_tokens(files: DataFrame, lang: str, *patterns: Sequence[Tok], path: str | None = None,
-                 limit: int | None = MAX_CAPTURES, comments: bool = False) -> DataFrame:
+                 limit: int | None = None, comments: bool = False) -> DataFrame:
     """Captures of one or more flat token patterns.
 
     ``patterns`` are lists of ``Tok`` for consecutive tokens, comments skipped.

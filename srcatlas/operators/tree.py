@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from srcatlas.operators.structural import MAX_CAPTURES, limited
+from srcatlas.operators.structural import limited
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def _single(nodes: DataFrame, pattern: Node, same: Sequence[tuple[str, str]], di
 
 
 def match_nodes(nodes: DataFrame, *patterns: Node | AnyOf, same: Sequence[tuple[str, str]] = (),
-                different: Sequence[tuple[str, str]] = (), limit: int | None = MAX_CAPTURES) -> DataFrame:
+                different: Sequence[tuple[str, str]] = (), limit: int | None = None) -> DataFrame:
     """Captures of one or more tree patterns, one row per capture of a match.
 
     ``same`` and ``different`` compare the texts of two captures. A capture

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcatlas.functions.paths import clamp_mtime
-from srcatlas.operators.declarations import CAP_PER_FILE, extract_symbols
+from srcatlas.operators.declarations import extract_symbols
 from srcatlas.operators.scope import in_scope, with_prefix
 from srcatlas.schema import FILES_INDEX, SYMBOLS
 
@@ -89,7 +89,7 @@ def prune_deleted(index: Index, existing: DataFrame, scope: str | None = None, l
 
 
 def refresh_index(index: Index, files: DataFrame, scope: str | None = None, lang: str | None = None,
-                  cap: int | None = CAP_PER_FILE, contents=None) -> Index:
+                  cap: int | None = None, contents=None) -> Index:
     """Brings the index up to date with ``files``, inside a scope if given.
 
     ``contents`` maps listed stale files to files with content; by default the
@@ -108,7 +108,7 @@ def refresh_index(index: Index, files: DataFrame, scope: str | None = None, lang
         .unionByName(fresh.select(*SYMBOL_COLUMNS)))
 
 
-def rebuild_index(files: DataFrame, cap: int | None = CAP_PER_FILE) -> Index:
+def rebuild_index(files: DataFrame, cap: int | None = None) -> Index:
     """An index built from nothing: no comparison, one pass over the files."""
     return Index(listed(files), extract_symbols(files, cap=cap, ordered=False).select(*SYMBOL_COLUMNS))
 
@@ -125,12 +125,14 @@ def symbols_for_prefix(index: Index, prefix: str, ordered: bool = True) -> DataF
 
 
 def list_symbols(index: Index, files: DataFrame | None = None, path: str | None = None, lang: str | None = None,
-                 ordered: bool = True) -> DataFrame:
+                 ordered: bool = True, cap: int | None = None) -> DataFrame:
     """Symbols under a path, after a refresh when ``files`` are given.
 
+    ``lang`` may be any name of a language in any case; an unknown one restricts nothing.
+
     The language restricts the refresh and the answer; the rest of the index
     is left as it is.
     """
     if files is not None:
-        index = refresh_index(index, files, path, lang)
+        index = refresh_index(index, files, path, lang, cap)
     return _symbols_of(in_scope(index.files, path, lang), index, ordered)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from srcatlas.functions.langs import detect_lang
+from srcatlas.functions.paths import clamp_mtime
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.plans.index import Index, drop_files, upsert_files
 from srcatlas.sources.store import BUCKETS, read_index, write_index
@@ -26,25 +27,29 @@ def newest_changes(batch: DataFrame) -> DataFrame:
     return newest.select("path", detect_lang(F.col("path")).alias("lang"), "c.*")
 
 
-def apply_changes(index: Index, batch: DataFrame) -> Index:
+def apply_changes(index: Index, batch: DataFrame, cap: int | None = None) -> Index:
     """One micro-batch applied to an index; older changes than the indexed
-    state of a file are left out."""
+    state of a file are left out. Times are clamped first, as the index holds them."""
+    for name, time in zip(("mtime_secs", "mtime_nanos"), clamp_mtime(F.col("mtime_secs"), F.col("mtime_nanos"))):
+        batch = batch.withColumn(f"_{name}", time.cast(batch.schema[name].dataType))
+    batch = batch.drop("mtime_secs", "mtime_nanos").withColumnsRenamed({"_mtime_secs": "mtime_secs", "_mtime_nanos": "mtime_nanos"})
     known = index.files.select("path", F.struct("mtime_secs", "mtime_nanos").alias("known"))
     changes = newest_changes(batch).join(known, "path", "left").where(
         F.col("known").isNull() | (F.struct("mtime_secs", "mtime_nanos") >= F.col("known"))).drop("known")
     upserts = changes.where(F.col("op") == "upsert")
-    updated = upsert_files(index, upserts, extract_symbols(upserts, ordered=False))
+    updated = upsert_files(index, upserts, extract_symbols(upserts, cap=cap, ordered=False))
     return drop_files(updated, changes.where(F.col("op") == "delete"))
 
 
-def apply_change_feed(feed: DataFrame, directory: str, checkpoint: str, buckets: int = BUCKETS, **trigger):
+def apply_change_feed(feed: DataFrame, directory: str, checkpoint: str, buckets: int = BUCKETS,
+                      cap: int | None = None, **trigger):
     """Starts a query that keeps the index in ``directory`` up to date."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            write_index(apply_changes(read_index(spark, directory), batch), directory, buckets)
+            write_index(apply_changes(read_index(spark, directory), batch, cap), directory, buckets)
         finally:
             batch.unpersist()
 

@@ -8,15 +8,14 @@ from srcatlas.operators.declarations import extract_symbols
 from srcatlas.operators.structural import find_calls, find_type
 
 BASIC = {
-    "sample.rs": ("pub struct Foo {}\npub fn bar() {}\npub enum Baz {}\n",
-                  [("Foo", "struct", 1), ("bar", "fn", 2), ("Baz", "enum", 3)]),
-    "sample.py": ("def greet(name):\n    pass\n\nclass Dog:\n    pass\n",
-                  [("greet", "fn", 1), ("Dog", "class", 4)]),
-    "sample.swift": ("struct Foo {}\nfunc bar() {}\nenum Baz {}\nclass Qux {}\n",
-                     [("Foo", "struct", 1), ("bar", "fn", 2), ("Baz", "enum", 3), ("Qux", "class", 4)]),
-    "src/lib.rs": ("\npub fn greet(name: &str) -> String { format!(\"Hello, {name}!\") }\n"
-                   "pub struct Point { pub x: f64, pub y: f64 }\n",
-                   [("greet", "fn", 2), ("Point", "struct", 3)]),
+    "shelf.rs": ("pub enum Spine {}\npub struct Shelf {}\n\npub fn dust() {}\n",
+                 [("Spine", "enum", 1), ("Shelf", "struct", 2), ("dust", "fn", 4)]),
+    "lamp.py": ("class Lamp:\n    def glow(self):\n        return 1\n\ndef dim(level):\n    return level\n",
+                [("Lamp", "class", 1), ("glow", "fn", 2), ("dim", "fn", 5)]),
+    "lamp.swift": ("class Lamp {}\nenum Hue {}\n\nfunc glow() {}\nstruct Bulb {}\n",
+                   [("Lamp", "class", 1), ("Hue", "enum", 2), ("glow", "fn", 4), ("Bulb", "struct", 5)]),
+    "src/shade.rs": ("pub struct Shade { tint: u8 }\n\npub fn fold(width: &str) -> String { format!(\"<{width}>\") }\n",
+                     [("Shade", "struct", 1), ("fold", "fn", 3)]),
 }
 
 EDGES = {
@@ -196,7 +195,7 @@ def test_long_literal_and_many_tokens(spark):
 
 def test_calls_are_not_definitions(spark):
     files = corpus(spark, {
-        "a.rs": "fn helper() -> i32 { 42 }\npub fn process() -> i32 { helper() }\n",
+        "a.rs": "fn helper(n: u8) -> u8 { n + 9 }\npub fn outer() -> u8 { self_check(); helper(3) }\n",
         "b.c": "int helper(int a) { return 1; }\nint *helper2();\nint go(void) { return helper(2) + x->helper(3); }\n",
         "c.ts": "class A { helper(a: number): void { helper(a); this.helper(1); } }\n",
         "d.go": "func helper() {}\nfunc (t T) helper(x int) {}\nfunc go() { helper(); t.helper(1) }\n",
@@ -206,7 +205,7 @@ def test_calls_are_not_definitions(spark):
         rows = find_calls(files, "helper", lang).collect()
         return [(r.capture, r.text, r.start_line, r.end_line) for r in rows]
 
-    assert at("rust") == [("@fn", "helper", 2, 2), ("@call", "helper()", 2, 2)]
+    assert at("rust") == [("@fn", "helper", 2, 2), ("@call", "helper(3)", 2, 2)]
     assert at("c") == [("@fn", "helper", 3, 3), ("@call", "helper(2)", 3, 3)]
     assert at("typescript") == [("@fn", "helper", 1, 1), ("@call", "helper(a)", 1, 1)]
     assert at("go") == [("@fn", "helper", 3, 3), ("@call", "helper()", 3, 3)]
@@ -218,7 +217,24 @@ def test_unknown_language_is_an_error(spark):
         find_calls(corpus(spark, {"a.rs": ""}), "x", "cobol")
 
 
+def test_more_than_calls_look_like_calls(spark):
+    files = corpus(spark, {
+        "p.py": "print(1)\nfoo(2)\n", "s.sh": "if true; then\n  foo a\nfi\nfor x in 1; do bar; done\n",
+        "j.js": "const f = async (x) => { g(x); };\n", "r.rs": "fn t(f: &dyn Fn(i32)) { g(1); }\n"})
+
+    def names(lang):
+        return sorted(r.text for r in find_calls(files, None, lang).where("capture = '@fn'").collect())
+
+    assert names("python") == ["foo", "print"] and names("javascript") == names("rust") == ["g"]
+    assert not {"if", "then", "fi", "for", "do", "done"} & set(names("bash"))
+
+
+def test_no_cap_unless_asked_for(spark):
+    files = corpus(spark, {"many.py": "".join(f"def f{i}(): pass\n" for i in range(700))})
+    assert extract_symbols(files, "PY").count() == 700 and extract_symbols(files, cap=5).count() == 5
+
+
 def test_comments_only_shift_lines(spark):
-    plain, _ = BASIC["sample.rs"]
+    plain, _ = BASIC["shelf.rs"]
     noisy = "// fn decoy() {}\n" + plain.replace("pub fn", "/* struct No */ pub fn")
     assert symbols(spark, "n.rs", noisy) == [(n, k, line + 1) for n, k, line in symbols(spark, "p.rs", plain)]
