@@ -131,32 +131,33 @@ def _forests(members: pa.Table, radius: int) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, fp, component_id.
+    """One row per row of ``docs``: doc_id, text_hash, fp, component_id, root.
 
     Documents are linked at ``radius`` or fewer differing bits; component_id is
     the smallest doc_id reachable over links. Texts without words have
     fingerprint 0 and are linked like any other. Rows that repeat an id get a
     row each. Null ids take part and never are the smallest; a component of null
-    ids has a null component_id. No rows give no rows.
+    ids has a null component_id. ``root`` is one fingerprint of the component,
+    the same for all its rows. No rows give no rows.
     """
     found = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(stored(close_links(distinct, radius), "close"))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = classes.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return found.join(names, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "component_id")
+    names = classes.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return found.join(names, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id; the same columns.
 
-    Of rows that repeat that id one stays; of a component without ids as well.
+    Of rows that repeat that id one stays, that of the smallest text hash; of a
+    component without ids as well.
     """
     found = near_duplicates(docs, shingle, radius)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("fp").alias("_fp")).distinct()
-    # of several texts with the smallest id of one component, the one of the smallest hash; ids are null for components without
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("text_hash"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1)))
