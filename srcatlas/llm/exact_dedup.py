@@ -8,9 +8,9 @@ reuses the range partitioning, so whole texts are shuffled once.
 A text that very many rows share must not meet in one partition. The most
 frequent texts (by a hash, counted with map-side partial sums; at most
 ``HEAVY_KEYS`` of them, so the list has a fixed size) get a salt after the
-text's hash in the sort key. Their rows are compared in full within each salt; the
-salts of one text, at most ``HEAVY_KEYS * SALTS`` rows, are then joined by the
-SHA-256 of the text.
+text's hash in the sort key, one for each ``HEAVY_ROWS`` rows, however many there
+are. Their rows are compared in full within each salt; the salts of one text are
+then joined by the SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .common import lower_ascii, private, stored, table
 
 HEAVY_KEYS = 1000
 HEAVY_ROWS = 200
-SALTS = 64
 HEAD = 24
 
 
@@ -38,8 +37,8 @@ def copy_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     best = F.max if keep == "largest" else F.min
     rows = private(docs, "doc_id", "text").select("doc_id", lower_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
     heavy = _heavy_texts(docs)
-    salted = rows.withColumn("h", F.xxhash64(F.lower("norm"))).join(F.broadcast(heavy), "h", "left").select(
-        "doc_id", "norm", "h", F.when(F.col("heavy"), (F.monotonically_increasing_id() % SALTS).cast("int")).otherwise(0).alias("salt"), "heavy")
+    salted = rows.withColumn("h", F.xxhash64("norm")).join(F.broadcast(heavy), "h", "left").select(
+        "doc_id", "norm", "h", F.when(F.col("heavy"), F.pmod(F.monotonically_increasing_id(), "salts")).otherwise(0).alias("salt"), "heavy")
     # Splitters are sampled on the driver, so they are the first bytes of a text and a hash, not whole texts.
     # Equal texts become adjacent; the window compares neighbours in full.
     order = ["head", "h", "salt"]
@@ -70,9 +69,9 @@ def _rank(keep: str):
 
 def _heavy_texts(docs: DataFrame) -> DataFrame:
     """Hashes of the most frequent texts; equal normalised texts have equal hashes. At most HEAVY_KEYS rows."""
-    keys = private(docs, "text").select(F.xxhash64(F.lower(lower_ascii(F.coalesce("text", F.lit(""))))).alias("h"))
+    keys = private(docs, "text").select(F.xxhash64(lower_ascii(F.coalesce("text", F.lit("")))).alias("h"))
     counts = keys.groupBy("h").count().where(F.col("count") > HEAVY_ROWS)
-    return counts.orderBy(F.desc("count"), "h").limit(HEAVY_KEYS).select("h", F.lit(True).alias("heavy"))
+    return counts.orderBy(F.desc("count"), "h").limit(HEAVY_KEYS).select("h", F.ceil(F.col("count") / HEAVY_ROWS).alias("salts"), F.lit(True).alias("heavy"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
