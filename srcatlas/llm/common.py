@@ -49,8 +49,9 @@ def private(df: DataFrame, *wanted: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Few rows per Arrow batch: texts may be long, and a batch is held whole by a Python worker."""
+    """Few rows and bytes per Arrow batch: texts may be long, and a batch is held whole by a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
 def random_rows(rows: DataFrame, most: int) -> DataFrame:

@@ -75,7 +75,6 @@ def test_exact_dedup(docs, none):
 def test_exact_dedup_of_heavy_texts(docs, monkeypatch):
     want = _sorted(map(tuple, exact_dedup.copy_groups(docs).collect()))
     monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", 1)
-    monkeypatch.setattr(exact_dedup, "SALTS", 3)
     assert _sorted(map(tuple, exact_dedup.copy_groups(docs).collect())) == want
     smallest = exact_dedup.copy_groups(docs, keep="smallest").where("kept AND group_size > 10").collect()
     assert sorted(r.doc_id for r in smallest) == [3, 601]
@@ -161,6 +160,15 @@ def test_simhash(docs, none, block, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(600))
+    rows = [(1, text), (1, text + " w600"), (1, text), (2, text), (None, text), (None, "z y x w v"), (None, "z y x w v"), (None, "z  y x w v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.root for r in simhash.near_duplicates(docs).collect()}) == 2
+    kept = simhash.without_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("1", "w"), ("None", "z")]
+
+
 def test_covering_masks_miss_no_pair():
     rng = random.Random(1)
     for _ in range(3000):
