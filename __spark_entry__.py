@@ -216,6 +216,7 @@ TREE_QUERIES = {
     "match_same": _tree_query(
         Node("order", capture="o", children=[Node("item", capture="a"), Node("status", capture="s")]),
         same=[("a", "o")]),
+    "match_siblings": _tree_query(Node("order", capture="o", children=[Node("item", capture="a"), Node("item", capture="b")])),
 }
 
 
@@ -246,7 +247,24 @@ def scan_corpus(spark, sf):
 def index_roundtrip(spark, sf):
     where = _scratch(spark)
     store.write_index(plans.rebuild_index(cs.part_files(spark, sf)), where, buckets=8)
-    return store.read_index(spark, where).symbols.select(*SYMBOL)
+    return _with_files(store.read_index(spark, where))
+
+
+def refresh_stored(spark, sf):
+    before, after = cs.part_snapshots(spark, sf)
+    where = _scratch(spark)
+    store.write_index(plans.rebuild_index(before), where, buckets=8)
+    store.refresh_stored(spark, where, after)
+    return _with_files(store.read_index(spark, where))
+
+
+def upsert_touched(spark, sf):
+    before, after = cs.part_snapshots(spark, sf)
+    where = _scratch(spark)
+    store.write_index(plans.rebuild_index(before), where, buckets=8)
+    fresh = decl.extract_symbols(after, ordered=False)
+    store.update_index(spark, where, after.select("path"), lambda part: plans.upsert_files(part, after, fresh))
+    return _with_files(store.read_index(spark, where))
 
 
 def symbols_for_prefix(spark, sf):
@@ -332,7 +350,7 @@ _QUERIES = {f.__name__: f for f in (
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
-    list_symbols_unknown, apply_change_feed,
+    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
 
 
@@ -391,6 +409,10 @@ def _rust_item(k: str, name: str, text: str, capture: str, start: int, end: int)
 _CUSTOMERS = "customer JOIN nation ON c_nationkey = n_nationkey"
 _ORDERS = f"orders JOIN {_CUSTOMERS} ON o_custkey = c_custkey"
 _ITEMS = f"lineitem JOIN ({_ORDERS}) ON l_orderkey = o_orderkey"
+_NUMBERED = (f"SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i "
+             f"FROM {_ITEMS}")
+_ITEM_PAIRS = (f"SELECT a.n_regionkey, a.o_orderkey, a.l_partkey, b.l_partkey AS other FROM ({_NUMBERED}) a "
+               f"JOIN ({_NUMBERED}) b ON a.l_orderkey = b.l_orderkey AND a.i < b.i")
 
 
 def _nodes(capture: str, text: str, rows: str) -> str:
@@ -470,7 +492,9 @@ def oracle_sql() -> dict[str, str]:
         "match_same": _union(*[
             _nodes(capture, text, f"({_ITEMS}) WHERE l_partkey = o_orderkey") for capture, text in [
                 ("o", "o_orderkey"), ("a", "l_partkey"), ("s", "o_orderstatus")]]),
-        "index_roundtrip": _SYMBOLS,
+        "match_siblings": _union(*[_nodes(capture, text, f"({_ITEM_PAIRS})") for capture, text in [
+            ("o", "o_orderkey"), ("a", "l_partkey"), ("b", "other")]]),
+        "index_roundtrip": _indexed("false", "true"),
         "symbols_for_prefix": f"{_SYMBOLS} WHERE file LIKE 'proj/brand1%'",
         "cached_mtimes": f"SELECT path, mtime_secs, mtime_nanos FROM ({_FILES}) WHERE k % 10 <> 3 "
                          "AND path LIKE 'proj/brand2%'",
@@ -492,6 +516,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_corpus": None,
         "tokenize": None,
     }
+    out["refresh_stored"] = out["refresh_index"]
+    out["upsert_touched"] = out["upsert_files"]
     out["list_symbols_alias"] = out["list_symbols"]
     out["list_symbols_unknown"] = out["list_symbols"].replace("lang = 'rust' AND ", "")
     mentions = ", ".join(f"('{lang}', '{name}', {line})" for lang, names in MENTIONS.items()

@@ -145,18 +145,19 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     items = lineitem.withColumn("i", F.row_number().over(order)).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
-    def nodes(rows, file, node_id, parent_id, field, kind, text):
+    # Twice the id is a position that leaves room for a segment right after its customer.
+    def nodes(rows, file, node_id, parent_id, field, kind, text, pos=None):
         return rows.selectExpr(
             f"concat('region_', {file}) AS file", f"CAST({node_id} AS BIGINT) AS node_id",
             f"CAST({parent_id} AS BIGINT) AS parent_id", f"CAST({field} AS STRING) AS field", f"'{kind}' AS type",
-            f"CAST({text} AS STRING) AS text", "1L AS start_line", "1L AS end_line", f"CAST({node_id} AS BIGINT) AS pos")
+            f"CAST({text} AS STRING) AS text", "1L AS start_line", "1L AS end_line", f"CAST({pos or f'2 * ({node_id})'} AS BIGINT) AS pos")
 
     out = nodes(region, "r_regionkey", "0", "null", "null", "region", "r_name")
     for part in (
         nodes(nations, "region", "1 + n_nationkey", "0", "null", "nation", "n_name"),
         nodes(customers, "region", "1000 + c_custkey", "1 + n_nationkey", "null", "customer", "c_name"),
         nodes(customers, "region", "1000000000000 + 1000 + c_custkey", "1000 + c_custkey", "'segment'", "segment",
-              "c_mktsegment"),
+              "c_mktsegment", "2 * (1000 + c_custkey) + 1"),
         nodes(placed, "region", "10000000 + o_orderkey", "1000 + c_custkey", "null", "order", "o_orderkey"),
         nodes(placed, "region", "1000000000000 + 10000000 + o_orderkey", "10000000 + o_orderkey", "'status'", "status",
               "o_orderstatus"),

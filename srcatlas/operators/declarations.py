@@ -178,6 +178,10 @@ def _waiting(kind: str, need: str, name: str, line: str, pos: str, head: str) ->
             f" 'head', {head})")
 
 
+# The bracket that opens the body of a Rust macro call or definition.
+_MACRO_OPENS = ("(lang = 'rust' AND ((coalesce(p1, '') = '!' AND coalesce(p2_cls, '') IN ('ident', 'qualified')"
+                f" AND NOT {words_in('p2', 'return if while match in else break')})"
+                " OR (coalesce(p2, '') = '!' AND coalesce(p3, '') = 'macro_rules')))")
 _STOPS = "(edge OR text IN (';', '{', '}'))"
 _NO_HEAD = "CAST(null AS STRUCT<line: BIGINT, at: BIGINT>)"
 _NO_OWNER = _owner(*["CAST(null AS STRING)"] * 2, *["CAST(null AS BIGINT)"] * 2, _NO_HEAD,
@@ -231,7 +235,7 @@ def resolve(tokens: DataFrame, langs: list[str] | None = None,
     opened = _owner("p1_cls", "p1", "p1_line", "p1_pos", "head", "p2", "p3", "coalesce(p1_line > p2_line_end, true)")
     named = _owner("cls", "text", "line", "pos", "head", "p1", "p2", "starts_line")
     around = _leveled(tokens, langs, extra or {}, heads).selectExpr(
-        "*",
+        "*", f"last(CASE WHEN NOT edge AND {OPENS} THEN {_MACRO_OPENS} END, true) OVER {SO_FAR} AS macro_pair",
         f"last(CASE WHEN NOT edge AND text = '(' THEN {opened} END, true) OVER {SO_FAR} AS direct",
         f"last(CASE WHEN generic THEN {named} WHEN {_STOPS} THEN {_NO_OWNER} END, true) OVER {SO_FAR} AS typed",
         f"last(CASE WHEN edge THEN struct(text, p1, p2) END, true) OVER {SO_FAR} AS encl")
@@ -239,12 +243,21 @@ def resolve(tokens: DataFrame, langs: list[str] | None = None,
     return owned.selectExpr("*", f"{_WAITS} AS waits").selectExpr(
         "*", f"last(waits, true) OVER {BEFORE} AS pend",
         f"last(CASE WHEN NOT edge AND text = '=' THEN pos END, true) OVER {BEFORE} AS equals_before",
-    ).selectExpr("*", f"{_SYMBOL} AS sym")
+    ).selectExpr("*", f"{_SYMBOL} AS sym", f"""CASE WHEN edge OR NOT coalesce(macro_pair, false) THEN 0
+        WHEN {OPENS} THEN 1 WHEN {CLOSES} THEN -1 ELSE 0 END AS macro""")
+
+
+def _outside_macros(rows: DataFrame) -> DataFrame:
+    """Rows that lie in no macro body: what is written there is tokens, not items."""
+    return rows.selectExpr("*", f"sum(macro) OVER {RUNNING} AS inside").where("inside = 0")
 
 
 def declarations(tokens: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """All declarations in a relation made by ``positioned``."""
-    found = resolve(tokens, langs).where("sym IS NOT NULL")
+    found = resolve(tokens, langs)
+    if langs is None or "rust" in langs:
+        found = _outside_macros(found.select("file", "lang", "valid", "pos", "sym", "macro").where("sym IS NOT NULL OR macro <> 0"))
+    found = found.where("sym IS NOT NULL")
     return found.select(captured("sym.name").alias("name"), "sym.kind", "file", "lang", "sym.line", "sym.pos")
 
 
@@ -289,8 +302,10 @@ def _block_spans(tokens: DataFrame, langs: list[str], extra: dict[str, list[Rule
         WHEN text = '{{' AND NOT edge THEN named_struct('def', coalesce(sym, header))
         END, true) OVER {BEFORE}).def AS body_of""")
     rows = rows.selectExpr(
-        "file", "lang", "valid", "sym", "line", "until",
+        "file", "lang", "valid", "pos", "macro", "sym", "line", "until",
         "CASE WHEN edge THEN null WHEN text = '}' THEN body_of WHEN text = ';' THEN header END AS ended")
+    if "rust" in langs:
+        rows = _outside_macros(rows.where("sym IS NOT NULL OR ended IS NOT NULL OR macro <> 0"))
     both = rows.where("sym IS NOT NULL OR ended IS NOT NULL").selectExpr("file", "lang", "valid", """inline(array(
         named_struct('def', sym, 'end_line', CAST(null AS BIGINT), 'end_at', CAST(null AS BIGINT)),
         named_struct('def', ended, 'end_line', line, 'end_at', until)))""").where("def IS NOT NULL")

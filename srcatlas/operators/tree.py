@@ -88,12 +88,18 @@ def _rows(nodes: DataFrame, pattern: Node, name: str) -> DataFrame:
     out = nodes.where(pattern.test()).select(*[F.col(c).alias(a) for c, a in keep.items()])
     # The most selective child first: later joins then see fewer rows.
     order = sorted(range(len(pattern.children)), key=lambda i: -pattern.children[i].selective())
+    joined = []
     for i in order:
         child = f"{name}{i}"
         inner = _rows(nodes, pattern.children[i], child)
         inner = inner.withColumnsRenamed({"file": f"{child}_file"})
-        out = out.join(inner, (F.col("file") == F.col(f"{child}_file"))
-                       & (F.col(f"{name}_id") == F.col(f"{child}_parent"))).drop(f"{child}_file", f"{child}_parent")
+        on = (F.col("file") == F.col(f"{child}_file")) & (F.col(f"{name}_id") == F.col(f"{child}_parent"))
+        # Children match distinct siblings in source order.
+        for j in joined:
+            first, second = (j, i) if j < i else (i, j)
+            on = on & (F.col(f"{name}{first}_pos") < F.col(f"{name}{second}_pos"))
+        joined.append(i)
+        out = out.join(inner, on).drop(f"{child}_file", f"{child}_parent")
     return out
 
 
@@ -121,7 +127,8 @@ def match_nodes(nodes: DataFrame, *patterns: Node | AnyOf, same: Sequence[tuple[
     """Captures of one or more tree patterns, one row per capture of a match.
 
     ``same`` and ``different`` compare the texts of two captures. A capture
-    name stands for one node; repeated children are not part of a pattern.
+    name stands for one node. The children of a pattern match distinct children
+    of a node, in the order of ``pos``; others may lie between them.
     """
     out = None
     for pattern in patterns:

@@ -1,17 +1,24 @@
-"""The index as Parquet: one directory per version.
-
-A version holds both relations, partitioned by a hash bucket of the path and
-sorted by name inside a bucket. It counts once its row is in ``versions``,
-which is written last, so a reader never sees half of a refresh and a job that
-dies leaves only an unused directory.
+"""The index as Parquet, kept by bucket.
+
+Both relations are partitioned by a hash bucket of the path and sorted by path
+inside a bucket, so that questions about paths skip row groups. A write puts the
+buckets that it changes into a directory of its own (``home``) and then
+publishes, as one small file in ``versions``, which home each bucket has. A
+reader never sees half of a write, a job that dies leaves only an unused
+directory, and of two writers of the same version the second one fails.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from srcatlas.plans.index import Index, empty_index
+from srcatlas.operators.declarations import extract_symbols
+from srcatlas.plans.index import FILE_COLUMNS, SYMBOL_COLUMNS, Index, drop_files, empty_index, scan_changes
 from srcatlas.schema import FILES_INDEX, SYMBOLS
 
 BUCKETS = 64
@@ -21,41 +28,108 @@ def bucket(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
+def published(spark: SparkSession, directory: str, version: int | None = None) -> tuple[int, list[Row]]:
+    """The last (or a given) version and its rows (bucket, home, buckets); 0 and no rows where no index is.
+
+    There is one row for each bucket. A directory of versions without any is an
+    error, as is a version that does not exist.
+    """
+    try:
+        rows = spark.read.schema("bucket INT, home STRING, buckets INT, version BIGINT").parquet(f"{directory}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, []
+    if version is None:
+        version = rows.agg(F.max("version")).first()[0]
+    found = rows.where(F.col("version") == version).collect() if version else []
+    if not found:
+        raise ValueError(f"no version {version or ''} in {directory}/versions")
+    return version, found
+
+
 def current_version(spark: SparkSession, directory: str) -> int:
     """Number of the last complete version, 0 when there is none."""
-    try:
-        rows = spark.read.schema("version BIGINT").parquet(f"{directory}/versions")
-        return rows.agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        return 0
+    return published(spark, directory)[0]
 
 
-def _write(rows: DataFrame, key: str, sort: str, target: str, buckets: int) -> None:
+def _write(rows: DataFrame, key: str, order: list[str], target: str, buckets: int, tasks: int) -> None:
     (rows.withColumn("bucket", bucket(F.col(key), buckets))
-     .repartition(buckets, "bucket").sortWithinPartitions("bucket", sort)
-     .write.mode("overwrite").partitionBy("bucket").parquet(target))
+     .repartition(tasks, "bucket").sortWithinPartitions("bucket", *order)
+     .write.partitionBy("bucket").parquet(target))
+
+
+def _publish(index: Index, directory: str, version: int, buckets: int, touched: list[int], homes: dict[int, str]) -> None:
+    """Writes the touched buckets, then the version that names a home for them and all others."""
+    home = f"v{version}-{uuid.uuid4().hex}"
+    _write(index.files, "path", ["path"], f"{directory}/files/home={home}", buckets, len(touched))
+    _write(index.symbols, "file", ["file", "pos"], f"{directory}/symbols/home={home}", buckets, len(touched))
+    rows = [(b, h, buckets) for b, h in sorted((homes | dict.fromkeys(touched, home)).items())]
+    pointer = index.files.sparkSession.createDataFrame(rows, "bucket INT, home STRING, buckets INT")
+    pointer.coalesce(1).write.parquet(f"{directory}/versions/version={version}")
 
 
 def write_index(index: Index, directory: str, buckets: int = BUCKETS) -> int:
-    """Writes a new version and returns its number."""
-    spark = index.files.sparkSession
-    version = current_version(spark, directory) + 1
-    target = f"{directory}/version={version}"
-    _write(index.files, "path", "path", f"{target}/files", buckets)
-    _write(index.symbols, "file", "name", f"{target}/symbols", buckets)
-    spark.createDataFrame([(version,)], "version BIGINT").coalesce(1).write.mode("append").parquet(f"{directory}/versions")
+    """Writes all of an index as a new version and returns its number."""
+    version = current_version(index.files.sparkSession, directory) + 1
+    _publish(index, directory, version, buckets, list(range(buckets)), {})
     return version
 
 
-def read_index(spark: SparkSession, directory: str, version: int | None = None) -> Index:
-    """The current (or a given) version; an empty index when there is none."""
-    version = current_version(spark, directory) if version is None else version
-    if version == 0:
+def read_index(spark: SparkSession, directory: str, version: int | None = None, only: list[int] | None = None) -> Index:
+    """The current (or a given) version, or some of its buckets; an empty index when there is none."""
+    homes: dict[str, list[int]] = {}
+    for row in published(spark, directory, version)[1] if version != 0 else []:
+        if only is None or row.bucket in only:
+            homes.setdefault(row.home, []).append(row.bucket)
+    if not homes:
         return empty_index(spark)
-    base = f"{directory}/version={version}"
+    current = reduce(lambda a, b: a | b, [(F.col("home") == h) & F.col("bucket").isin(b) for h, b in homes.items()])
 
     def load(name, schema):
-        stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-        return spark.read.schema(stored).parquet(f"{base}/{name}").select(*schema.fieldNames())
+        stored = T.StructType([*schema.fields, T.StructField("home", T.StringType()), T.StructField("bucket", T.IntegerType())])
+        rows = spark.read.schema(stored).option("basePath", f"{directory}/{name}").parquet(
+            *[f"{directory}/{name}/home={h}" for h in homes])
+        return rows.where(current).select(*schema.fieldNames())
 
     return Index(load("files", FILES_INDEX), load("symbols", SYMBOLS))
+
+
+def update_index(spark: SparkSession, directory: str, paths: DataFrame, change: Callable[[Index], Index],
+                 buckets: int = BUCKETS) -> int:
+    """Reads and writes only the buckets that hold ``paths`` (column ``path``); returns the version.
+
+    ``change`` maps the index of these buckets to what they become; all paths
+    that it adds must be among ``paths``. Without paths nothing is written. An
+    index that exists keeps its number of buckets.
+    """
+    version, rows = published(spark, directory)
+    buckets = rows[0].buckets if rows else buckets
+    touched = sorted(r[0] for r in paths.select(bucket(F.col("path"), buckets)).distinct().collect())  # at most ``buckets``
+    if not touched:
+        return version
+    part = read_index(spark, directory, version, touched)
+    _publish(change(part), directory, version + 1, buckets, touched, {r.bucket: r.home for r in rows})
+    return version + 1
+
+
+def refresh_stored(spark: SparkSession, directory: str, files: DataFrame, contents=None, scope: str | None = None,
+                   lang: str | None = None, cap: int | None = None, buckets: int = BUCKETS) -> int:
+    """Brings the stored index up to date with ``files``, as ``refresh_index`` does; returns the version.
+
+    The listing is walked once: what differs is written below ``scans`` and read
+    from there by all that follows. Only buckets with a difference are rewritten.
+    """
+    found = scan_changes(files, read_index(spark, directory), scope, lang).where("status <> 'unchanged'")
+    where = f"{directory}/scans/{uuid.uuid4().hex}"
+    found.write.parquet(where)
+    state = spark.read.schema(found.schema).parquet(where)
+    stale = state.where("status IN ('new', 'changed')")
+    fetched = contents(stale) if contents else files.join(stale.select("path"), "path", "left_semi")
+    fresh = extract_symbols(fetched, cap=cap, ordered=False)
+
+    def change(part: Index) -> Index:
+        kept = drop_files(part, state)
+        return Index(kept.files.unionByName(stale.select(*FILE_COLUMNS)), kept.symbols.unionByName(fresh.select(*SYMBOL_COLUMNS)))
+
+    return update_index(spark, directory, state, change, buckets)

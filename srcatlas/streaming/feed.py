@@ -2,8 +2,8 @@
 
 The feed has path, mtime_secs, mtime_nanos, op ('upsert' or 'delete') and
 content. Each micro-batch keeps the newest change per path and replaces those
-files in a new index version. A replayed batch writes the same rows again.
-Changes may come in any order within a batch; across batches the feed must keep
+files; only the buckets that hold them are read and written. A replayed batch
+writes the same rows again, an empty one writes nothing. Changes may come in any order within a batch; across batches the feed must keep
 the order of changes to one path, because a deleted file leaves no time behind.
 """
 
@@ -15,7 +15,7 @@ from srcatlas.functions.langs import detect_lang
 from srcatlas.functions.paths import clamp_mtime
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.plans.index import Index, drop_files, upsert_files
-from srcatlas.sources.store import BUCKETS, read_index, write_index
+from srcatlas.sources.store import BUCKETS, update_index
 
 
 def newest_changes(batch: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def apply_change_feed(feed: DataFrame, directory: str, checkpoint: str, buckets:
         spark = batch.sparkSession
         batch.persist()
         try:
-            write_index(apply_changes(read_index(spark, directory), batch, cap), directory, buckets)
+            update_index(spark, directory, batch.select("path"), lambda index: apply_changes(index, batch, cap), buckets)
         finally:
             batch.unpersist()
 

@@ -4,6 +4,7 @@ import itertools
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from helpers import corpus
@@ -94,8 +95,37 @@ def test_versions(spark, tmp_path):
     assert content(store.read_index(spark, where)) == content(two)
     assert content(store.read_index(spark, where, version=1)) == content(one)
     # A version without its row in ``versions`` does not exist for readers.
-    os.makedirs(f"{where}/version=3/files")
+    os.makedirs(f"{where}/versions/version=3")
+    os.makedirs(f"{where}/files/home=v3-dead")
     assert store.current_version(spark, where) == 2
+    with pytest.raises(ValueError):
+        store.read_index(spark, where, version=9)
+    os.makedirs(tmp_path / "damaged" / "versions")
+    with pytest.raises(ValueError):
+        store.write_index(one, str(tmp_path / "damaged"))
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    where = str(tmp_path / "index")
+    text = {f"d/f{i}.rs": RUST.format(i) for i in range(12)}
+    store.write_index(plans.rebuild_index(corpus(spark, text)), where, buckets=8)
+    homes = {r.bucket: r.home for r in store.published(spark, where)[1]}
+    changed = corpus(spark, text | {"d/f3.rs": "fn other() {}"}).withColumn("mtime_secs", F.when(F.col("path") == "d/f3.rs", F.lit(9)).otherwise(F.col("mtime_secs")))
+    assert store.refresh_stored(spark, where, changed) == 2
+    later = {r.bucket: r.home for r in store.published(spark, where)[1]}
+    assert sum(later[b] != homes[b] for b in homes) == 1 and set(later) == set(homes)
+    assert content(store.read_index(spark, where)) == content(plans.rebuild_index(changed))
+    assert store.refresh_stored(spark, where, changed) == 2  # nothing differs, nothing is written
+    gone = changed.where("path <> 'd/f5.rs'")
+    store.refresh_stored(spark, where, gone)
+    assert content(store.read_index(spark, where)) == content(plans.rebuild_index(gone))
+
+
+def test_an_empty_feed_batch_writes_nothing(spark, tmp_path):
+    where = str(tmp_path / "index")
+    none = spark.createDataFrame([], FEED)
+    assert store.update_index(spark, where, none.select("path"), lambda index: feed.apply_changes(index, none)) == 0
+    assert not os.path.exists(where)
 
 
 def test_feed_batches_and_replay(spark, tmp_path):

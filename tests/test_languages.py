@@ -4,7 +4,7 @@ corners of each language. Where grammars disagree the test records our rule."""
 import pytest
 
 from helpers import corpus, symbols
-from srcatlas.operators.declarations import extract_symbols
+from srcatlas.operators.declarations import definition_spans, extract_symbols
 from srcatlas.operators.structural import find_calls, find_type
 
 BASIC = {
@@ -238,3 +238,16 @@ def test_comments_only_shift_lines(spark):
     plain, _ = BASIC["shelf.rs"]
     noisy = "// fn decoy() {}\n" + plain.replace("pub fn", "/* struct No */ pub fn")
     assert symbols(spark, "n.rs", noisy) == [(n, k, line + 1) for n, k, line in symbols(spark, "p.rs", plain)]
+
+
+def test_macro_bodies_hold_no_items(spark):
+    text = """macro_rules! mk { () => { struct Hid; fn hidden() { let x = [1; 2]; } } }
+thread_local! { static TL: u8 = 1; }
+fn real() { let v = vec![1, 2]; quote! { struct Quoted; fn inq() {} }; struct Local; }
+fn not() -> bool { if !(a) { fn inner() {} } !b }
+struct After;
+"""
+    want = [("mk", "macro", 1), ("real", "fn", 3), ("Local", "struct", 3), ("not", "fn", 4), ("inner", "fn", 4), ("After", "struct", 5)]
+    assert symbols(spark, "m.rs", text) == want
+    spans = definition_spans(corpus(spark, {"m.rs": text}), "rust").collect()
+    assert sorted((r.name, r.start_line, r.end_line) for r in spans) == sorted((n, line, line) for n, _, line in want)

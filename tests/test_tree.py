@@ -26,11 +26,21 @@ def test_against_brute_force(spark):
     for c in (r for r in rows if r[4] == "call"):
         kids = [r for r in rows if r[2] == c[1]]
         for n in (k for k in kids if k[4] == "name" and k[5] == "t0"):
-            for leaf in (k for k in kids if k[4] == "leaf" and k[3] == "arg"):
+            for leaf in (k for k in kids if k[4] == "leaf" and k[3] == "arg" and k[8] > n[8]):
                 want.update([("@c", c[5]), ("@n", n[5]), ("@l", leaf[5])])
     assert got == want and want
 
 
+def test_siblings_are_distinct_and_in_order(spark):
+    rows = [("f", 0, None, None, "call", "c", 1, 1, 0)] + [("f", i, 0, None, "num", str(i), 1, 1, i) for i in (1, 2, 3)]
+    three = Node("call", children=[Node("num", capture="a"), Node("num", capture="b", not_eq="9"), Node("num", capture="c")])
+    pair = Node("call", children=[Node("num", capture="a"), Node("num", capture="b")])
+    nodes = spark.createDataFrame(rows, NODES)
+    assert sorted((r.capture, r.text) for r in match_nodes(nodes, three).collect()) == [("@a", "1"), ("@b", "2"), ("@c", "3")]
+    assert Counter((r.capture, r.text) for r in match_nodes(nodes, pair).collect()) == {
+        ("@a", "1"): 2, ("@a", "2"): 1, ("@b", "2"): 1, ("@b", "3"): 2}
+
+
 def test_same_different_and_limit(spark):
     nodes = spark.createDataFrame(_nodes(), NODES)
     pair = Node("call", children=[Node("name", capture="a"), Node("leaf", capture="b")])
