@@ -147,11 +147,17 @@ _STRUCTURAL = (f"({words_in('lang', NESTED_LANGS)} AND ({OPENS} OR {CLOSES} OR t
                f" OR (lang = 'rust' AND text = '=') OR (lang = 'swift' AND {words_in('text', SWIFT_MEMBERS)})))")
 
 
+# A Rust item starts at its first modifier, on whatever line its keyword is; attributes are no part of it.
+_RUST_ITEM = "pub fn struct enum trait mod type const static unsafe async extern macro_rules impl union"
+_RUST_MID_ITEM = (f"(lang = 'rust' AND (({words_in('p1', 'pub unsafe async const extern')} AND {words_in('text', _RUST_ITEM)})"
+                  " OR coalesce(p1, '') IN ('fn', 'struct', 'enum', 'trait', 'mod', 'static')"
+                  f" OR (p1 = ')' AND {words_in('p2', 'crate super self')} AND p3 = '(' AND {words_in('text', _RUST_ITEM)})))")
 # Where an item starts: at its line, in C and C++ after the previous statement.
-_ITEM_START = """CASE
-    WHEN lang IN ('c', 'cpp') AND (p1 IS NULL OR p1 IN (';', '{', '}') OR p1_cls = 'directive'
+_ITEM_START = f"""CASE
+    WHEN lang IN ('c', 'cpp') AND (p1 IS NULL OR p1 IN (';', '{{', '}}') OR p1_cls = 'directive'
          OR (starts_line AND p1 IN (':', '>'))) THEN named_struct('line', line, 'at', at)
-    WHEN lang NOT IN ('c', 'cpp') AND (starts_line OR p1 IN (';', '{', '}', 'export', 'default'))
+    WHEN lang NOT IN ('c', 'cpp') AND ((starts_line AND NOT coalesce({_RUST_MID_ITEM}, false)) OR p1 IN (';', '{{', '}}', 'export', 'default')
+         OR (lang = 'rust' AND p1 = ']' AND {words_in('text', _RUST_ITEM)}))
       THEN named_struct('line', line, 'at', at)
     END"""
 

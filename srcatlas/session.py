@@ -19,7 +19,6 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 TEXT_PER_PARTITION = 64 << 20
-MOST_PARTITIONS = 100_000
 
 
 def configure(spark: SparkSession, source_bytes: int | None = None) -> SparkSession:
@@ -29,7 +28,7 @@ def configure(spark: SparkSession, source_bytes: int | None = None) -> SparkSess
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if source_bytes:
-        wanted = min(MOST_PARTITIONS, source_bytes // TEXT_PER_PARTITION + 1)
+        wanted = source_bytes // TEXT_PER_PARTITION + 1
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark

@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,7 +21,7 @@ from srcatlas.operators.tokens import partition_count
 
 BATCH_FILES = 1000
 READ_FILES = 64
-SHARD_DIRECTORIES = 32
+READ_BYTES = 64 << 20
 
 
 @dataclass
@@ -62,7 +63,7 @@ class TreeReader(DataSourceReader):
                 except OSError:
                     continue
         tops += [(top, True) for top in frontier]
-        count = max(1, min(self.shards, len(tops) // SHARD_DIRECTORIES))
+        count = max(1, min(self.shards, len(tops)))
         return [Directories(tops[i::count]) for i in range(count)]
 
     def read(self, partition):
@@ -131,8 +132,10 @@ def read_contents(listed: DataFrame, root: str) -> DataFrame:
 
     def fill(batches):
         for batch in batches:
-            for start in range(0, len(batch), READ_FILES):
-                part = batch.iloc[start:start + READ_FILES].copy()
+            # a new part where the files so far fill one, in number or in bytes
+            ahead = batch["length"].fillna(0).cumsum() - batch["length"].fillna(0)
+            for _, part in batch.groupby([ahead // READ_BYTES, np.arange(len(batch)) // READ_FILES]):
+                part = part.copy()
                 part["content"] = [read_file(os.path.join(top, p)) for p in part["path"]]
                 yield part
 

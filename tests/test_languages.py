@@ -251,3 +251,12 @@ struct After;
     assert symbols(spark, "m.rs", text) == want
     spans = definition_spans(corpus(spark, {"m.rs": text}), "rust").collect()
     assert sorted((r.name, r.start_line, r.end_line) for r in spans) == sorted((n, line, line) for n, _, line in want)
+
+
+def test_rust_item_extent(spark):
+    """An item starts at its first modifier, not at an attribute and not at its keyword's line."""
+    text = "#[inline] pub fn one() { }\npub(crate)\nfn two() { }\n#[derive(Debug)]\nstruct Three { a: [u8; 4] }\nfn\nfour() { }\n"
+    spans = definition_spans(corpus(spark, {"x.rs": text}), "rust").collect()
+    got = {r.name: (r.start_line, r.end_line, text[r.start_at:r.end_at]) for r in spans}
+    assert got == {"one": (1, 1, "pub fn one() { }"), "two": (2, 3, "pub(crate)\nfn two() { }"),
+                   "Three": (5, 5, "struct Three { a: [u8; 4] }"), "four": (6, 7, "fn\nfour() { }")}
