@@ -70,6 +70,21 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
+def by_class(rows: DataFrame, classes: DataFrame, key: str, heavy: int = 1000, most: int = 1_000_000) -> DataFrame:
+    """``rows`` with the other columns of their class: an inner join on ``key`` where one class may hold very many rows.
+
+    ``classes`` has one row a class, with ``members``, the number of its rows.
+    Classes above ``heavy`` members (more, where those would be above ``most``)
+    are few; they are broadcast, so that their rows stay where they are. All
+    others are joined by a shuffle, in which no key has more rows than that.
+    """
+    total = classes.agg(F.sum("members")).first()[0] or 0
+    bound = max(heavy, total // most)
+    large, small = classes.where(F.col("members") > bound), classes.where(F.col("members") <= bound)
+    names = F.broadcast(large.select(key))
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(names, key, "left_anti").join(small, key))
+
+
 def same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
     """Null-safe equality of the key columns of two relations."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
