@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,11 +41,12 @@ from .components import connected_components
 
 SHINGLE = 4
 LEAST = 85
-PART = 6_000_000
+PART = 3_000_000
 BLOCK = 256
 SAMPLE = 2000
 COLUMNS = 4096
 TASK_BYTES = 32 << 20
+BROADCAST_CLASSES = 2_000_000
 CID = "cid long, n int"
 
 
@@ -68,19 +70,19 @@ def _class_id(x: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes()))))
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of a binary column, one after the other, and how many each row has."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(array, pa.ChunkedArray):
-        array = pa.concat_arrays(array.chunks)
-    at = np.frombuffer(array.buffers()[1], np.int32)[array.offset:array.offset + len(array) + 1]
-    data = array.buffers()[2]
-    values = np.frombuffer(data, np.uint8)[at[0]:at[-1]].tobytes() if data is not None and len(array) else b""
-    return np.frombuffer(values, np.uint64), np.diff(at) // 8
+def _flat(column, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, one after the other, and how many each row has."""
+    values, counts = [np.empty(0, kind)], [np.empty(0, np.int64)]
+    for array in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        at = np.frombuffer(array.buffers()[1], np.int32)[array.offset:array.offset + len(array) + 1]
+        if len(array) and array.buffers()[2] is not None:
+            values.append(np.frombuffer(np.frombuffer(array.buffers()[2], np.uint8)[at[0]:at[-1]].tobytes(), kind))
+        counts.append(np.diff(at).astype(np.int64) // np.dtype(kind).itemsize)
+    return np.concatenate(values), np.concatenate(counts)
 
 
 def _ragged(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary column: ``counts[i]`` of the 8-byte values in row i."""
+    """A binary column: ``counts[i]`` of the values in row i."""
     at = np.concatenate(([0], np.cumsum(counts * values.itemsize))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
 
@@ -136,7 +138,7 @@ def _frequent(texts: DataFrame, shingle: int, classes: int, sample: int) -> tupl
 
 
 def _shared_rows(texts: DataFrame, shingle: int, parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(cid, n, x, df): the n-grams of a class that other classes have as well, in several rows."""
+    """(cid, n, x, df): the n-grams of a class that other classes have as well, and how many classes have each."""
     hot = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def deal(batches):
@@ -147,36 +149,43 @@ def _shared_rows(texts: DataFrame, shingle: int, parts: int, frequent: tuple[np.
             if len(often):  # parts from ``parts`` on hold the frequent ones, by class
                 found = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x
                 part = np.where(found, np.uint64(parts) + cids.view(np.uint64)[row] % np.uint64(parts), part)
-            order = np.lexsort((part, row))
+            order = np.lexsort((row, part))
             x, row, part = x[order], row[order], part[order]
-            starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
+            pieces = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            held = np.diff(np.append(np.searchsorted(pieces, starts), len(pieces)))  # classes in each part
             sizes = np.array([len(s) for s in sets], np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(part[starts].astype(np.int64)), pa.array(cids[row[starts]]), pa.array(sizes[row[starts]]),
-                _ragged(x, np.diff(np.append(starts, len(x))))], ["part", "cid", "n", "x"])
+                pa.array(part[starts].astype(np.int64)), _ragged(cids[row[pieces]], held), _ragged(sizes[row[pieces]], held),
+                _ragged(np.diff(np.append(pieces, len(x))).astype(np.int32), held), _ragged(x, np.diff(np.append(starts, len(x))))],
+                ["part", "cid", "n", "k", "x"])
 
     def count(rows: pa.Table) -> pa.Table:
-        _, first = np.unique(rows.column("cid").to_numpy(), return_index=True)  # a class may come from several tasks
-        rows = rows.take(pa.array(first))
-        x, counts = _flat(rows.column("x"))
-        row = np.repeat(np.arange(len(first)), counts)
-        if rows.column("part")[0].as_py() >= parts:
+        x, each = _flat(rows.column("x"))[0], _flat(rows.column("k"), np.int32)[0]
+        cid, n = (np.repeat(_flat(rows.column(c), kind)[0], each) for c, kind in (("cid", np.int64), ("n", np.int32)))
+        frequent = rows.column("part")[0].as_py() >= parts
+        if not frequent:  # most have one row only
+            order = np.argsort(x, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
+            runs = np.diff(np.append(starts, len(x)))
+            order = order[np.repeat(runs > 1, runs)]
+            x, cid, n = x[order], cid[order], n[order]
+        order = np.lexsort((cid, x))  # a class may come from several tasks
+        x, cid, n = x[order], cid[order], n[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (cid[1:] != cid[:-1])))[:len(x)]
+        x, cid, n = x[new], cid[new], n[new]
+        if frequent:
             often, times = hot.value
             df = times[np.searchsorted(often, x)] + (1 << 40)
         else:
-            order = np.argsort(x, kind="stable")
-            starts = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
+            starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))[:len(x)])
             runs = np.diff(np.append(starts, len(x)))
-            df = np.empty(len(x), np.int64)
-            df[order] = np.repeat(runs, runs)
-            x, row, df = x[df > 1], row[df > 1], df[df > 1]
-        counts = np.bincount(row, minlength=len(first))
-        some = counts > 0
-        return pa.table({"cid": rows.column("cid").to_numpy()[some], "n": rows.column("n").to_numpy()[some],
-                         "x": _ragged(x, counts[some]), "df": _ragged(df, counts[some])})
+            df = np.repeat(runs, runs)
+        kept = df > 1
+        return pa.table({"cid": cid[kept], "n": n[kept], "x": x[kept].view(np.int64), "df": df[kept]})
 
-    dealt = texts.mapInArrow(deal, f"part long, {CID}, x binary")
-    return dealt.groupBy("part").applyInArrow(count, f"{CID}, x binary, df binary")
+    dealt = texts.mapInArrow(deal, "part long, cid binary, n binary, k binary, x binary")
+    return dealt.groupBy("part").applyInArrow(count, f"{CID}, x long, df long")
 
 
 def _least_overlap(n: int, least: int) -> int:
@@ -186,17 +195,20 @@ def _least_overlap(n: int, least: int) -> int:
 def _live_rows(shared: DataFrame, least: int) -> DataFrame:
     """(cid, n, x, rare): rows that share enough to link, with their shared n-grams sorted,
     and those of them among which a linked row must have one as well."""
-    whole = shared.groupBy("cid").agg(F.max("n").alias("n"), F.collect_list(F.struct("x", "df")).alias("pieces"),
-                                      F.sum(F.octet_length("x") / 8).alias("k"))
-    whole = whole.where(f"k * 100 >= n * {least}").select("cid", "n", "pieces")
+    able = shared.groupBy("cid").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k")).where(f"k * 100 >= n * {least}")
+    able = stored(able.select("cid"), "able")
+    if able.count() <= BROADCAST_CLASSES:  # 8 bytes each; beyond, shared n-grams are shuffled to their classes
+        able = F.broadcast(able)
+    whole = shared.join(able, "cid", "left_semi").groupBy("cid").agg(F.max("n").alias("n"), F.collect_list(F.struct("x", "df")).alias("grams"))
 
     def each(batches):
         for batch in batches:
             rest, rare = [], []
-            for n, pieces in zip(batch.column("n").to_pylist(), batch.column("pieces")):
-                pieces = pieces.as_py()
-                x = np.concatenate([np.frombuffer(p["x"], np.uint64) for p in pieces])
-                df = np.concatenate([np.frombuffer(p["df"], np.int64) for p in pieces])
+            grams = batch.column("grams")
+            values, at = grams.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(grams).to_numpy(zero_copy_only=False))))
+            every, times = values.field("x").to_numpy().view(np.uint64), values.field("df").to_numpy()
+            for i, n in enumerate(batch.column("n").to_pylist()):
+                x, df = every[at[i]:at[i + 1]], times[at[i]:at[i + 1]]
                 order = np.lexsort((x, df))
                 differing = n - _least_overlap(n, least)  # so many may be in no linked row
                 rare.append(x[order][:differing + 1 - (n - len(x))].view(np.int64))
@@ -324,7 +336,8 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST, b
     facts = classes.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n").cast("long")).alias("n")).first()
     parts = (facts["n"] or 0) // part + 1
     frequent = _frequent(texts, shingle, facts["rows"], sample)
-    live = stored(_live_rows(_shared_rows(texts, shingle, parts, frequent), least), "live")
+    shared = stored(_shared_rows(texts, shingle, parts, frequent), "shared")
+    live = stored(_live_rows(shared, least), "live")
     places = _families(live).join(classes.select("cid", "members"), "cid")
     rows = stored(live.select("cid", "n", "x").join(places, "cid"), "families")
     dealt = stored(_dealt(rows, least, block), "products")
