@@ -178,7 +178,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
         F.collect_list(F.struct("anchor", "seg", "start", "windows", "n", "first")).alias("need"))
     with_need = rows.join(need, (F.col("doc_id") == F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))).select("text", "owner", "need")
     words = stored(_with_words(with_need, window), "words")
-    found = stored(_in_shards(words, window, block), "matches")
+    found = _dealt(words, block).groupBy("shard").applyInArrow(lambda t: _search(t, window), "anchor long, seg long, lo int, hi int")
+    found = stored(found, "matches")
 
     every = members.join(owned.select("anchor", "seg", "owner"), ["anchor", "seg"])
     whole = every.where("doc_id > owner").select("doc_id", "text_hash", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("end"))
@@ -187,20 +188,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def _in_shards(words: DataFrame, window: int, block: int) -> DataFrame:
+def _dealt(words: DataFrame, block: int) -> DataFrame:
     facts = words.agg(F.sum(F.length("words")).alias("bytes")).first()
     shards = (facts["bytes"] or 0) // (8 * SHARD_WORDS) + 1
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    # blocks are filled by hash, to four fifths on average
+    blocks = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") * 1.25 / block)).cast("int")
     rows = words.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("seg"), F.col("blocks")).cast("int"))
     # (index block, query block) pairs; with one block a row is both
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     as_index = rows.withColumn("other", other).select(
-        "anchor", "seg", "owner", "words", F.col("own").alias("i"), F.col("other").alias("q"), F.lit(True).alias("as_index"),
+        "anchor", "seg", "owner", "words", "blocks", F.col("own").alias("i"), F.col("other").alias("q"), F.lit(True).alias("as_index"),
         ((F.col("own") == F.col("other")) & (F.col("first") < F.col("owner"))).alias("as_query"))
     as_query = rows.where("blocks > 1 AND first < owner").withColumn("other", other).where("own <> other").select(
-        "anchor", "seg", "owner", "words", F.col("other").alias("i"), F.col("own").alias("q"), F.lit(False).alias("as_index"), F.lit(True).alias("as_query"))
-    dealt = as_index.unionByName(as_query).withColumn("shard", F.pmod(F.xxhash64("anchor", "i", "q"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(lambda t: _search(t, window), "anchor long, seg long, lo int, hi int")
+        "anchor", "seg", "owner", "words", "blocks", F.col("other").alias("i"), F.col("own").alias("q"), F.lit(False).alias("as_index"), F.lit(True).alias("as_query"))
+    dealt = as_index.unionByName(as_query)
+    # a pair of blocks of a frequent anchor is a shard of its own; other anchors share shards of bounded bytes
+    dealt = dealt.withColumn("shard", F.when(F.col("blocks") > 1, F.xxhash64("anchor", "i", "q")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))).drop("blocks")
+    return dealt
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
