@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -17,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path below ``spark.checkpoint.dir``, or below the checkpoint folder set on the context.
+
+    Without either a folder of this machine serves a local master, as in tests;
+    on a cluster that is an error, since its executors share no such folder.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"llm-{name}-") + "/t"
-    fresh = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{shared.rstrip('/')}/llm-{name}-{fresh}"
+    return f"{shared.rstrip('/')}/llm-{name}-{uuid.uuid4()}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,14 +62,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def random_rows(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, those of the smallest ``h`` among a share chosen by h.
+    """At most ``most`` rows, one of each ``h``: those of the smallest ``h`` among a share chosen by it.
 
-    The share follows from the number of rows, so what the tasks send to sort
-    out the smallest is near ``most`` rows in all, however many tasks there are.
+    The share follows from the number of different ``h``, so what the tasks send
+    to sort out the smallest is near ``most`` rows in all, however many tasks
+    there are and however often a row repeats.
     """
     span = 1 << 30
-    share = min(1.0, 1.2 * most / max(1, rows.count()))
-    return rows.where(F.pmod("h", F.lit(span)) < int(share * span)).orderBy("h").limit(most)
+    share = min(1.0, 1.2 * most / max(1, rows.select("h").distinct().count()))
+    return rows.where(F.pmod("h", F.lit(span)) < int(share * span)).dropDuplicates(["h"]).orderBy("h").limit(most)
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Quality classifier: naive Bayes log-count ratios and a linear hinge-loss model.
 
 Counts of every feature in each class come from all labelled training rows, as
-a grouped sum. The ratios scale the binary features; the hinge-loss model is
-fitted by dual coordinate descent on a sample of at most ``SAMPLE`` rows a
-class (those of the smallest hashes), and its weights are drawn towards their
-mean size as is usual for this model. Scoring is one pass over the documents,
+a grouped sum; a text counts once for each label. A fourth of the texts, chosen
+by hash, is kept out of these counts and of the fit: the curve from margins to
+probabilities is drawn through it. The ratios scale the binary features; the
+hinge-loss model is fitted by dual coordinate descent on a sample of at most
+``most`` texts a class (those of the smallest hashes), and its weights are drawn
+towards their mean size as is usual for this model. Scoring is one pass over the documents,
 without a shuffle of texts; training shuffles them only where there are more
 than ``BROADCAST_LABELS`` labels.
 """
@@ -22,29 +24,32 @@ SAMPLE = 4000
 BROADCAST_LABELS = 2_000_000
 FOLDS, HELD = 5, 0
 CUT = 0.3
+UNSEEN = "pmod(shiftright(h, 32), 4) = 0"
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int) -> DataFrame:
-    """(text, y, h): training rows, each text once per label. Null labels, null ids and held-out ids are no training rows.
+    """(text, y, h): training rows. Null labels, null ids and held-out ids are no training rows.
 
-    Ids that are labelled both ways count for both. ``h`` orders rows at random, the same in each run.
+    Ids that are labelled both ways count for both. ``h`` names the text and
+    orders rows at random, the same in each run; rows that repeat share it.
     """
     known = private(labels, "doc_id", column).where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("y")).where(~in_fold(F.col("_id"), folds, held)).distinct()
     rows = private(docs, "doc_id", "text")
     if known.count() <= BROADCAST_LABELS:  # 12 bytes each; beyond, texts are shuffled to their labels
         known = F.broadcast(known)
-    return rows.join(known, F.col("doc_id") == F.col("_id")).select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    return rows.join(known, F.col("doc_id") == F.col("_id")).select("text", "y", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
 
-def sample(rows: DataFrame, most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``most`` rows a class; all that comes to the driver."""
-    x, y = [], []
+def sample(rows: DataFrame, most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Features, labels and ``unseen`` of at most ``most`` rows a class; all that comes to the driver."""
+    x, y, unseen = [], [], []
     for label in (0, 1):
-        for row in random_rows(rows.where(F.col("y") == label), most).select("x").collect():
+        for row in random_rows(rows.where(F.col("y") == label), most).select("x", F.expr(UNSEEN).alias("unseen")).collect():
             x.append(np.frombuffer(row.x, np.int32))
             y.append(label)
-    return x, np.array(y)
+            unseen.append(row.unseen)
+    return x, np.array(y), np.array(unseen, bool)
 
 
 def log_count_ratio(rows: DataFrame) -> np.ndarray:
@@ -94,22 +99,24 @@ def dual_descent(x: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: fl
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = FOLDS, held: int = HELD, pull: float = 0.75) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int = FOLDS, held: int = HELD, pull: float = 0.75,
+        most: int = SAMPLE) -> dict:
     """The fitted model, for ``score_rows``.
 
     With labels of one kind only, or none, all weights are 0 and the score is
-    the share of label 1 among the labels (0.5 without any).
+    the share of label 1 among the labels (0.5 without any). Where a class has
+    texts on one side of the split alone, counts, fit and curve use all texts.
     """
-    rows = stored(feature_rows(labelled(docs, labels, column, folds, held), "y", "h"), "quality-rows")
-    x, y = sample(rows)
+    rows = stored(feature_rows(labelled(docs, labels, column, folds, held), "y", "h").dropDuplicates(["y", "h"]), "quality-rows")
+    x, y, unseen = sample(rows, most)
     if len(y) == 0 or y.min() == y.max():
         share = (y.mean() if len(y) else 0.5)
         return {"weights": np.zeros(SIZE), "bias": 0.0, "norm": True, "extract": features, "slope": 0.0, "offset": float(np.log((share + 1e-9) / (1 - share + 1e-9)))}
-    ratio = log_count_ratio(rows)
-    # margins for the curve come from rows that the fit has not seen
-    part = np.arange(len(y)) % 4 == 0
-    seen = [v for v, p in zip(x, part) if not p]
-    w, bias = dual_descent(seen, y[~part], ratio)
+    split = all(len(np.unique(unseen[y == label])) == 2 for label in (0, 1))
+    ratio = log_count_ratio(rows.where(f"NOT ({UNSEEN})") if split else rows)
+    seen = ~unseen if split else np.ones(len(y), bool)
+    checked = unseen if split else seen
+    w, bias = dual_descent([v for v, p in zip(x, seen) if p], y[seen], ratio)
 
     def drawn(w):
         used = w != 0
@@ -117,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
         return (pull * w + (1 - pull) * mean * used) * ratio
 
     weights = drawn(w)
-    margins = np.array([weights[v].sum() / np.sqrt(max(1, len(v))) + bias for v, p in zip(x, part) if p])
-    slope, offset = calibrate(margins, y[part])
+    margins = np.array([weights[v].sum() / np.sqrt(max(1, len(v))) + bias for v, p in zip(x, checked) if p])
+    slope, offset = calibrate(margins, y[checked])
     return {"weights": weights, "bias": bias, "norm": True, "extract": features, "slope": slope, "offset": offset}
 
 

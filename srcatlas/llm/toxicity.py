@@ -10,8 +10,9 @@ all labelled training rows.
 Features are words and word beginnings. Those that positives do not have
 clearly more often than unlabelled documents are left out of the model.
 
-Both samples are bounded (``POSITIVES``, ``UNLABELLED`` rows of the smallest
-hashes); the prior counts every training label; scoring is one pass over the
+Both samples are bounded (``positives`` and ``free`` texts of the smallest
+hashes, each text once); the prior counts every training label, a text once for
+each; scoring is one pass over the
 documents without a shuffle of texts.
 """
 
@@ -77,10 +78,11 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held: int = HELD) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held: int = HELD,
+        positives: int = POSITIVES, free: int = UNLABELLED) -> dict:
     """The fitted model, for ``score_rows``. Without any positive the score is 0 for all."""
     rows = stored(labelled(docs, labels, column, folds, held), "toxic-rows")
-    known = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
+    known = rows.select("y", "h").distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("toxic")).first()
     if not known["toxic"]:
         return {"weights": np.zeros(SIZE), "bias": 0.0, "norm": False, "extract": roots, "slope": 0.0, "offset": -500.0}
     prior = known["toxic"] / known["n"]
@@ -89,18 +91,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
         few = random_rows(part, most).select(F.coalesce("text", F.lit("")).alias("text"), label)
         return [(np.frombuffer(r.x, np.int32), r[label]) for r in feature_rows(few, label, extract=roots).collect()]
 
-    positive = [x for x, _ in fetched(rows.where("y = 1"), POSITIVES, "y")]
+    positive = [x for x, _ in fetched(rows.where("y = 1"), positives, "y")]
     # unlabelled: any documents outside the held-out fold, whatever their labels
-    free = private(docs, "doc_id", "text").where(~in_fold(F.col("doc_id"), folds, held)).select(
-        "text", F.lit(0).alias("y"), F.xxhash64("doc_id", "text", F.lit(2)).alias("h"))
-    unlabelled = [x for x, _ in fetched(free, UNLABELLED, "y")]
+    anything = private(docs, "doc_id", "text").where(~in_fold(F.col("doc_id"), folds, held)).select(
+        "text", F.lit(0).alias("y"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(2)).alias("h"))
+    unlabelled = [x for x, _ in fetched(anything, free, "y")]
     part = np.arange(len(positive)) % 4 == 0 if len(positive) >= 40 else np.zeros(len(positive), bool)
     fitted = [x for x, p in zip(positive, part) if not p]
     keep = telling(fitted, unlabelled)
     w, b = nn_pu([x[keep[x]] for x in fitted], [x[keep[x]] for x in unlabelled], prior)
     # The curve from margins to probabilities is fitted on labelled rows, positives unseen by the fit.
     checks = [(x, 1) for x, p in zip(positive, part) if p or not part.any()]
-    checks += [(x, 0) for x, _ in fetched(rows.where("y = 0"), POSITIVES, "y")]
+    checks += [(x, 0) for x, _ in fetched(rows.where("y = 0"), positives, "y")]
     margins = np.array([w[x].sum() + b for x, _ in checks])
     slope, offset = calibrate(margins, np.array([y for _, y in checks]))
     return {"weights": w, "bias": b, "norm": False, "extract": roots, "slope": slope, "offset": offset}

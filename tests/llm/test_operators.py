@@ -360,3 +360,35 @@ def test_url_model_by_hand(spark):
     assert got.keys() == set(wanted)
     for g in wanted:
         assert abs(got[g] - np.log(probability(g, 0) / probability(g, 1))) < 1e-9
+
+
+@pytest.mark.parametrize("module,column", [(quality, "quality"), (toxicity, "toxic")])
+def test_repeated_rows_change_no_model(spark, module, column):
+    rows = _model(random.Random(5), 500)
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], f"doc_id long, {column} int")
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    positive = next((i, t) for i, t, y in rows if y and zlib.crc32(str(i).encode()) % module.FOLDS != module.HELD)
+    often = once.unionByName(spark.createDataFrame([positive], once.schema).crossJoin(spark.range(6000)).select("doc_id", "text"))
+    one, many = module.fit(once, labels, column), module.fit(often, labels, column)
+    assert np.allclose(one["weights"], many["weights"]) and abs(one["offset"] - many["offset"]) < 1e-9
+
+
+@pytest.mark.parametrize("module,column", [(quality, "quality"), (toxicity, "toxic")])
+def test_one_text_repeated_is_all_there_is(spark, module, column):
+    """The whole of a class may be one text, many times over."""
+    rows = [(9, "bad words here")] * 6000 + [(20 + i, f"good words there {i}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(9, 1)] + [(20 + i, 0) for i in range(700)], f"doc_id long, {column} int")
+    scores = module.score_rows(docs, module.fit(docs, labels, column)).groupBy(F.col("doc_id") == 9).agg(F.avg("score").alias("s")).collect()
+    scores = {r[0]: r.s for r in scores}
+    # one text is too little for the words of toxic texts to tell; it must do no harm
+    assert scores[True] > scores[False] if module is quality else 0 <= scores[True] <= 1
+
+
+def test_a_shard_of_a_frequent_anchor_holds_two_blocks(spark):
+    words = spark.range(3000).selectExpr("7L AS anchor", "id AS seg", "id + 5 AS owner", "CAST('abcdefgh' AS BINARY) AS words", "3000L AS n", "5L AS first")
+    dealt = substring_dedup._dealt(words, 100)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert max(sizes) <= 2 * 125 and sum(sizes) > 3000
+    small = substring_dedup._dealt(words.where("seg < 100").withColumn("n", F.lit(100)), 100)
+    assert [r["count"] for r in small.groupBy("shard").count().collect()] == [100]
