@@ -216,6 +216,15 @@ TREE_QUERIES = {
     "match_same": _tree_query(
         Node("order", capture="o", children=[Node("item", capture="a"), Node("status", capture="s")]),
         same=[("a", "o")]),
+    "match_optional": _tree_query(Node("customer", capture="c", children=[
+        Node("segment", capture="s"), Node("order", optional=True, capture="o", children=[Node("status", eq="P")])])),
+    "match_repeated": _tree_query(Node("order", capture="o", children=[
+        Node("item", repeated=True, capture="i"), Node("status", eq="F", capture="s")])),
+    "match_absent": _tree_query(Node("customer", capture="c", children=[
+        Node("segment", any_of=["BUILDING", "MACHINERY"]), Node("order", absent=True, children=[Node("status", eq="F")])])),
+    "match_any": _tree_query(
+        Node("order", capture="some", children=[Node("item", repeated=True, some_match="7$", capture="i")]),
+        Node("order", capture="every", children=[Node("item", repeated=True, not_match="7$")])),
     "match_siblings": _tree_query(Node("order", capture="o", children=[Node("item", capture="a"), Node("item", capture="b")])),
 }
 
@@ -415,6 +424,11 @@ _ITEM_PAIRS = (f"SELECT a.n_regionkey, a.o_orderkey, a.l_partkey, b.l_partkey AS
                f"JOIN ({_NUMBERED}) b ON a.l_orderkey = b.l_orderkey AND a.i < b.i")
 
 
+_PARTIAL_ORDERS = f"{_CUSTOMERS} LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey"
+_HAS_ITEMS = "EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = o_orderkey)"
+_ITEM_ENDS_IN_7 = "EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = o_orderkey AND x.l_partkey % 10 = 7)"
+
+
 def _nodes(capture: str, text: str, rows: str) -> str:
     return (f"SELECT '@{capture}' AS capture, ({text})::VARCHAR AS text, 'region_' || n_regionkey AS file, "
             f"1::BIGINT AS start_line, 1::BIGINT AS end_line FROM {rows}")
@@ -492,6 +506,19 @@ def oracle_sql() -> dict[str, str]:
         "match_same": _union(*[
             _nodes(capture, text, f"({_ITEMS}) WHERE l_partkey = o_orderkey") for capture, text in [
                 ("o", "o_orderkey"), ("a", "l_partkey"), ("s", "o_orderstatus")]]),
+        "match_optional": _union(*[
+            _nodes(capture, text, f"({_PARTIAL_ORDERS}){rest}") for capture, text, rest in [
+                ("c", "c_name", ""), ("s", "c_mktsegment", ""), ("o", "o_orderkey", " WHERE o_orderkey IS NOT NULL")]]),
+        "match_repeated": _union(
+            _nodes("o", "o_orderkey", f"({_ORDERS}) WHERE o_orderstatus = 'F' AND {_HAS_ITEMS}"),
+            _nodes("i", "l_partkey", f"({_ITEMS}) WHERE o_orderstatus = 'F'"),
+            _nodes("s", "o_orderstatus", f"({_ORDERS}) WHERE o_orderstatus = 'F' AND {_HAS_ITEMS}")),
+        "match_absent": _nodes("c", "c_name", f"({_CUSTOMERS}) WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS "
+                               "(SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
+        "match_any": _union(
+            _nodes("some", "o_orderkey", f"({_ORDERS}) WHERE {_ITEM_ENDS_IN_7}"),
+            _nodes("i", "l_partkey", f"({_ITEMS}) WHERE {_ITEM_ENDS_IN_7}"),
+            _nodes("every", "o_orderkey", f"({_ORDERS}) WHERE {_HAS_ITEMS} AND NOT {_ITEM_ENDS_IN_7}")),
         "match_siblings": _union(*[_nodes(capture, text, f"({_ITEM_PAIRS})") for capture, text in [
             ("o", "o_orderkey"), ("a", "l_partkey"), ("b", "other")]]),
         "index_roundtrip": _indexed("false", "true"),
