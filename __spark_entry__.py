@@ -18,10 +18,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpora import spark as cs, sql as cq
-from corpora.templates import FIXED_NAMES, LANG_ORDER, MENTIONS
+from corpora.templates import CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
 from srcatlas import configure
 from srcatlas.functions import langs, paths
 from srcatlas.operators import declarations as decl, scope, structural, tokens
+from srcatlas.operators.nodes import nodes_from_source
 from srcatlas.operators.structural import Tok
 from srcatlas.operators.tree import AnyOf, Node, match_nodes
 from srcatlas.plans import index as plans
@@ -229,6 +230,39 @@ TREE_QUERIES = {
 }
 
 
+NODE_LANGS = ["rust", "javascript", "go"]
+
+
+def _code_nodes(spark, sf):
+    """Nodes of a part corpus for each of three languages; file names tell them apart."""
+    out = None
+    for lang in NODE_LANGS:
+        nodes = nodes_from_source(cs.part_files(spark, sf, lang), lang)
+        out = nodes if out is None else out.unionByName(nodes)
+    return out
+
+
+def nodes_from_tokens(spark, sf):
+    """Declarations and calls with the node that they are in."""
+    nodes = _code_nodes(spark, sf)
+    kinds = ["fn", "method", "struct", "enum", "trait", "mod", "class", "call"]
+    inner = nodes.where(F.col("type").isin(kinds)).select("file", "node_id", "parent_id", "type", "start_line", "end_line")
+    names = nodes.where("field IN ('name', 'function')").selectExpr("file AS f", "parent_id AS owner", "text AS name")
+    outer = nodes.selectExpr("file AS g", "node_id AS parent", "type AS inside", "field AS place")
+    found = inner.join(names, (F.col("file") == F.col("f")) & (F.col("node_id") == F.col("owner")))
+    return found.join(outer, (F.col("file") == F.col("g")) & (F.col("parent_id") == F.col("parent"))).select(
+        "file", "type", "name", "start_line", "end_line", "inside", "place")
+
+
+def match_code(spark, sf):
+    """Functions with each call that stands in their body, and functions without any."""
+    calls = Node("call", children=[Node("ident", field="function", capture="callee")])
+    body = Node("braces", field="body", children=[calls])
+    return match_nodes(
+        _code_nodes(spark, sf), Node("fn", children=[Node("ident", field="name", capture="fn"), body]),
+        Node("fn", children=[Node("ident", field="name", capture="without"), Node("braces", field="body", children=[Node("call", absent=True)])]))
+
+
 # ------------------------------------------------------------------- the index
 
 def _snapshots(spark, sf):
@@ -359,7 +393,7 @@ _QUERIES = {f.__name__: f for f in (
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
-    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched,
+    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, nodes_from_tokens, match_code,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
 
 
@@ -553,6 +587,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT f.path AS file, replace(replace(t.name, '{k}', f.k::VARCHAR), '{n}', f.n) AS text, "
         f"t.line::BIGINT AS line FROM ({_FILES}) f JOIN (VALUES {mentions}) AS t(lang, name, line) ON f.lang = t.lang")
     out["scan_corpus"] = cq.written_files()
+    out["nodes_from_tokens"] = _union(*[cq.rendered(lang, NESTED[lang], "type name start_line end_line inside place") for lang in NODE_LANGS])
+    out["match_code"] = _union(*[cq.rendered(lang, CODE_MATCHES[lang], "capture text start_line end_line") for lang in NODE_LANGS])
     for lang in LANG_ORDER:
         out[f"symbols_{lang}"] = f"SELECT name, kind, file, line FROM ({cq.planted(lang)})"
     return out | llm.SQL if llm else out

@@ -49,6 +49,21 @@ def planted(lang: str | None = None, langs: list[str] | None = None) -> str:
             f"AS t(lang, kind, name, line, end_line) ON f.lang = t.lang")
 
 
+def rendered(lang: str, rows: list[tuple], columns: str) -> str:
+    """SELECT file and the given columns: each row once for each file of a part corpus in ``lang``."""
+    names = columns.split()
+    values = ", ".join("(" + ", ".join("null" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in rows)
+
+    def filled(i: int, name: str) -> str:
+        kinds = {type(row[i]) for row in rows} - {type(None)}
+        if kinds == {int}:
+            return f"t.{name}::BIGINT AS {name}"
+        return f"replace(replace(t.{name}::VARCHAR, '{{k}}', f.k::VARCHAR), '{{n}}', f.n) AS {name}"
+
+    return (f"SELECT f.path AS file, {', '.join(filled(i, n) for i, n in enumerate(names))} FROM ({part_files(lang)}) f, "
+            f"(VALUES {values}) AS t({', '.join(names)})")
+
+
 def order_lines() -> str:
     """Numbered order lines: l_orderkey, l_partkey, l_linenumber, i."""
     return ("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey "

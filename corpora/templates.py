@@ -140,3 +140,27 @@ MENTIONS = {
 }
 # Identifiers of the templates that end in digits of their own.
 FIXED_NAMES = ["i32"]
+
+# Declarations and calls as nodes: (type, name, line, last line, type of the node around, its field)
+NESTED = {
+    "rust": [
+        ("struct", "T{k}", 2, 2, "file", None), ("enum", "E{k}", 3, 3, "file", None), ("trait", "R{k}", 4, 4, "file", None),
+        ("fn", "sig_{k}", 6, 6, "braces", None), ("call", "helper_{k}", 6, 6, "braces", "body"), ("call", "go_{k}", 6, 6, "braces", "body"),
+        ("mod", "m{k}", 11, 11, "file", None), ("fn", "{n}_{k}", 11, 11, "braces", "body"),
+    ],
+    "javascript": [
+        ("class", "K{k}", 2, 4, "file", None), ("method", "meth_{k}", 3, 3, "braces", "body"), ("fn", "{n}_{k}", 5, 5, "file", None),
+        ("call", "helper_{k}", 5, 5, "braces", "body"),
+    ],
+    "go": [("method", "M{k}", 7, 7, "file", None), ("fn", "{n}_{k}", 8, 8, "file", None)],
+}
+
+# (capture, text, line, line): functions and the calls in their bodies, and functions without any
+CODE_MATCHES = {
+    "rust": [
+        ("@fn", "sig_{k}", 6, 6), ("@callee", "helper_{k}", 6, 6), ("@fn", "sig_{k}", 6, 6), ("@callee", "go_{k}", 6, 6),
+        ("@without", "{n}_{k}", 11, 11),
+    ],
+    "javascript": [("@fn", "{n}_{k}", 5, 5), ("@callee", "helper_{k}", 5, 5)],
+    "go": [("@without", "{n}_{k}", 8, 8)],
+}

@@ -162,15 +162,15 @@ _ITEM_START = f"""CASE
     END"""
 
 
-def _leveled(tokens: DataFrame, langs: list[str] | None, extra: dict[str, list[Rule]], heads: bool) -> DataFrame:
-    """Tokens a declaration can use, one row per token and level: an opening
-    bracket also starts the level inside it (``edge``)."""
+def _leveled(tokens: DataFrame, langs: list[str] | None, extra: dict[str, list[Rule]], heads: bool, every: bool) -> DataFrame:
+    """Tokens a declaration can use (or ``every`` token), one row per token and
+    level: an opening bracket also starts the level inside it (``edge``)."""
     marked = with_neighbours(tokens, before=3, after=2).selectExpr(
         "*", f"{_name_rule(langs, extra)} AS rule", f"{_IN_GROUP} AS in_group", f"{_GENERIC} AS generic",
         f"last({_ITEM_START}, true) OVER {RUNNING} AS head" if heads else f"{_NO_HEAD} AS head")
     return marked.selectExpr("*", f"""inline(CASE
         WHEN {OPENS} AND {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge), struct(level + 1 AS lv, true AS edge))
-        WHEN rule IS NOT NULL OR in_group OR generic OR {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge))
+        WHEN {every} OR rule IS NOT NULL OR in_group OR generic OR {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge))
         END)""")
 
 
@@ -233,18 +233,18 @@ _SYMBOL = f"""CASE
 
 
 def resolve(tokens: DataFrame, langs: list[str] | None = None,
-            extra: dict[str, list[Rule]] | None = None, heads: bool = False) -> DataFrame:
+            extra: dict[str, list[Rule]] | None = None, heads: bool = False, every: bool = False) -> DataFrame:
     """Per token and level: ``own`` (the name before my bracket pair), ``encl``
     (the bracket around me), ``pend`` (the declaration waiting for its body)
     and ``sym`` where a declaration is complete. ``heads`` also finds where the
-    whole item starts."""
+    whole item starts; ``every`` keeps all tokens but comments."""
     opened = _owner("p1_cls", "p1", "p1_line", "p1_pos", "head", "p2", "p3", "coalesce(p1_line > p2_line_end, true)")
     named = _owner("cls", "text", "line", "pos", "head", "p1", "p2", "starts_line")
-    around = _leveled(tokens, langs, extra or {}, heads).selectExpr(
+    around = _leveled(tokens, langs, extra or {}, heads, every).selectExpr(
         "*", f"last(CASE WHEN NOT edge AND {OPENS} THEN {_MACRO_OPENS} END, true) OVER {SO_FAR} AS macro_pair",
         f"last(CASE WHEN NOT edge AND text = '(' THEN {opened} END, true) OVER {SO_FAR} AS direct",
         f"last(CASE WHEN generic THEN {named} WHEN {_STOPS} THEN {_NO_OWNER} END, true) OVER {SO_FAR} AS typed",
-        f"last(CASE WHEN edge THEN struct(text, p1, p2) END, true) OVER {SO_FAR} AS encl")
+        f"last(CASE WHEN edge THEN struct(text, p1, p2, pos, until) END, true) OVER {SO_FAR} AS encl")
     owned = around.selectExpr("*", "CASE WHEN direct.name = '>' THEN typed ELSE direct END AS own")
     return owned.selectExpr("*", f"{_WAITS} AS waits").selectExpr(
         "*", f"last(waits, true) OVER {BEFORE} AS pend",
@@ -296,10 +296,9 @@ def extract_symbols(files: DataFrame, lang: str | None = None, cap: int | None =
 _DEFINITION = "STRUCT<name: STRING, kind: STRING, line: BIGINT, pos: BIGINT, head: STRUCT<line: BIGINT, at: BIGINT>>"
 
 
-def _block_spans(tokens: DataFrame, langs: list[str], extra: dict[str, list[Rule]] | None) -> DataFrame:
-    """Ends of declarations in the languages with brackets: the brace that
-    closes the body, or the semicolon when there is none."""
-    rows = resolve(tokens, langs, extra, heads=True)
+def with_ends(rows: DataFrame) -> DataFrame:
+    """Adds ``ended`` to what ``resolve`` gives: the declaration that a token ends,
+    by closing its body or, without one, as its terminator."""
     # A declaration complete at its name still waits for its body here.
     rows = rows.selectExpr("*", f"""(last(CASE
         WHEN sym IS NOT NULL AND text <> '{{' THEN struct(sym AS def)
@@ -307,9 +306,15 @@ def _block_spans(tokens: DataFrame, langs: list[str], extra: dict[str, list[Rule
     rows = rows.selectExpr("*", f"""(last(CASE
         WHEN text = '{{' AND NOT edge THEN named_struct('def', coalesce(sym, header))
         END, true) OVER {BEFORE}).def AS body_of""")
+    return rows.selectExpr("*", "CASE WHEN edge THEN null WHEN text = '}' THEN body_of WHEN text = ';' THEN header END AS ended")
+
+
+def _block_spans(tokens: DataFrame, langs: list[str], extra: dict[str, list[Rule]] | None) -> DataFrame:
+    """Ends of declarations in the languages with brackets: the brace that
+    closes the body, or the semicolon when there is none."""
+    rows = with_ends(resolve(tokens, langs, extra, heads=True))
     rows = rows.selectExpr(
-        "file", "lang", "valid", "pos", "macro", "sym", "line", "until",
-        "CASE WHEN edge THEN null WHEN text = '}' THEN body_of WHEN text = ';' THEN header END AS ended")
+        "file", "lang", "valid", "pos", "macro", "sym", "line", "until", "ended")
     if "rust" in langs:
         rows = _outside_macros(rows.where("sym IS NOT NULL OR ended IS NOT NULL OR macro <> 0"))
     both = rows.where("sym IS NOT NULL OR ended IS NOT NULL").selectExpr("file", "lang", "valid", """inline(array(
