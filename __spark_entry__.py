@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 import sys
 import tempfile
 from collections.abc import Callable
@@ -18,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpora import spark as cs, sql as cq
-from corpora.templates import CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
+from corpora.templates import CALL_TEMPLATES, CALLS, CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
 from srcatlas import configure
 from srcatlas.functions import langs, paths
 from srcatlas.operators import declarations as decl, scope, structural, tokens
@@ -167,6 +168,12 @@ def find_calls(spark, sf):
     return structural.find_calls(cs.call_files(spark, sf), None, "python", limit=None)
 
 
+def calls_of(lang):
+    def query(spark, sf):
+        return structural.find_calls(cs.part_files(spark, sf, lang, CALL_TEMPLATES), None, lang)
+    return query
+
+
 def find_calls_by_name(spark, sf):
     return structural.find_calls(cs.call_files(spark, sf), "part_77", "python", limit=None)
 
@@ -394,7 +401,8 @@ _QUERIES = {f.__name__: f for f in (
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
     list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, nodes_from_tokens, match_code,
-)} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
+)} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | {
+    f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -519,7 +527,8 @@ def oracle_sql() -> dict[str, str]:
                        "|| '}'", "impl", 5, 7)),
         "find_calls": f"SELECT {_MATCH} FROM ({_CALLS})",
         "find_calls_by_name": f"SELECT {_MATCH} FROM ({_CALLS}) WHERE text IN ('part_77', 'part_77()')",
-        "find_method_calls": f"SELECT {_MATCH} FROM ({_RECEIVER_CALLS}) WHERE ix = 1",
+        "find_method_calls": f"SELECT {_MATCH} FROM ({_RECEIVER_CALLS}) WHERE ix = 1 UNION ALL SELECT '@call' AS capture, "
+                             f"'self.' || text || '()' AS text, file, start_line, end_line FROM ({_RECEIVER_CALLS}) WHERE ix = 1",
         "match_tokens": f"SELECT {_MATCH} FROM ({_RECEIVER_CALLS})",
         "match_limit": f"SELECT {_MATCH} FROM ({_RECEIVER_CALLS} ORDER BY file, i, ix LIMIT 500)",
         "match_nodes": _nodes("c", "c_name", f"({_ORDERS})"),
@@ -590,5 +599,8 @@ def oracle_sql() -> dict[str, str]:
     out["nodes_from_tokens"] = _union(*[cq.rendered(lang, NESTED[lang], "type name start_line end_line inside place") for lang in NODE_LANGS])
     out["match_code"] = _union(*[cq.rendered(lang, CODE_MATCHES[lang], "capture text start_line end_line") for lang in NODE_LANGS])
     for lang in LANG_ORDER:
+        found = [(capture, text, line, line) for call, line in CALLS[lang]
+                 for capture, text in (("@call", call), ("@fn", re.split("[(<]| {", call)[0]))]
+        out[f"find_calls_{lang}"] = cq.rendered(lang, found, "capture text start_line end_line")
         out[f"symbols_{lang}"] = f"SELECT name, kind, file, line FROM ({cq.planted(lang)})"
     return out | llm.SQL if llm else out

@@ -16,7 +16,7 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.lit(values), (index + 1).cast("int"))
 
 
-def part_files(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+def part_files(spark: SparkSession, sf_dir: str, lang: str | None = None, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """One source file per part: in ``lang``, or spread over all nine."""
     k, count = F.col("k"), len(LANG_ORDER)
     parts = table(spark, sf_dir, "part").selectExpr(
@@ -25,7 +25,7 @@ def part_files(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Dat
     chosen = _pick(LANG_ORDER, k % count) if lang is None else F.lit(lang)
     nth = F.floor(k / count) if lang is None else k
     langs = [lang] if lang else LANG_ORDER
-    texts = F.create_map(*[F.lit(x) for name in langs for x in (name, "\n".join(TEMPLATES[name]) + "\n")])
+    texts = F.create_map(*[F.lit(x) for name in langs for x in (name, "\n".join(templates[name]) + "\n")])
     exts = F.create_map(*[F.lit(x) for name in langs for x in (name, EXTENSIONS[name])])
     parts = parts.select("*", chosen.alias("lang"), nth.alias("nth"))
     parts = parts.select("*", F.element_at(texts, F.col("lang")).alias("template"),

@@ -138,6 +138,53 @@ MENTIONS = {
     ],
     "bash": [("{n}_{k}", [2]), ("g{k}", [5])],
 }
+# Calls, and what only looks like them: patterns, attributes, variants, signatures, initialisers, macro arguments
+CALL_TEMPLATES = {
+    "rust": [
+        "#[derive(Debug)]", "#[cfg(test)]", "enum E{k} { A(i32), B(Vec<u8>) }", "fn f{k}(o: Option<i32>) -> Result<i32, E{k}> {",
+        "    match o { Some(x) => one_{k}(x), None => two_{k}(), }", "    if let Some(Ok(y)) = three_{k}(o) { four_{k}(y); }",
+        "    match g{k}(1) { Some(P(z)) | Q(z) if five_{k}(z) => six_{k}(z), _ => {} }", '    println!("{}", in_macro(1));',
+        "    let v = Some(seven_{k}(1));", "}",
+    ],
+    "python": [
+        "class K{k}(Base):", "    def m(self):", "        match g_{k}(1):", "            case Point(x) | Line(x) if ok_{k}(x):", "                h_{k}(x)",
+        "        return self.a[0].b(c_{k}(2)).d()",
+    ],
+    "go": [
+        "package p", "type I{k} interface { Meth(a int) }", "var (", "  x = f_{k}(1)", ")", "func (t T) M{k}() { g_{k}(2); t.h(3) }",
+    ],
+    "c": ["int f{k}(int a);", "#define M(x) h(x)", "int main(void) { g_{k}(1); return h_{k}(2); }"],
+    "cpp": ["C{k}::C{k}(int a) : x(1), y(h_{k}(a)) { f_{k}(a); }", "int g{k}(int a) { return a ? k_{k}(a) : l_{k}(1); }"],
+    "swift": [
+        "@available(iOS 13, *)", "enum E{k} { case k(Int); case l }", "class A{k} { init(x: Int) { super.init(x) }", "  func f() { g_{k}(1)",
+        "    run_{k} { h_{k}(2) }", "    if x { self.list.map { $0 } }", "  } }",
+    ],
+    "typescript": [
+        "interface I{k} { m(a: number): void }", "class K{k} { n(a: number): number { return e_{k}<T>(1) + this.q.r(2); } }",
+        "if (a_{k}(1) && b < c) { d_{k}(2); }",
+    ],
+    "javascript": ["class K{k} { meth(a) { if (a) { return b_{k}(a); } } }", "const z = async (x) => f_{k}(x).then(y => g_{k}(y));"],
+    "bash": [
+        "A=1 cmd_{k} one", "case $x in", "  a) arm_{k} two ;;", "  b|c) other_{k} ;;", "esac", "f{k}() { inner_{k}; }", "plain_{k} && next_{k} | last_{k}",
+    ],
+}
+
+# (call, line); a name ends where its arguments start
+CALLS = {
+    "rust": [
+        ("one_{k}(x)", 5), ("two_{k}()", 5), ("three_{k}(o)", 6), ("four_{k}(y)", 6), ("g{k}(1)", 7), ("five_{k}(z)", 7), ("six_{k}(z)", 7),
+        ("Some(seven_{k}(1))", 9), ("seven_{k}(1)", 9),
+    ],
+    "python": [("g_{k}(1)", 3), ("ok_{k}(x)", 4), ("h_{k}(x)", 5), ("c_{k}(2)", 6)],
+    "go": [("f_{k}(1)", 4), ("g_{k}(2)", 6)],
+    "c": [("g_{k}(1)", 3), ("h_{k}(2)", 3)],
+    "cpp": [("h_{k}(a)", 1), ("f_{k}(a)", 1), ("k_{k}(a)", 2), ("l_{k}(1)", 2)],
+    "swift": [("g_{k}(1)", 4), ("run_{k} { h_{k}(2) }", 5), ("h_{k}(2)", 5)],
+    "typescript": [("e_{k}<T>(1)", 2), ("a_{k}(1)", 3), ("d_{k}(2)", 3)],
+    "javascript": [("b_{k}(a)", 1), ("f_{k}(x)", 2), ("g_{k}(y)", 2)],
+    "bash": [("cmd_{k}", 1), ("arm_{k}", 3), ("other_{k}", 4), ("inner_{k}", 6), ("plain_{k}", 7), ("next_{k}", 7), ("last_{k}", 7)],
+}
+
 # Identifiers of the templates that end in digits of their own.
 FIXED_NAMES = ["i32"]
 

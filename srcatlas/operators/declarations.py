@@ -23,6 +23,8 @@ CAP_PER_FILE = 500
 
 LEVEL = "PARTITION BY file, lv ORDER BY pos"
 SO_FAR = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BEFORE_IT = "(PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+BACKWARDS = f"({LEVEL} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
@@ -167,9 +169,11 @@ def _leveled(tokens: DataFrame, langs: list[str] | None, extra: dict[str, list[R
     level: an opening bracket also starts the level inside it (``edge``)."""
     marked = with_neighbours(tokens, before=3, after=2).selectExpr(
         "*", f"{_name_rule(langs, extra)} AS rule", f"{_IN_GROUP} AS in_group", f"{_GENERIC} AS generic",
-        f"last({_ITEM_START}, true) OVER {RUNNING} AS head" if heads else f"{_NO_HEAD} AS head")
+        f"last({_ITEM_START}, true) OVER {RUNNING} AS head" if heads else f"{_NO_HEAD} AS head",
+        f"coalesce(last(CASE WHEN text = 'enum' THEN true WHEN text IN (';', '{{', '}}') THEN false END, true) OVER {BEFORE_IT}, false) AS of_enum"
+        if every else "false AS of_enum")
     return marked.selectExpr("*", f"""inline(CASE
-        WHEN {OPENS} AND {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge), struct(level + 1 AS lv, true AS edge))
+        WHEN {OPENS} AND ({every} OR {_STRUCTURAL}) THEN array(struct(level AS lv, false AS edge), struct(level + 1 AS lv, true AS edge))
         WHEN {every} OR rule IS NOT NULL OR in_group OR generic OR {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge))
         END)""")
 
@@ -185,7 +189,7 @@ def _waiting(kind: str, need: str, name: str, line: str, pos: str, head: str) ->
 
 
 # The bracket that opens the body of a Rust macro call or definition.
-_MACRO_OPENS = ("(lang = 'rust' AND ((coalesce(p1, '') = '!' AND coalesce(p2_cls, '') IN ('ident', 'qualified')"
+MACRO_OPENS = ("(lang = 'rust' AND ((coalesce(p1, '') = '!' AND coalesce(p2_cls, '') IN ('ident', 'qualified')"
                 f" AND NOT {words_in('p2', 'return if while match in else break')})"
                 " OR (coalesce(p2, '') = '!' AND coalesce(p3, '') = 'macro_rules')))")
 _STOPS = "(edge OR text IN (';', '{', '}'))"
@@ -241,10 +245,10 @@ def resolve(tokens: DataFrame, langs: list[str] | None = None,
     opened = _owner("p1_cls", "p1", "p1_line", "p1_pos", "head", "p2", "p3", "coalesce(p1_line > p2_line_end, true)")
     named = _owner("cls", "text", "line", "pos", "head", "p1", "p2", "starts_line")
     around = _leveled(tokens, langs, extra or {}, heads, every).selectExpr(
-        "*", f"last(CASE WHEN NOT edge AND {OPENS} THEN {_MACRO_OPENS} END, true) OVER {SO_FAR} AS macro_pair",
+        "*", f"last(CASE WHEN NOT edge AND {OPENS} THEN {MACRO_OPENS} END, true) OVER {SO_FAR} AS macro_pair",
         f"last(CASE WHEN NOT edge AND text = '(' THEN {opened} END, true) OVER {SO_FAR} AS direct",
         f"last(CASE WHEN generic THEN {named} WHEN {_STOPS} THEN {_NO_OWNER} END, true) OVER {SO_FAR} AS typed",
-        f"last(CASE WHEN edge THEN struct(text, p1, p2, pos, until) END, true) OVER {SO_FAR} AS encl")
+        f"last(CASE WHEN edge THEN struct(text, p1, p2, pos, until, of_enum) END, true) OVER {SO_FAR} AS encl")
     owned = around.selectExpr("*", "CASE WHEN direct.name = '>' THEN typed ELSE direct END AS own")
     return owned.selectExpr("*", f"{_WAITS} AS waits").selectExpr(
         "*", f"last(waits, true) OVER {BEFORE} AS pend",

@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from srcatlas.functions.langs import resolve_lang
 from srcatlas.functions.paths import decode_capture, source_text
-from srcatlas.operators.declarations import BEFORE, LEVEL, resolve, with_ends, words_in
+from srcatlas.operators.declarations import BACKWARDS, resolve, with_ends, words_in
 from srcatlas.operators.tokens import CLOSES, OPENS, RUNNING, partition_count, positioned
 
-BACKWARDS = f"({LEVEL} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 WITHOUT_BLOCKS = ("python", "bash")
 # Words before a parenthesis that call nothing, and words before a name that is declared, not called.
 NOT_CALLED = ("if for while switch catch match return func function fn else sizeof in typeof await case guard with"

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from srcatlas.functions.langs import resolve_lang
 from srcatlas.functions.paths import decode_capture, path_scope, source_text
-from srcatlas.operators.declarations import TS_MEMBER_STARTS, Rule, definition_spans, words_in
-from srcatlas.operators.tokens import BY_FILE, captured, positioned, with_neighbours
+from srcatlas.operators.declarations import BACKWARDS, BEFORE, BEFORE_IT, MACRO_OPENS, SO_FAR, TS_MEMBER_STARTS, Rule, definition_spans, resolve, words_in
+from srcatlas.operators.tokens import BY_FILE, CLOSES, OPENS, RUNNING, captured, positioned, with_neighbours
 
 MAX_CAPTURES = 500
 
@@ -96,56 +96,112 @@ def find_impls(files: DataFrame, trait: str | None, lang: str = "rust", path: st
     return limited(_with_item(chosen, spans, "@trait", "@impl"), limit)
 
 
-_DECLARES = "('fn', 'def', 'func', 'function', 'class', 'new', 'struct', 'enum', 'protocol', 'macro_rules')"
-_MEMBER = "('.', '?.', '->')"
-_C_KEYWORDS = "('return', 'else', 'do', 'case', 'throw', 'goto', 'co_return', 'co_await', 'co_yield', 'and', 'or', 'not')"
+_DECLARES = "fn def func function class new struct enum protocol macro_rules"
+_MEMBER = ". ?. ->"
+_C_KEYWORDS = "return else do case throw goto co_return co_await co_yield and or not"
+# Words before a parenthesis that are no names, by language.
+_WORDS = {
+    "rust": "Fn FnMut FnOnce if match while for in return fn let move where pub as",
+    "python": "if elif while for in not and or return yield lambda assert is del raise await else except import with case",
+    "go": "if for switch func return else case select go defer range type var const import chan map interface struct",
+}
+_OTHER_WORDS = "if for while switch catch function return func else sizeof in typeof await case guard with super import"
+# Swift names before braces that open no closure.
+_SWIFT_BLOCKS = "else do get set willSet didSet defer repeat init deinit catch try return in throws rethrows async"
+_ENDS_VALUE = ("(coalesce(p1, '') IN (')', ']', '}', '?', '!') OR coalesce(p1_cls, '') IN ('ident', 'qualified', 'string', 'number', 'regex'))")
+# Where a chain of names, members, calls and indices starts.
+_STARTS_CHAIN = (f"(NOT edge AND NOT {CLOSES} AND NOT {words_in('p1', '. ?. -> ::')}"
+                 f" AND NOT ((text IN ('.', '?.', '->', '::', '?', '!', '(', '[') OR (lang = 'swift' AND text = '{{')) AND {_ENDS_VALUE}))")
+
+# What an opening bracket holds that is no code: attributes, macro arguments, patterns.
+_HIDES = {
+    "rust": f"""(text = '[' AND (p1 = '#' OR (p1 = '!' AND p2 = '#'))) OR {MACRO_OPENS}
+        OR (text = '(' AND (coalesce(p1, '') = 'let' OR stop = 'let'
+            OR (stop IN ('{{', '}}', ',', '|') AND next_stop IN ('=>', 'if'))))""",
+    "python": "text = '(' AND in_case = 'case'",
+    "swift": "text = '(' AND coalesce(p2, '') IN ('@', '#')",
+}
+_PARTS = "'=>', '=', ',', ';', '{', '}', 'if', 'let', '|', 'while', 'for', 'in', 'return', 'match', 'else', 'case'"
+
+
+def _call_rows(files: DataFrame, lang: str) -> DataFrame:
+    """Every token with what decides about calls: the declaration that starts
+    next, its bracket's other end, and the brackets around that hold no code."""
+    rows = resolve(positioned(files, [lang]), [lang], every=True)
+    rows = rows.selectExpr(
+        "*", f"last(CASE WHEN NOT edge THEN sym END, true) OVER {BACKWARDS} AS declared",
+        f"last(CASE WHEN NOT edge AND {CLOSES} THEN struct(line, line_end, until, n1) END, true) OVER {BACKWARDS} AS closed",
+        f"last(CASE WHEN edge THEN 'edge' WHEN text IN ({_PARTS}) AND text <> '|' THEN text END, true) OVER {BACKWARDS} AS next_stop",
+        f"last(CASE WHEN edge THEN 'edge' WHEN text IN (';', '{{', '}}') THEN text END, true) OVER {BACKWARDS} AS next_end")
+    rows = rows.selectExpr(
+        "*", f"last(CASE WHEN edge OR text IN ({_PARTS}) THEN text END, true) OVER {BEFORE} AS stop",
+        f"last(CASE WHEN text = ':' AND p1 IN (')', 'noexcept') THEN 'members' WHEN edge OR text IN (';', '{{', '}}') THEN 'none' END, true) OVER {BEFORE} AS in_list",
+        f"last(CASE WHEN text = 'case' AND starts_line THEN 'case' WHEN text IN (':', 'if') OR starts_line OR edge THEN 'none' END, true) OVER {BEFORE} AS in_case",
+        f"last(CASE WHEN {words_in('text', 'case let var func static init')} THEN text WHEN edge THEN 'none' END, true) OVER {BEFORE} AS member",
+        f"last(CASE WHEN {_STARTS_CHAIN} THEN struct(at, line) END, true) OVER {SO_FAR} AS chain",
+        f"""last(CASE WHEN cls = 'ident' AND n1 = '<' THEN named_struct('name', text, 'pos', pos, 'line', line, 'at', at, 'before', p1)
+            WHEN edge OR text IN ('(', ')', ';', '{{', '}}', '=', '&&', '||', '?') THEN named_struct('name', CAST(null AS STRING), 'pos', 0L, 'line', 0L, 'at', 0L, 'before', '')
+            END, true) OVER {BEFORE} AS typed_name""")
+    rows = rows.selectExpr("*", f"NOT edge AND {OPENS} AND coalesce({_HIDES.get(lang, 'false')}, false) AS hides")
+    rows = rows.selectExpr("*", f"last(CASE WHEN NOT edge AND {OPENS} THEN hides END, true) OVER {SO_FAR} AS hidden_pair")
+    rows = rows.selectExpr("*", f"""CASE WHEN hides THEN 1 WHEN NOT edge AND {CLOSES} AND coalesce(hidden_pair, false) THEN -1 ELSE 0 END AS step""")
+    return rows.selectExpr("*", f"sum(step) OVER {RUNNING} AS hidden") if lang in _HIDES else rows.selectExpr("*", "0L AS hidden")
 
 
 def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool = False) -> DataFrame:
-    """Call sites: file, pos, name, line, start_at, end_at, end_line.
+    """Call sites: file, valid, pos, name, line, start_line, end_line, start_at, end_at, value_line, value_at.
 
-    A call is a name before a pair of parentheses; the row at the closing one
-    knows both ends. ``methods`` asks for calls on a receiver instead.
+    A call is a name before a pair of parentheses, or in Swift before a closure
+    alone, that declares nothing, is no pattern, attribute, enum variant,
+    interface method or member initialiser, and stands in no macro's arguments.
+    ``methods`` asks for calls on a receiver instead; ``value_at`` is where the
+    chain of names, calls and indices before the call starts.
     """
     if lang == "bash":
         return _bash_commands(files, name)
-    rows = with_neighbours(positioned(files, [lang]), before=2, after=1)
-    rows = rows.where("text IN ('(', ')')")
-    level = "(PARTITION BY file, paren, brace ORDER BY pos ROWS UNBOUNDED PRECEDING)"
-    opened = ("named_struct('cls', p1_cls, 'name', p1, 'pos', p1_pos, 'line', p1_line, 'at', p1_at, 'before', p2,"
-              " 'before_cls', p2_cls, 'brace', brace, 'starts', coalesce(p1_line > p2_line_end, true))")
-    rows = rows.selectExpr("*", f"last(CASE WHEN text = '(' THEN {opened} END, true) OVER {level} AS own")
-    rows = rows.where("text = ')' AND own.cls = 'ident'")
+    rows = _call_rows(files, lang).where("NOT edge AND hidden = 0")
+    direct = "named_struct('name', p1, 'cls', p1_cls, 'pos', p1_pos, 'line', p1_line, 'at', p1_at, 'before', p2, 'starts', coalesce(p1_line > p2_line_end, true))"
+    opens = "text = '(' AND p1_cls = 'ident'"
+    if lang == "swift":
+        alone = (f"text = '{{' AND p1_cls = 'ident' AND p1_line = line AND NOT {words_in('p1', _SWIFT_BLOCKS)}"
+                 f" AND (p2 IS NULL OR p1_line > p2_line_end OR {words_in('p2', '{ } ; = return . ?. (')})")
+        opens = f"(({opens}) OR ({alone} AND coalesce(declared.pos, -1) <> p1_pos))"
+    if lang == "typescript":  # type arguments stand between the name and its parentheses
+        rows = rows.withColumn("generic_name", F.expr("CASE WHEN text = '(' AND p1 = '>' THEN typed_name END"))
+        opens = f"(({opens}) OR (text = '(' AND generic_name.name IS NOT NULL))"
+        direct = (f"CASE WHEN p1 = '>' THEN named_struct('name', generic_name.name, 'cls', 'ident', 'pos', generic_name.pos, 'line', generic_name.line,"
+                  f" 'at', generic_name.at, 'before', generic_name.before, 'starts', false) ELSE {direct} END")
+    rows = rows.where(opens).selectExpr("* EXCEPT (own)", f"{direct} AS own", "text AS opener").where("coalesce(declared.pos, -1) <> own.pos")
     if name is not None:
         rows = rows.where(F.col("own.name") == name)
+    else:
+        rows = rows.where(f"NOT {words_in('own.name', _WORDS.get(lang, _OTHER_WORDS))}")
     if methods:
-        rows = rows.where(f"own.before IN {_MEMBER}")
+        rows = rows.where(words_in("own.before", _MEMBER))
     else:
-        rows = rows.where(f"coalesce(own.before, '') NOT IN {_MEMBER} AND coalesce(own.before, '') <> '::'"
-                          f" AND coalesce(own.before, '') NOT IN {_DECLARES}")
-        # A name before a parameter list is a declaration, not a call.
+        rows = rows.where(f"NOT {words_in('own.before', _MEMBER + ' :: ' + _DECLARES)}")
         if lang in ("javascript", "typescript", "c", "cpp"):
-            rows = rows.where("coalesce(n1, '') <> '{'")
+            rows = rows.where("coalesce(closed.n1, '') <> '{'")
         if lang == "typescript":
-            rows = rows.where(f"NOT (coalesce(n1, '') = ':' AND (own.starts OR {words_in('own.before', TS_MEMBER_STARTS)}))")
+            rows = rows.where(f"NOT (coalesce(closed.n1, '') = ':' AND (own.starts OR {words_in('own.before', TS_MEMBER_STARTS)}))")
         if lang in ("c", "cpp"):
-            rows = rows.where(f"coalesce(own.before_cls, '') <> 'ident' OR own.before IN {_C_KEYWORDS}")
-            rows = rows.where("NOT (own.brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
+            rows = rows.where(f"coalesce(p2_cls, '') <> 'ident' OR {words_in('own.before', _C_KEYWORDS)}")
+            rows = rows.where("NOT (brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
+        if lang == "cpp":  # names in the list between a constructor and its body
+            rows = rows.where("NOT (coalesce(in_list, '') = 'members' AND coalesce(next_end, '') = '{')")
         if lang == "go":
-            rows = rows.where("coalesce(own.before, '') <> ')'")
+            rows = rows.where("coalesce(own.before, '') <> ')' AND NOT (coalesce(encl.text, '') = '{' AND coalesce(encl.p1, '') = 'interface')")
+        if lang == "rust":  # variants of an enum
+            rows = rows.where("NOT coalesce(encl.text = '{' AND encl.of_enum, false)")
+        if lang == "swift":
+            rows = rows.where("coalesce(own.before, '') NOT IN ('@', '#') AND NOT (own.name IN ('init', 'subscript') AND opener = '(')"
+                              " AND NOT coalesce(encl.text = '{' AND encl.of_enum AND member = 'case', false)")
         if lang in ("javascript", "typescript"):
-            rows = rows.where("NOT (own.name = 'async' AND coalesce(n1, '') = '=>')")
-        keywords = {
-            "rust": "('Fn', 'FnMut', 'FnOnce', 'if', 'match', 'while', 'for', 'in', 'return', 'fn', 'let', 'move', 'where', 'pub', 'as')",
-            "python": "('if', 'elif', 'while', 'for', 'in', 'not', 'and', 'or', 'return', 'yield', 'lambda', 'assert',"
-                      " 'is', 'del', 'raise', 'await', 'else', 'except', 'import', 'with')",
-        }.get(lang, "('if', 'for', 'while', 'switch', 'catch', 'function', 'return', 'func', 'else', 'sizeof', 'in',"
-                    " 'typeof', 'await', 'case', 'guard', 'with', 'super', 'import')")
-        if name is None:
-            rows = rows.where(f"own.name NOT IN {keywords}")
+            rows = rows.where("NOT (own.name = 'async' AND coalesce(closed.n1, '') = '=>')")
     return rows.selectExpr(
         "file", "valid", "own.pos AS pos", "own.name AS name", "own.line AS line", "own.line AS start_line",
-        "line_end AS end_line", "own.at AS start_at", "until AS end_at")
+        "coalesce(closed.line_end, line_end) AS end_line", "own.at AS start_at", "coalesce(closed.until, until) AS end_at",
+        "coalesce(chain.line, own.line) AS value_line", "coalesce(chain.at, own.at) AS value_at")
 
 
 _BASH_RESERVED = ("('if', 'then', 'elif', 'else', 'fi', 'for', 'in', 'do', 'done', 'while', 'until', 'case', 'esac', 'select',"
@@ -153,13 +209,19 @@ _BASH_RESERVED = ("('if', 'then', 'elif', 'else', 'fi', 'for', 'in', 'do', 'done
 
 
 def _bash_commands(files: DataFrame, name: str | None) -> DataFrame:
-    rows = with_neighbours(positioned(files, ["bash"]), before=2, after=2).where(
-        f"cls = 'ident' AND text NOT IN {_BASH_RESERVED} AND NOT (coalesce(n1, '') = '(' AND coalesce(n2, '') = ')') AND coalesce(n1, '') <> '='"
-        " AND (starts_line OR p1 IN (';', '{', '(', 'then', 'do', 'else', '&&', '||', '|', '!', '&', 'if', 'while', 'until'))")
+    """Names where a command starts: after a separator, in an arm of ``case``, behind one assignment."""
+    starts = "; { ( ) then do else && || | ! & if while until ;;"
+    rows = with_neighbours(positioned(files, ["bash"]), before=4, after=2).selectExpr("*", f"""last(CASE
+        WHEN text = ';;' OR (text = 'in' AND p2 = 'case') THEN 'pattern' WHEN text IN (')', 'esac') THEN 'none' END, true) OVER {BEFORE_IT} AS arm""")
+    rows = rows.where(
+        f"coalesce(arm, '') <> 'pattern' AND cls = 'ident' AND text NOT IN {_BASH_RESERVED} AND NOT (coalesce(n1, '') = '(' AND coalesce(n2, '') = ')')"
+        f" AND coalesce(n1, '') NOT IN ('=', ')')"
+        f" AND (starts_line OR {words_in('p1', starts)}"
+        f" OR (p2 = '=' AND p1_line = line AND (p4 IS NULL OR p2_line > p4_line_end OR {words_in('p4', starts)})))")
     if name is not None:
         rows = rows.where(F.col("text") == name)
-    return rows.selectExpr("file", "valid", "pos", "text AS name", "line", "line AS start_line",
-                           "line_end AS end_line", "at AS start_at", "until AS end_at")
+    return rows.selectExpr("file", "valid", "pos", "text AS name", "line", "line AS start_line", "line_end AS end_line", "at AS start_at",
+                           "until AS end_at", "line AS value_line", "at AS value_at")
 
 
 def find_calls(files: DataFrame, name: str | None, lang: str, path: str | None = None,
@@ -171,17 +233,11 @@ def find_calls(files: DataFrame, name: str | None, lang: str, path: str | None =
 
 def find_method_calls(files: DataFrame, name: str | None, lang: str, path: str | None = None,
                       limit: int | None = None) -> DataFrame:
-    """Where is ``name`` called on a receiver? Captures @method.
-
-    How far the receiver reaches to the left is not resolved, so the whole call
-    is not a capture here.
-    """
+    """Where is ``name`` called on a receiver? Captures @method and @call, the latter from the start of the receiver."""
     chosen = searched(files, lang, path, [name] if name else [])
-    found = calls(chosen, resolve_lang(lang), name, methods=True).select(
-        F.lit("@method").alias("capture"), F.lit(0).alias("capture_ix"),
-        captured("name").alias("text"), "file", "pos",
-        F.col("line").alias("start_line"), F.col("line").alias("end_line"))
-    return limited(found, limit)
+    found = calls(chosen, resolve_lang(lang), name, methods=True)
+    found = found.withColumn("start_at", F.col("value_at")).withColumn("start_line", F.col("value_line"))
+    return limited(_with_item(chosen, found, "@method", "@call"), limit)
 
 
 @dataclass(frozen=True)
