@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpora import spark as cs, sql as cq
-from corpora.templates import CALL_TEMPLATES, CALLS, CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
+from corpora.templates import BRANCH_SYMBOLS, BRANCH_TEMPLATES, CALL_TEMPLATES, CALLS, CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
 from srcatlas import configure
 from srcatlas.functions import langs, paths
 from srcatlas.operators import declarations as decl, scope, structural, tokens
@@ -133,6 +133,12 @@ def symbols_of(lang):
     return query
 
 
+def branches_of(lang):
+    def query(spark, sf):
+        return decl.extract_symbols(cs.part_files(spark, sf, lang, BRANCH_TEMPLATES), lang, ordered=False).select(*SYMBOL)
+    return query
+
+
 def symbols_capped(spark, sf):
     return decl.extract_symbols(cs.nation_files(spark, sf), "python", cap=500, ordered=False).select(*SYMBOL)
 
@@ -308,6 +314,24 @@ def refresh_stored(spark, sf):
     return _with_files(store.read_index(spark, where))
 
 
+def index_after_conflict(spark, sf):
+    """One job refreshes while another, that has read the index before, tries to; the other starts again."""
+    before, after = cs.part_snapshots(spark, sf)
+    where = _scratch(spark)
+    store.write_index(plans.rebuild_index(before.where("k % 3 <> 0")), where, buckets=8)
+
+    def meanwhile(part):
+        store.refresh_stored(spark, where, before)
+        return plans.drop_files(part, before)
+
+    try:
+        store.update_index(spark, where, before.select("path"), meanwhile)
+    except store.VersionConflict:
+        store.refresh_stored(spark, where, after)
+    store.forget_versions(spark, where)
+    return _with_files(store.read_index(spark, where))
+
+
 def upsert_touched(spark, sf):
     before, after = cs.part_snapshots(spark, sf)
     where = _scratch(spark)
@@ -400,9 +424,10 @@ _QUERIES = {f.__name__: f for f in (
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
-    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, nodes_from_tokens, match_code,
+    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, index_after_conflict, nodes_from_tokens, match_code,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | {
-    f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | TREE_QUERIES
+    f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | {
+    f"symbols_{lang}_branches": branches_of(lang) for lang in BRANCH_TEMPLATES} | TREE_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -587,6 +612,7 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": None,
     }
     out["refresh_stored"] = out["refresh_index"]
+    out["index_after_conflict"] = out["refresh_index"]
     out["upsert_touched"] = out["upsert_files"]
     out["list_symbols_alias"] = out["list_symbols"]
     out["list_symbols_unknown"] = out["list_symbols"].replace("lang = 'rust' AND ", "")
@@ -598,6 +624,8 @@ def oracle_sql() -> dict[str, str]:
     out["scan_corpus"] = cq.written_files()
     out["nodes_from_tokens"] = _union(*[cq.rendered(lang, NESTED[lang], "type name start_line end_line inside place") for lang in NODE_LANGS])
     out["match_code"] = _union(*[cq.rendered(lang, CODE_MATCHES[lang], "capture text start_line end_line") for lang in NODE_LANGS])
+    for lang in BRANCH_TEMPLATES:
+        out[f"symbols_{lang}_branches"] = cq.rendered(lang, BRANCH_SYMBOLS, "name kind line")
     for lang in LANG_ORDER:
         found = [(capture, text, line, line) for call, line in CALLS[lang]
                  for capture, text in (("@call", call), ("@fn", re.split("[(<]| {", call)[0]))]

@@ -169,6 +169,19 @@ CALL_TEMPLATES = {
     ],
 }
 
+# Arms of directives that each open a brace, inside one another too, and functions behind them
+BRANCH_TEMPLATES = {lang: [
+    "#ifdef A{k}", "int f_{k}(int a) {", "#else", "int f_{k}(long a) {", "#endif", "  g(a);", "}", "int after_{k}(int x) { return x; }", "#if X", "#  if Y",
+    "int h_{k}(void) {", "#  elif Z", "int i_{k}(int z) {", "#  else", "int j_{k}(int z) { if (z) {", "#  endif", "  k();", "}", "#else", "struct S_{k} { int a;",
+    "# ifdef Q", "}; int q_{k}(int q) { return q; }", "# else", "}; int r_{k}(int q) { return q; }", "# endif", "int last_of_else_{k}(int w) { return 1; }", "#endif",
+    "int end_{k}(int y) { return y; }",
+] for lang in ("c", "cpp")}
+
+BRANCH_SYMBOLS = [
+    ("f_{k}", "fn", 2), ("f_{k}", "fn", 4), ("after_{k}", "fn", 8), ("h_{k}", "fn", 11), ("i_{k}", "fn", 13), ("j_{k}", "fn", 15), ("S_{k}", "struct", 20),
+    ("q_{k}", "fn", 22), ("r_{k}", "fn", 24), ("last_of_else_{k}", "fn", 26), ("end_{k}", "fn", 28),
+]
+
 # (call, line); a name ends where its arguments start
 CALLS = {
     "rust": [

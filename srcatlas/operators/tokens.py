@@ -44,11 +44,52 @@ CLOSES = "(text = '}' OR (text IN (')', ']') AND lang <> 'bash'))"
 
 def _depth(opens: str, closes: str) -> str:
     """Depth outside a bracket, or around any other token."""
-    step = f"CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END"
-    return f"(sum({step}) OVER {RUNNING} - CASE WHEN {opens} THEN 1 ELSE 0 END)"
+    return f"(sum({_step(opens, closes)}) OVER {RUNNING} - CASE WHEN {opens} THEN 1 ELSE 0 END)"
 
 
-def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool = False) -> DataFrame:
+def _step(opens: str, closes: str) -> str:
+    return f"CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END"
+
+
+DEPTHS = {
+    "paren": ("text IN ('(', '[')", "text IN (')', ']')"),
+    "brace": ("text = '{'", "text = '}'"),
+    "level": (OPENS, CLOSES),
+}
+# Files of these languages with arms that replace each other; others need no second look.
+_WITH_ARMS = r"lang IN ('c', 'cpp') AND src RLIKE '(?m)^\\s*#\\s*el(se|if)'"
+
+
+def _with_arms(tokens: DataFrame) -> DataFrame:
+    """Depths that restart in each arm of a conditional directive and go on, behind it, from its first arm.
+
+    Only one arm is ever compiled, so a bracket that each of them opens is
+    opened once. ``arms`` counts the arms around a token that are not the first
+    of theirs. Within one value of it, depth is a running sum since such an arm
+    began, plus the depths at which the conditionals around began; the latter
+    are added where an arm that is not the first begins and taken off at its
+    end. Windows are by file and one small number, so rows stay where they are.
+    """
+    by_if = "(PARTITION BY file, ifs ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    by_arm = "(PARTITION BY file, arms ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    word = r"CASE WHEN cls = 'directive' THEN regexp_extract(text, '^#\\s*(ifdef|ifndef|if|elif|else|endif)', 1) END"
+    rows = tokens.selectExpr("*", f"{word} AS word").selectExpr(
+        "*", f"""CASE WHEN word IN ('if', 'ifdef', 'ifndef') THEN 'if' WHEN word IN ('else', 'elif') THEN 'else' WHEN word = 'endif' THEN 'endif' END AS turn""")
+    rows = rows.selectExpr("*", f"""sum(CASE turn WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER {RUNNING}
+        + CASE WHEN turn = 'endif' THEN 1 ELSE 0 END AS ifs""")
+    rows = rows.selectExpr("*", f"last(turn, true) OVER {by_if} AS before")
+    rows = rows.selectExpr("*", f"""sum(CASE WHEN turn = 'else' AND before = 'if' THEN 1 WHEN turn = 'endif' AND before = 'else' THEN -1
+        ELSE 0 END) OVER {RUNNING} AS arms""")
+    rows = rows.selectExpr("*", *[f"sum({_step(*pair)}) OVER {by_arm} AS sum_{d}" for d, pair in DEPTHS.items()])
+    rows = rows.selectExpr("*", *[f"sum_{d} - coalesce(last(CASE WHEN turn = 'else' THEN sum_{d} END, true) OVER {by_arm}, 0) AS own_{d}" for d in DEPTHS])
+    rows = rows.selectExpr("*", *[f"last(CASE WHEN turn = 'if' THEN own_{d} END, true) OVER {by_if} AS base_{d}" for d in DEPTHS])
+    return rows.selectExpr("* EXCEPT (paren, brace, level)", *[
+        f"""own_{d} - CASE WHEN {opens} THEN 1 ELSE 0 END + sum(CASE WHEN turn = 'else' AND before = 'if' THEN base_{d}
+            WHEN turn = 'endif' AND before = 'else' THEN -base_{d} ELSE 0 END) OVER {RUNNING} AS {d}"""
+        for d, (opens, _) in DEPTHS.items()]).select(*tokens.columns)
+
+
+def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool = False, only: str = "true") -> DataFrame:
     """(file, lang, valid, pos, raw): raw tokens, clustered by file."""
     content = F.col("src") if "src" in files.columns else source_text(F.col("content"))
     chosen = files.where(F.col("lang").isin(langs) if langs else F.col("lang").isNotNull())
@@ -58,7 +99,7 @@ def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool
     chosen = chosen.withColumn("valid", F.is_valid_utf8("src"))
     if not clustered:
         chosen = chosen.repartition(partition_count(files.sparkSession), "file")
-    return chosen.select(
+    return chosen.where(only).select(
         "file", "lang", "valid",
         F.posexplode(cut(F.col("lang"), F.col("src"), langs)).alias("pos", "raw"))
 
@@ -70,7 +111,14 @@ def positioned(files: DataFrame, langs: list[str] | None = None, clustered: bool
     every kind of bracket that nests; ``at`` and ``until`` are character offsets;
     ``indent`` counts the blanks between the line start and a first token.
     """
-    raw = cut_files(files, langs, clustered).selectExpr(
+    if langs and not {"c", "cpp"} & set(langs):
+        return _positions(cut_files(files, langs, clustered))
+    plain = _positions(cut_files(files, langs, clustered, f"NOT ({_WITH_ARMS})"))
+    return plain.unionByName(_with_arms(_positions(cut_files(files, [x for x in ("c", "cpp") if not langs or x in langs], clustered, _WITH_ARMS))))
+
+
+def _positions(raw: DataFrame) -> DataFrame:
+    raw = raw.selectExpr(
         "file", "lang", "valid", "CAST(pos AS BIGINT) AS pos", "raw",
         r"trim(LEADING ' \t\n\r\u000b\u000c' FROM raw) AS text")
     line_end = f"(sum({_newlines('raw')}) OVER {RUNNING} + 1)"
@@ -78,9 +126,7 @@ def positioned(files: DataFrame, langs: list[str] | None = None, clustered: bool
     return raw.selectExpr(
         "file", "lang", "valid", "pos", "text", f"{TOKEN_CLASS} AS cls",
         f"{line_end} - {_newlines('text')} AS line", f"{line_end} AS line_end",
-        _depth("text IN ('(', '[')", "text IN (')', ']')") + " AS paren",
-        _depth("text = '{'", "text = '}'") + " AS brace",
-        _depth(OPENS, CLOSES) + " AS level",
+        *[f"{_depth(*pair)} AS {d}" for d, pair in DEPTHS.items()],
         f"{until} - length(text) AS at", f"{until} AS until",
         r"length(substring_index(left(raw, length(raw) - length(text)), '\n', -1)) AS indent",
     ).where("text <> ''")

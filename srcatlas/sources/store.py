@@ -3,18 +3,22 @@
 Both relations are partitioned by a hash bucket of the path and sorted by path
 inside a bucket, so that questions about paths skip row groups. A write puts the
 buckets that it changes into a directory of its own (``home``) and then
-publishes, as one small file in ``versions``, which home each bucket has. A
-reader never sees half of a write, a job that dies leaves only an unused
-directory, and of two writers of the same version the second one fails.
+publishes a version: one small file, created only if no other has its number,
+that says which home each bucket has. A reader takes the last whole version and
+reads no other, so it never sees half of a write. A job that dies leaves an
+unused directory, or a version that is not whole and that all others skip; of
+two jobs that change the same version the second one fails. Files that no
+version names any more are removed by ``forget_versions``.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from srcatlas.operators.declarations import extract_symbols
@@ -28,31 +32,80 @@ def bucket(path: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
+class VersionConflict(Exception):
+    """Another job has published since this one read the index; nothing was changed."""
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path with its file system, as Spark sees it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def versions(spark: SparkSession, directory: str) -> list[int]:
+    """Numbers of all versions, whole or not, in rising order."""
+    files, folder = _folder(spark, f"{directory}/versions")
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+
+def _version_file(directory: str, version: int) -> str:
+    return f"{directory}/versions/{version:012d}.json"
+
+
+def _homes(spark: SparkSession, directory: str, version: int) -> list[Row]:
+    """The rows of a version, one for each bucket; none where it is not whole."""
+    rows = spark.read.schema("bucket INT, home STRING, buckets INT").json(_version_file(directory, version)).collect()
+    return rows if rows and len(rows) == rows[0].buckets and all(r.home for r in rows) else []
+
+
 def published(spark: SparkSession, directory: str, version: int | None = None) -> tuple[int, list[Row]]:
-    """The last (or a given) version and its rows (bucket, home, buckets); 0 and no rows where no index is.
+    """The last (or a given) whole version and its rows (bucket, home, buckets); 0 and no rows where no index is.
 
-    There is one row for each bucket. A directory of versions without any is an
-    error, as is a version that does not exist.
+    A given version that does not exist, or is not whole, is an error.
     """
-    try:
-        rows = spark.read.schema("bucket INT, home STRING, buckets INT, version BIGINT").parquet(f"{directory}/versions")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0, []
-    if version is None:
-        version = rows.agg(F.max("version")).first()[0]
-    found = rows.where(F.col("version") == version).collect() if version else []
-    if not found:
-        raise ValueError(f"no version {version or ''} in {directory}/versions")
-    return version, found
+    known = versions(spark, directory)
+    if version is not None and version not in known:
+        raise ValueError(f"no version {version} in {directory}/versions")
+    for number in reversed(known) if version is None else [version]:
+        rows = _homes(spark, directory, number)
+        if rows:
+            return number, rows
+    if version is not None:
+        raise ValueError(f"version {version} in {directory}/versions is not whole")
+    return 0, []
 
 
 def current_version(spark: SparkSession, directory: str) -> int:
-    """Number of the last complete version, 0 when there is none."""
+    """Number of the last whole version, 0 when there is none."""
     return published(spark, directory)[0]
 
 
+def _next(spark: SparkSession, directory: str) -> int:
+    return max(versions(spark, directory), default=0) + 1
+
+
+def forget_versions(spark: SparkSession, directory: str, keep: int = 1) -> None:
+    """Removes all but the last ``keep`` whole versions, and the files that no version left names.
+
+    For a time when no job reads an older version or writes a new one.
+    """
+    kept: dict[int, list[Row]] = {}
+    for number in reversed(versions(spark, directory)):
+        rows = _homes(spark, directory, number) if len(kept) < keep else []
+        if rows:
+            kept[number] = rows
+        else:
+            files, path = _folder(spark, _version_file(directory, number))
+            files.delete(path, False)
+    used = {f"home={r.home}" for rows in kept.values() for r in rows}
+    for name in ("files", "symbols"):
+        files, folder = _folder(spark, f"{directory}/{name}")
+        for found in files.listStatus(folder) if files.exists(folder) else []:
+            if found.getPath().getName() not in used:
+                files.delete(found.getPath(), True)
+
+
 def _write(rows: DataFrame, key: str, order: list[str], target: str, buckets: int, tasks: int) -> None:
     (rows.withColumn("bucket", bucket(F.col(key), buckets))
      .repartition(tasks, "bucket").sortWithinPartitions("bucket", *order)
@@ -64,14 +117,21 @@ def _publish(index: Index, directory: str, version: int, buckets: int, touched:
     home = f"v{version}-{uuid.uuid4().hex}"
     _write(index.files, "path", ["path"], f"{directory}/files/home={home}", buckets, len(touched))
     _write(index.symbols, "file", ["file", "pos"], f"{directory}/symbols/home={home}", buckets, len(touched))
-    rows = [(b, h, buckets) for b, h in sorted((homes | dict.fromkeys(touched, home)).items())]
-    pointer = index.files.sparkSession.createDataFrame(rows, "bucket INT, home STRING, buckets INT")
-    pointer.coalesce(1).write.parquet(f"{directory}/versions/version={version}")
+    rows = [{"bucket": b, "home": h, "buckets": buckets} for b, h in sorted((homes | dict.fromkeys(touched, home)).items())]
+    files, path = _folder(index.files.sparkSession, _version_file(directory, version))
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        raise VersionConflict(f"version {version} of {directory} was published by another job") from e
+    out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
+    out.close()
 
 
 def write_index(index: Index, directory: str, buckets: int = BUCKETS) -> int:
     """Writes all of an index as a new version and returns its number."""
-    version = current_version(index.files.sparkSession, directory) + 1
+    version = _next(index.files.sparkSession, directory)
     _publish(index, directory, version, buckets, list(range(buckets)), {})
     return version
 
@@ -103,14 +163,18 @@ def update_index(spark: SparkSession, directory: str, paths: DataFrame, change:
     that it adds must be among ``paths``. Without paths nothing is written. An
     index that exists keeps its number of buckets.
     """
+    following = _next(spark, directory)  # before the read: what is published from now on takes this number first
     version, rows = published(spark, directory)
     buckets = rows[0].buckets if rows else buckets
     touched = sorted(r[0] for r in paths.select(bucket(F.col("path"), buckets)).distinct().collect())  # at most ``buckets``
     if not touched:
         return version
     part = read_index(spark, directory, version, touched)
-    _publish(change(part), directory, version + 1, buckets, touched, {r.bucket: r.home for r in rows})
-    return version + 1
+    homes = {r.bucket: r.home for r in rows}
+    if not rows:  # a first version has a home for each bucket
+        touched = list(range(buckets))
+    _publish(change(part), directory, following, buckets, touched, homes)
+    return following
 
 
 def refresh_stored(spark: SparkSession, directory: str, files: DataFrame, contents=None, scope: str | None = None,

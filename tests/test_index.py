@@ -94,15 +94,63 @@ def test_versions(spark, tmp_path):
     assert store.write_index(two, where, buckets=2) == 2
     assert content(store.read_index(spark, where)) == content(two)
     assert content(store.read_index(spark, where, version=1)) == content(one)
-    # A version without its row in ``versions`` does not exist for readers.
-    os.makedirs(f"{where}/versions/version=3")
-    os.makedirs(f"{where}/files/home=v3-dead")
-    assert store.current_version(spark, where) == 2
     with pytest.raises(ValueError):
         store.read_index(spark, where, version=9)
-    os.makedirs(tmp_path / "damaged" / "versions")
+
+
+def _half_a_version(where, number):
+    """What a job leaves that dies while it writes a version: nothing in it, or a part."""
+    os.makedirs(f"{where}/versions", exist_ok=True)
+    with open(store._version_file(where, number), "w") as f:
+        f.write('{"bucket": 0, "home": "x", "buckets": 2}\n{"buck' if number % 2 else "")
+
+
+def test_a_dead_writer_stops_no_one(spark, tmp_path):
+    where = str(tmp_path / "index")
+    for number in (1, 2):
+        _half_a_version(where, number)
+    assert store.current_version(spark, where) == 0 and content(store.read_index(spark, where)) == ([], [])
+    one, two = (plans.rebuild_index(corpus(spark, {p: "def f(): pass\n"}).selectExpr("*")) for p in ("a.py", "b.py"))
+    assert store.write_index(one, where, buckets=2) == 3
+    _half_a_version(where, 4)
+    _half_a_version(where, 5)
+    assert content(store.read_index(spark, where)) == content(one)
     with pytest.raises(ValueError):
-        store.write_index(one, str(tmp_path / "damaged"))
+        store.read_index(spark, where, version=5)
+    assert store.write_index(two, where, buckets=2) == 6
+    assert content(store.read_index(spark, where)) == content(two)
+    store.forget_versions(spark, where)
+    assert store.versions(spark, where) == [6] and content(store.read_index(spark, where)) == content(two)
+    assert all(len(os.listdir(f"{where}/{name}")) == 1 for name in ("files", "symbols"))
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    where = str(tmp_path / "index")
+    text = {f"d/f{i}.py": f"def g{i}(): pass\n" for i in range(6)}
+    store.write_index(plans.rebuild_index(corpus(spark, text)), where, buckets=4)
+    mine, other = (corpus(spark, text | {name: "def n(): pass\n"}) for name in ("d/mine.py", "d/other.py"))
+
+    def meanwhile(part):
+        store.refresh_stored(spark, where, other)
+        return part
+
+    with pytest.raises(store.VersionConflict):
+        store.update_index(spark, where, mine.select("path"), meanwhile)
+    assert content(store.read_index(spark, where)) == content(plans.rebuild_index(other))
+    assert store.refresh_stored(spark, where, mine) == 3  # tried again, on what the other job has made
+    assert content(store.read_index(spark, where)) == content(plans.rebuild_index(mine))
+
+
+def test_many_versions_are_one_read(spark, tmp_path):
+    where = str(tmp_path / "index")
+    one = plans.rebuild_index(corpus(spark, {"a.py": "def f(): pass\n"}))
+    store.write_index(one, where, buckets=2)
+    last = open(store._version_file(where, 1)).read()
+    for number in range(2, 1001):
+        with open(store._version_file(where, number), "w") as f:
+            f.write(last)
+    assert store.current_version(spark, where) == 1000
+    assert content(store.read_index(spark, where)) == content(one)
 
 
 def test_only_touched_buckets_are_written(spark, tmp_path):

@@ -6,6 +6,7 @@ import pytest
 from helpers import corpus, symbols
 from srcatlas.operators.declarations import definition_spans, extract_symbols
 from srcatlas.operators.structural import find_calls, find_type
+from srcatlas.operators.tokens import tokenize
 
 BASIC = {
     "shelf.rs": ("pub enum Spine {}\npub struct Shelf {}\n\npub fn dust() {}\n",
@@ -260,3 +261,13 @@ def test_rust_item_extent(spark):
     got = {r.name: (r.start_line, r.end_line, text[r.start_at:r.end_at]) for r in spans}
     assert got == {"one": (1, 1, "pub fn one() { }"), "two": (2, 3, "pub(crate)\nfn two() { }"),
                    "Three": (5, 5, "struct Three { a: [u8; 4] }"), "four": (6, 7, "fn\nfour() { }")}
+
+
+def test_arms_of_directives_restart(spark):
+    """A bracket that each arm opens is open once behind them; without arms nothing changes."""
+    text = "#if A\nif (x) {\n#elif B\nif (y) { (\n#else\n[\n#endif\nz }\nw\n#if C\n{\n#endif\nv\n"
+    files = spark.createDataFrame([("a.c", "c", text.encode()), ("b.cc", "cpp", b"#if A\n{\n#endif\n}\nw")], "path string, lang string, content binary")
+    at = {(r.file, r.text): (r.paren, r.brace) for r in tokenize(files).where("cls = 'ident'").collect()}
+    assert at["a.c", "x"] == (1, 0) and at["a.c", "y"] == (1, 0)
+    assert at["a.c", "z"] == (0, 1) and at["a.c", "w"] == (0, 0) and at["a.c", "v"] == (0, 1)
+    assert at["b.cc", "w"] == (0, 0)
