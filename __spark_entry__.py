@@ -283,20 +283,40 @@ def _snapshots(spark, sf):
     return plans.rebuild_index(before), after
 
 
-def scan_corpus(spark, sf):
-    root = _scratch(spark)
-
+def _writer(root):
     def write(rows):
         for row in rows:
             target = os.path.join(root, row.path)
             os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(target, "wb") as f:
                 f.write(row.content)
+    return write
+
+
+def ignore_from_files(spark, sf):
+    """The supplier tree on disk, its rules in ignore files that the walk reads."""
+    root = _scratch(spark)
+    files, lines = cs.supplier_tree(spark, sf)
+    text = lines.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines"))
+    rules = text.selectExpr("concat(dir, '/.gitignore') AS path", "encode(array_join(lines.line, '\n'), 'UTF-8') AS content")
+    files.selectExpr("path", "encode('x = 1', 'UTF-8') AS content").unionByName(rules).foreachPartition(_writer(root))
+    return tree.list_corpus(spark, root, ignore=[".gitignore"]).select("path")
+
+
+def roots_from_listing(spark, sf):
+    """Project roots by the markers among the listed paths."""
+    paths, markers = cs.supplier_paths(spark, sf)
+    listed = paths.unionByName(markers.selectExpr("concat(dir, '/.git/HEAD') AS path"))
+    return scope.project_root(paths, scope.root_markers(listed))
+
+
+def scan_corpus(spark, sf):
+    root = _scratch(spark)
 
     files = cs.part_files(spark, sf)
     hidden_from_spark = files.selectExpr(
         "concat(substring_index(path, '/', 3), '/_k', k, '/__init__.py') AS path", "content")
-    files.select("path", "content").unionByName(hidden_from_spark).foreachPartition(write)
+    files.select("path", "content").unionByName(hidden_from_spark).foreachPartition(_writer(root))
     return tree.scan_corpus(spark, root).select("path", "lang", "length")
 
 
@@ -424,7 +444,7 @@ _QUERIES = {f.__name__: f for f in (
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
-    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, index_after_conflict, nodes_from_tokens, match_code,
+    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, index_after_conflict, ignore_from_files, roots_from_listing, nodes_from_tokens, match_code,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | {
     f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | {
     f"symbols_{lang}_branches": branches_of(lang) for lang in BRANCH_TEMPLATES} | TREE_QUERIES
@@ -612,6 +632,8 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": None,
     }
     out["refresh_stored"] = out["refresh_index"]
+    out["ignore_from_files"] = out["filter_ignored"]
+    out["roots_from_listing"] = out["project_root"]
     out["index_after_conflict"] = out["refresh_index"]
     out["upsert_touched"] = out["upsert_files"]
     out["list_symbols_alias"] = out["list_symbols"]

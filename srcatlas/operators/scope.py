@@ -80,6 +80,13 @@ def filter_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     return visible.join(dropped, "path", "left_anti")
 
 
+def root_markers(paths: DataFrame, marker: str = ".git") -> DataFrame:
+    """(dir): directories that hold ``marker``, a file or a directory, as far as listed paths show it."""
+    inside = F.regexp_extract("path", rf"^(?:(.*)/)?\Q{marker}\E(?:/.*)?$", 1)
+    held = F.rlike(F.col("path"), F.lit(rf"(^|/)\Q{marker}\E(/|$)"))
+    return paths.where(held).select(inside.alias("dir")).distinct()
+
+
 def project_root(paths: DataFrame, markers: DataFrame) -> DataFrame:
     """(path, root): the nearest directory with a marker, else the start.
 

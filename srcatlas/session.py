@@ -17,6 +17,8 @@ SETTINGS = {
     # The JVM does not compile methods above 8000 bytes of byte code. Beyond
     # that, generated code that Spark can split is several times as fast.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Lets a prefix of the path start the walk of a directory tree below it.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 TEXT_PER_PARTITION = 64 << 20
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.plans.index import FILE_COLUMNS, SYMBOL_COLUMNS, Index, drop_files, empty_index, scan_changes
 from srcatlas.schema import FILES_INDEX, SYMBOLS
+from srcatlas.sources.tree import IGNORE_FILES, list_corpus, read_contents
 
 BUCKETS = 64
 
@@ -197,3 +198,12 @@ def refresh_stored(spark: SparkSession, directory: str, files: DataFrame, conten
         return Index(kept.files.unionByName(stale.select(*FILE_COLUMNS)), kept.symbols.unionByName(fresh.select(*SYMBOL_COLUMNS)))
 
     return update_index(spark, directory, state, change, buckets)
+
+
+def refresh_tree(spark: SparkSession, directory: str, root: str, ignore: Sequence[str] = IGNORE_FILES, **options) -> int:
+    """Brings the stored index up to date with a directory tree, without what its ignore files name; returns the version.
+
+    A file that has come to be ignored counts as deleted. ``options`` are those of ``refresh_stored``.
+    """
+    listed = list_corpus(spark, root, ignore=ignore)
+    return refresh_stored(spark, directory, listed, contents=lambda stale: read_contents(stale, root), **options)
