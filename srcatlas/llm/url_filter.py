@@ -14,16 +14,14 @@ Models are tables keyed by the characters themselves. Each distinct run of
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import lower_ascii, private, stored, table
+from .common import by_class, lower_ascii, private, stored, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 ORDER = 5
 ALPHABET = 256
-BROADCAST_GRAMS = 1_000_000
+BROADCAST_GRAMS = 1_000_000  # a run has at most 20 bytes: under 64 MB
 START, END = "\u0002", "\u0003"
 
 
@@ -65,23 +63,31 @@ def _counts(training: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def gram_scores(wanted: DataFrame, training: DataFrame) -> DataFrame:
-    """(g, llr): log ratio of the last character's probability, accepted over rejected, for each run in ``wanted``."""
+    """(g, llr): log ratio of the last character's probability, accepted over rejected, for each distinct run in ``wanted``.
+
+    Probabilities are built from the shortest context up. The runs of one length
+    meet their counts by the run, their context's by all but the last character
+    and the probability after the shorter context by all but the first: no key of
+    these joins has more rows than there are different characters.
+    """
     grams, contexts = _counts(training)
-    each = wanted.select("g", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n"))
-    each = each.select("g", "n", F.substring("g", ORDER + 1 - F.col("n"), F.col("n")).alias("gram"))
-    each = each.withColumn("context", F.substring("gram", F.lit(1), F.col("n") - 1))
-    found = each.join(grams.withColumnRenamed("g", "gram"), "gram", "left").join(contexts.withColumnRenamed("c", "context"), "context", "left")
-    stats = ["n_allow", "all_allow", "kinds_allow", "n_block", "all_block", "kinds_block"]
-    wide = found.groupBy("g").agg(*[
-        F.max(F.when(F.col("n") == n, F.coalesce(s, F.lit(0)))).alias(f"{s}_{n}") for n in range(1, ORDER + 1) for s in stats])
-
-    def probability(k: str) -> Column:
-        def step(shorter: Column, n: int) -> Column:
-            seen, total, kinds = (F.col(f"{s}_{k}_{n}") for s in ("n", "all", "kinds"))
+    wanted = stored(wanted.select("g").distinct(), "runs")
+    known = None
+    for n in range(1, ORDER + 1):
+        runs = wanted.select(F.substring("g", ORDER + 1 - n, n).alias("g")).distinct()
+        runs = runs.withColumn("c", F.substring("g", 1, n - 1)).withColumn("s", F.substring("g", 2, n - 1))
+        here = contexts.where(F.length("c") == n - 1)
+        found = runs.join(grams.where(F.length("g") == n), "g", "left").join(F.broadcast(here) if n == 1 else here, "c", "left")
+        if n > 1:
+            found = found.join(known.withColumnRenamed("g", "s"), "s")
+
+        def probability(k: str) -> Column:
+            seen, total, kinds = (F.coalesce(f"{s}_{k}", F.lit(0)) for s in ("n", "all", "kinds"))
+            shorter = F.col(f"p_{k}") if n > 1 else F.lit(1.0 / ALPHABET)
             return F.when(total > 0, (seen + kinds * shorter) / (total + kinds)).otherwise(shorter)
-        return reduce(step, range(1, ORDER + 1), F.lit(1.0 / ALPHABET))
 
-    return wide.select("g", (F.log(probability("allow")) - F.log(probability("block"))).alias("llr"))
+        known = found.select("g", *[probability(k).alias(f"p_{k}") for k in ("allow", "block")])
+    return known.select("g", (F.log("p_allow") - F.log("p_block")).alias("llr"))
 
 
 def url_scores(urls: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def url_scores(urls: DataFrame) -> DataFrame:
         F.when(F.col("verdict") == k, F.col("n")).otherwise(0).alias(f"n_{k}") for k in ("allow", "block")])
     scored = urls.where(F.col("verdict").isNull() | (fold == 0))
     runs = scored.select("url", F.explode(_grams(F.col("url"))).alias("g"))
-    known = stored(gram_scores(runs.select("g").distinct(), training), "llr")
+    known = stored(gram_scores(runs, training), "llr")
     if known.count() <= BROADCAST_GRAMS:
         known = F.broadcast(known)
     score = runs.join(known, "g").groupBy("url").agg(F.avg("llr").alias("score"))
@@ -129,10 +135,12 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = stored(rows.groupBy("url", F.col("ruled").alias("verdict")).agg(F.count(F.lit(1)).alias("n")), "urls")
     scores = stored(url_scores(urls), "url-scores")
     least = threshold(scores)
-    open_scores = scores.where("verdict IS NULL").select("url", "score")
-    out = rows.join(open_scores, "url", "left")
+    open_scores = scores.where("verdict IS NULL").select("url", "score", F.col("n").alias("members"))
     method = F.when(F.col("score") >= least, "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
+    judged = by_class(rows.where("ruled IS NULL"), open_scores, "url", most=100_000).select(
+        "page_id", "host", "path", "rule", method.alias("verdict"), "score")
+    return judged.unionByName(rows.where("ruled IS NOT NULL").select(
+        "page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score")))
 
 
 def op6_url_filter(spark, sf_dir):
