@@ -412,6 +412,12 @@ def list_symbols(spark, sf):
     return plans.list_symbols(index, after, "proj/brand1", "rust", ordered=False).select(*SYMBOL)
 
 
+def stored_symbols(spark, sf):
+    where = _scratch(spark)
+    store.write_index(plans.rebuild_index(cs.part_files(spark, sf)), where, buckets=8)
+    return store.stored_symbols(spark, where, "proj/Brand1", ordered=False).select(*SYMBOL)
+
+
 def list_symbols_alias(spark, sf):
     index, after = _snapshots(spark, sf)
     return plans.list_symbols(index, after, "proj/brand1", "RS", ordered=False).select(*SYMBOL)
@@ -431,6 +437,19 @@ def apply_change_feed(spark, sf):
     return store.read_index(spark, f"{base}/index").symbols.select(*SYMBOL)
 
 
+def apply_late_changes(spark, sf):
+    """The feed in three runs, the newest changes first."""
+    base = _scratch(spark)
+    rows = cs.change_feed(spark, sf)
+    early, late = rows.approxQuantile("mtime_secs", [1 / 3, 2 / 3], 0.01)
+    secs = F.col("mtime_secs")
+    for part in (secs > late, (secs > early) & (secs <= late), secs <= early):
+        rows.where(part).write.mode("append").parquet(f"{base}/feed")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/feed")
+        feed.apply_change_feed(stream, f"{base}/index", f"{base}/progress", buckets=8).awaitTermination()
+    return store.read_index(spark, f"{base}/index").symbols.select(*SYMBOL)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Symbols of a corpus at one path, from a freshly built index."""
     configure(spark)
@@ -444,7 +463,7 @@ _QUERIES = {f.__name__: f for f in (
     find_function, find_type, find_impls, find_calls, find_calls_by_name, find_method_calls, match_tokens, match_limit,
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
-    list_symbols_unknown, apply_change_feed, refresh_stored, upsert_touched, index_after_conflict, ignore_from_files, roots_from_listing, nodes_from_tokens, match_code,
+    list_symbols_unknown, apply_change_feed, apply_late_changes, stored_symbols, refresh_stored, upsert_touched, index_after_conflict, ignore_from_files, roots_from_listing, nodes_from_tokens, match_code,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | {
     f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | {
     f"symbols_{lang}_branches": branches_of(lang) for lang in BRANCH_TEMPLATES} | TREE_QUERIES
@@ -632,6 +651,8 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": None,
     }
     out["refresh_stored"] = out["refresh_index"]
+    out["apply_late_changes"] = out["apply_change_feed"]
+    out["stored_symbols"] = out["symbols_for_prefix"]
     out["ignore_from_files"] = out["filter_ignored"]
     out["roots_from_listing"] = out["project_root"]
     out["index_after_conflict"] = out["refresh_index"]

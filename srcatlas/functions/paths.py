@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import Column, functions as F
 _NO_ESCAPE = "\u0001"
 
 
-def _ascii_lower(col: Column) -> Column:
+def ascii_lower(col: Column) -> Column:
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -21,8 +22,22 @@ def path_prefix(path: Column, prefix: Column | str) -> Column:
     ``path_scope`` when the prefix is a plain path.
     """
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    pattern = F.concat(_ascii_lower(prefix), F.lit("%"))
-    return F.like(_ascii_lower(path), pattern, F.lit(_NO_ESCAPE))
+    pattern = F.concat(ascii_lower(prefix), F.lit("%"))
+    return F.like(ascii_lower(path), pattern, F.lit(_NO_ESCAPE))
+
+
+def folded_prefix(folded: Column, prefix: str) -> Column:
+    """``path_prefix`` over a path that is already in ASCII lower case.
+
+    What stands ahead of the first wildcard is a plain prefix, which the scan of
+    a Parquet file is given to skip by; the rest is a filter on what it returns.
+    """
+    prefix = prefix.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    head = re.split("[%_]", prefix, maxsplit=1)[0]
+    matches = F.like(folded, F.lit(prefix + "%"), F.lit(_NO_ESCAPE))
+    if head == prefix:
+        return folded.startswith(head)
+    return folded.startswith(head) & matches if head else matches
 
 
 def path_scope(path: Column, scope: str) -> Column:

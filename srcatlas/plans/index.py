@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from srcatlas.functions.paths import clamp_mtime
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.operators.scope import in_scope, with_prefix
-from srcatlas.schema import FILES_INDEX, SYMBOLS
+from srcatlas.schema import DELETED, FILES_INDEX, SYMBOLS
 
 FILE_COLUMNS = FILES_INDEX.fieldNames()
 SYMBOL_COLUMNS = SYMBOLS.fieldNames()
@@ -22,14 +22,19 @@ SYMBOL_COLUMNS = SYMBOLS.fieldNames()
 
 @dataclass(frozen=True)
 class Index:
-    """``files``: path, lang, mtime; ``symbols``: name, kind, file, line, pos."""
+    """``files``: path, lang, mtime; ``symbols``: name, kind, file, line, pos.
+
+    ``deleted`` (path, mtime) has the time of each deletion that a feed has
+    brought; an index that takes in listings only has none.
+    """
 
     files: DataFrame
     symbols: DataFrame
+    deleted: DataFrame | None = None
 
 
 def empty_index(spark: SparkSession) -> Index:
-    return Index(spark.createDataFrame([], FILES_INDEX), spark.createDataFrame([], SYMBOLS))
+    return Index(*(spark.createDataFrame([], schema) for schema in (FILES_INDEX, SYMBOLS, DELETED)))
 
 
 def listed(files: DataFrame) -> DataFrame:

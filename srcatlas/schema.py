@@ -21,6 +21,13 @@ FILES_INDEX = T.StructType([
     T.StructField("mtime_nanos", T.LongType(), False),
 ])
 
+# When a path was deleted, as far as a feed of changes has told.
+DELETED = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("mtime_secs", T.LongType(), False),
+    T.StructField("mtime_nanos", T.LongType(), False),
+])
+
 # ``pos`` is the token position of the name; it breaks ties inside a line.
 SYMBOLS = T.StructType([
     T.StructField("name", T.StringType(), False),

@@ -1,7 +1,8 @@
 """The index as Parquet, kept by bucket.
 
-Both relations are partitioned by a hash bucket of the path and sorted by path
-inside a bucket, so that questions about paths skip row groups. A write puts the
+All relations are partitioned by a hash bucket of the path. They hold the path in
+ASCII lower case too (``folded``) and are sorted by it inside a bucket, so that
+questions about path prefixes skip row groups and pages. A write puts the
 buckets that it changes into a directory of its own (``home``) and then
 publishes a version: one small file, created only if no other has its number,
 that says which home each bucket has. A reader takes the last whole version and
@@ -16,17 +17,20 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
+from srcatlas.functions.paths import ascii_lower, folded_prefix
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.plans.index import FILE_COLUMNS, SYMBOL_COLUMNS, Index, drop_files, empty_index, scan_changes
-from srcatlas.schema import FILES_INDEX, SYMBOLS
+from srcatlas.schema import DELETED, FILES_INDEX, SYMBOLS
 from srcatlas.sources.tree import IGNORE_FILES, list_corpus, read_contents
 
 BUCKETS = 64
+RELATIONS = {"files": FILES_INDEX, "symbols": SYMBOLS, "deleted": DELETED}
 
 
 def bucket(path: Column, buckets: int = BUCKETS) -> Column:
@@ -100,7 +104,7 @@ def forget_versions(spark: SparkSession, directory: str, keep: int = 1) -> None:
             files, path = _folder(spark, _version_file(directory, number))
             files.delete(path, False)
     used = {f"home={r.home}" for rows in kept.values() for r in rows}
-    for name in ("files", "symbols"):
+    for name in RELATIONS:
         files, folder = _folder(spark, f"{directory}/{name}")
         for found in files.listStatus(folder) if files.exists(folder) else []:
             if found.getPath().getName() not in used:
@@ -108,7 +112,7 @@ def forget_versions(spark: SparkSession, directory: str, keep: int = 1) -> None:
 
 
 def _write(rows: DataFrame, key: str, order: list[str], target: str, buckets: int, tasks: int) -> None:
-    (rows.withColumn("bucket", bucket(F.col(key), buckets))
+    (rows.withColumn("folded", ascii_lower(F.col(key))).withColumn("bucket", bucket(F.col(key), buckets))
      .repartition(tasks, "bucket").sortWithinPartitions("bucket", *order)
      .write.partitionBy("bucket").parquet(target))
 
@@ -116,8 +120,10 @@ def _write(rows: DataFrame, key: str, order: list[str], target: str, buckets: in
 def _publish(index: Index, directory: str, version: int, buckets: int, touched: list[int], homes: dict[int, str]) -> None:
     """Writes the touched buckets, then the version that names a home for them and all others."""
     home = f"v{version}-{uuid.uuid4().hex}"
-    _write(index.files, "path", ["path"], f"{directory}/files/home={home}", buckets, len(touched))
-    _write(index.symbols, "file", ["file", "pos"], f"{directory}/symbols/home={home}", buckets, len(touched))
+    _write(index.files, "path", ["folded", "path"], f"{directory}/files/home={home}", buckets, len(touched))
+    _write(index.symbols, "file", ["folded", "file", "pos"], f"{directory}/symbols/home={home}", buckets, len(touched))
+    if index.deleted is not None:
+        _write(index.deleted, "path", ["folded", "path"], f"{directory}/deleted/home={home}", buckets, len(touched))
     rows = [{"bucket": b, "home": h, "buckets": buckets} for b, h in sorted((homes | dict.fromkeys(touched, home)).items())]
     files, path = _folder(index.files.sparkSession, _version_file(directory, version))
     try:
@@ -137,23 +143,45 @@ def write_index(index: Index, directory: str, buckets: int = BUCKETS) -> int:
     return version
 
 
-def read_index(spark: SparkSession, directory: str, version: int | None = None, only: list[int] | None = None) -> Index:
-    """The current (or a given) version, or some of its buckets; an empty index when there is none."""
+def read_index(spark: SparkSession, directory: str, version: int | None = None, only: list[int] | None = None,
+               prefix: str | None = None) -> Index:
+    """The current (or a given) version, some of its buckets, or what it has of paths that start with ``prefix``.
+
+    An empty index when there is none. ``prefix`` is taken as ``path_prefix``
+    takes it, and restricts files and symbols alike at their scans.
+    """
     homes: dict[str, list[int]] = {}
     for row in published(spark, directory, version)[1] if version != 0 else []:
         if only is None or row.bucket in only:
             homes.setdefault(row.home, []).append(row.bucket)
     if not homes:
         return empty_index(spark)
-    current = reduce(lambda a, b: a | b, [(F.col("home") == h) & F.col("bucket").isin(b) for h, b in homes.items()])
-
-    def load(name, schema):
-        stored = T.StructType([*schema.fields, T.StructField("home", T.StringType()), T.StructField("bucket", T.IntegerType())])
-        rows = spark.read.schema(stored).option("basePath", f"{directory}/{name}").parquet(
-            *[f"{directory}/{name}/home={h}" for h in homes])
-        return rows.where(current).select(*schema.fieldNames())
 
-    return Index(load("files", FILES_INDEX), load("symbols", SYMBOLS))
+    def load(name):
+        files, folder = _folder(spark, f"{directory}/{name}")
+        there = {s.getPath().getName() for s in files.listStatus(folder)} if files.exists(folder) else set()
+        known = {h: b for h, b in homes.items() if f"home={h}" in there}
+        if not known:  # no feed has written here
+            return spark.createDataFrame([], RELATIONS[name])
+        extra = [T.StructField("folded", T.StringType()), T.StructField("home", T.StringType()), T.StructField("bucket", T.IntegerType())]
+        rows = spark.read.schema(T.StructType([*RELATIONS[name].fields, *extra])).option("basePath", f"{directory}/{name}").parquet(
+            *[f"{directory}/{name}/home={h}" for h in known])
+        rows = rows.where(reduce(lambda a, b: a | b, [(F.col("home") == h) & F.col("bucket").isin(b) for h, b in known.items()]))
+        if prefix is not None:
+            rows = rows.where(folded_prefix(F.col("folded"), prefix))
+        return rows.select(*RELATIONS[name].fieldNames())
+
+    return Index(*map(load, RELATIONS))
+
+
+def stored_symbols(spark: SparkSession, directory: str, prefix: str, ordered: bool = True) -> DataFrame:
+    """Symbols of the stored files whose path starts with ``prefix``.
+
+    Each symbol of a version has its file in that version, so the symbols are
+    all that is read; rows are exchanged only to be put in order.
+    """
+    rows = read_index(spark, directory, prefix=prefix).symbols
+    return rows.orderBy("file", "line", "pos") if ordered else rows
 
 
 def update_index(spark: SparkSession, directory: str, paths: DataFrame, change: Callable[[Index], Index],
@@ -174,7 +202,10 @@ def update_index(spark: SparkSession, directory: str, paths: DataFrame, change:
     homes = {r.bucket: r.home for r in rows}
     if not rows:  # a first version has a home for each bucket
         touched = list(range(buckets))
-    _publish(change(part), directory, following, buckets, touched, homes)
+    changed = change(part)
+    if changed.deleted is None:
+        changed = replace(changed, deleted=part.deleted)
+    _publish(changed, directory, following, buckets, touched, homes)
     return following
 
 

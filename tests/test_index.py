@@ -187,3 +187,46 @@ def test_feed_batches_and_replay(spark, tmp_path):
     assert [s[0] for s in content(index)[1]] == ["new"]
     assert content(feed.apply_changes(index, first)) == content(index)
     assert sorted(s[0] for s in content(feed.apply_changes(index, second))[1]) == ["c", "new"]
+
+
+def test_an_older_change_after_a_deletion_has_no_effect(spark, tmp_path):
+    where = str(tmp_path / "index")
+    batches = [[("a.py", 5, "delete"), ("b.py", 5, "upsert"), ("c.py", 7, "upsert")],
+               [("a.py", 4, "upsert"), ("b.py", 6, "delete"), ("c.py", 6, "delete"), ("d.py", 1, "delete")],
+               [("a.py", 5, "upsert"), ("b.py", 5, "upsert"), ("c.py", 7, "delete"), ("d.py", 2, "upsert")]]
+    left = []
+    for rows in batches:
+        batch = spark.createDataFrame([(p, s, 0, op, f"def {p[0]}{s}(): pass".encode()) for p, s, op in rows], FEED)
+        for _ in range(2):  # the second time is a replay
+            store.update_index(spark, where, batch.select("path"), lambda index: feed.apply_changes(index, batch), 4)
+        left.append(sorted(s[0] for s in content(store.read_index(spark, where))[1]))
+    assert left == [["b5", "c7"], ["c7"], ["d2"]]
+    assert sorted(tuple(r)[:2] for r in store.read_index(spark, where).deleted.collect()) == [("a.py", 5), ("b.py", 6), ("c.py", 7)]
+    store.refresh_stored(spark, where, corpus(spark, {"d.py": "def e(): pass"}, secs=9))  # a listing forgets no deletion
+    assert store.read_index(spark, where).deleted.count() == 3
+
+
+def test_deletions_are_forgotten_after_their_time(spark):
+    def batch(*rows):
+        return spark.createDataFrame([(p, s, 0, op, b"") for p, s, op in rows], FEED)
+
+    index = feed.apply_changes(plans.empty_index(spark), batch(("a.py", 10, "delete"), ("b.py", 60, "delete")), keep_secs=50)
+    assert {r.path for r in index.deleted.collect()} == {"a.py", "b.py"}
+    index = feed.apply_changes(index, batch(("c.py", 61, "upsert")), keep_secs=50)
+    assert {r.path for r in index.deleted.collect()} == {"b.py"}
+    assert {r.path for r in feed.apply_changes(index, batch(), keep_secs=50).deleted.collect()} == {"b.py"}
+
+
+def test_prefix_reads_skip_and_do_not_join(spark, tmp_path, capsys):
+    where = str(tmp_path / "index")
+    text = {"src/ab.rs": RUST.format(1), "src/a/x.rs": RUST.format(2), "SRC/az.rs": RUST.format(3), "s%/q.rs": RUST.format(4), "Ärc.rs": RUST.format(5)}
+    index = plans.rebuild_index(corpus(spark, text))
+    store.write_index(index, where, buckets=4)
+    for prefix in ("src/a", "SRC/A", "src/_b", "s%", "%z", "", "ä", "Ä", "none"):
+        assert content(store.read_index(spark, where, prefix=prefix))[0] == sorted(
+            f for f in content(index)[0] if f[0] in {r.path for r in plans.cached_mtimes(index, prefix).collect()})
+        wanted = [tuple(r) for r in plans.symbols_for_prefix(index, prefix).collect()]
+        assert [tuple(r) for r in store.stored_symbols(spark, where, prefix).collect()] == wanted
+    store.stored_symbols(spark, where, "Src/A_b", ordered=False).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "StringStartsWith(folded,src/a)" in plan and "Exchange" not in plan and "Join" not in plan
