@@ -5,12 +5,13 @@ Normalised text is range-partitioned by sampled splitters
 over the sorted rows compares each text in full with its neighbour. The window
 reuses the range partitioning, so whole texts are shuffled once.
 
-A text that very many rows share must not meet in one partition. The most
-frequent texts (by a hash, counted with map-side partial sums; at most
-``HEAVY_KEYS`` of them, so the list has a fixed size) get a salt after the
-text's hash in the sort key, one for each ``HEAVY_ROWS`` rows, however many there
-are. Their rows are compared in full within each salt; the salts of one text are
-then joined by the SHA-256 of the text.
+A text that very many rows share must not meet in one partition. Texts with more
+than ``HEAVY_ROWS`` rows (by a hash, counted with map-side partial sums) get a salt
+after the text's hash in the sort key, one for each so many rows. Where more than
+``HEAVY_KEYS`` texts could have that many, the bound is the ``HEAVY_KEYS``-th part of
+all rows: the list is broadcast and so never longer, and no text is left out of it
+whose rows would weigh in a partition. Rows of a heavy text are compared in full
+within each salt; its salts are then joined by the SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import lower_ascii, private, stored, table
 
-HEAVY_KEYS = 1000
+HEAVY_KEYS = 100_000
 HEAVY_ROWS = 200
 HEAD = 24
 
@@ -30,7 +31,7 @@ def copy_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty. ``keep`` says whether the smallest or the largest id of equal texts
     stays. A null id loses to any other; where all ids of a text are null,
-    keep_id is null. Rows that repeat id and text are copies of one another and
+    keep_id is null. Ids may be of any type that has an order. Rows that repeat id and text are copies of one another and
     exactly one of them is kept. An empty table gives no rows. Other columns
     are not read.
     """
@@ -54,24 +55,24 @@ def copy_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
         "doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), (F.col("nth") == 1).alias("kept"), "text_sha256")
     # one row for each salt of a heavy text
     parts = found.where("heavy AND nth = 1").select("text_sha256", "salt", "best", "n")
+    if keep == "largest":  # a null sorts first
+        keep_salt = -F.max(F.struct("best", (-F.col("salt")).alias("salt")))["salt"]
+    else:
+        keep_salt = F.min(F.struct(F.col("best").isNull().alias("without"), "best", "salt"))["salt"]
     whole = parts.groupBy("text_sha256").agg(
         best("best").alias("keep_id"), F.sum("n").alias("group_size"),
-        F.coalesce(F.min(F.when(F.col("best").isNotNull(), F.struct(F.lit(0).alias("o"), _rank(keep), "salt"))),
-                   F.min(F.struct(F.lit(1).alias("o"), F.lit(0).cast("long").alias("r"), "salt")))["salt"].alias("keep_salt"))
+        keep_salt.alias("keep_salt"))
     hot = found.where("heavy").join(F.broadcast(whole), "text_sha256").select(
         "doc_id", "keep_id", "group_size", ((F.col("nth") == 1) & (F.col("salt") == F.col("keep_salt"))).alias("kept"), "text_sha256")
     return light.unionByName(hot)
 
 
-def _rank(keep: str):
-    return (-F.col("best") if keep == "largest" else F.col("best")).cast("long").alias("r")
-
-
 def _heavy_texts(docs: DataFrame) -> DataFrame:
-    """Hashes of the most frequent texts; equal normalised texts have equal hashes. At most HEAVY_KEYS rows."""
+    """Hashes of the most frequent texts and their salts; equal normalised texts have equal hashes. At most HEAVY_KEYS rows."""
     keys = private(docs, "text").select(F.xxhash64(lower_ascii(F.coalesce("text", F.lit("")))).alias("h"))
-    counts = keys.groupBy("h").count().where(F.col("count") > HEAVY_ROWS)
-    return counts.orderBy(F.desc("count"), "h").limit(HEAVY_KEYS).select("h", F.ceil(F.col("count") / HEAVY_ROWS).alias("salts"), F.lit(True).alias("heavy"))
+    counts = stored(keys.groupBy("h").count().where(F.col("count") > HEAVY_ROWS), "frequent")
+    bound = max(HEAVY_ROWS, (counts.agg(F.sum("count")).first()[0] or 0) // HEAVY_KEYS)
+    return counts.where(F.col("count") > bound).select("h", F.ceil(F.col("count") / bound).alias("salts"), F.lit(True).alias("heavy"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:

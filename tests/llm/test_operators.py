@@ -72,6 +72,22 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.copy_groups(none).count() == 0
 
 
+def test_exact_dedup_with_few_heavy_keys_and_ids_of_text(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", 2)
+    monkeypatch.setattr(exact_dedup, "HEAVY_KEYS", 6)
+    rows = [(f"id{i:03}" if i % 7 else None, f"text {i % 5 if i % 3 else 'most'}") for i in range(90)] + [(None, "no id")] * 40
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    heavy = exact_dedup._heavy_texts(docs).collect()
+    assert sorted(r.salts for r in heavy) == [2, 2]
+    for keep, best in (("largest", max), ("smallest", min)):
+        got = exact_dedup.copy_groups(docs, keep).collect()
+        groups = {t: [i for i, u in rows if u == t] for t in {u for _, u in rows}}
+        wanted = {hashlib.sha256(t.encode()).hexdigest(): (best([i for i in ids if i], default=None), len(ids)) for t, ids in groups.items()}
+        assert len(got) == len(rows) and all((r.keep_id, r.group_size) == wanted[r.text_sha256] for r in got)
+        kept = [r for r in got if r.kept]
+        assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
+
+
 def test_exact_dedup_of_heavy_texts(docs, monkeypatch):
     want = _sorted(map(tuple, exact_dedup.copy_groups(docs).collect()))
     monkeypatch.setattr(exact_dedup, "HEAVY_ROWS", 1)
