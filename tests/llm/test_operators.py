@@ -252,7 +252,7 @@ def test_mixing(docs, none):
 
 
 def test_sharding(docs, none):
-    got = sharding.assign_shards(docs, 4).collect()
+    got = sharding.assign_shards(docs, 4, 0.1).collect()
     assert _sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == _sorted(
         (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS)
     slots, total = {}, {}
@@ -261,19 +261,40 @@ def test_sharding(docs, none):
         total[r.shard] = total.get(r.shard, 0) + r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(total) <= 3 and max(total.values()) < sum(total.values()) / 4 + 2 * max(len((r[1] or "").encode()) for r in ROWS)
-    places = sharding.sharded_documents(docs, 4)
+    places = sharding.sharded_documents(docs, 4, 0.1)
     assert places.count() == len(ROWS) and places.columns == [*docs.columns, "shard", "slot"]
-    assert sharding.assign_shards(none).count() == 0
+    assert sharding.assign_shards(none, 4, 0.1).count() == 0
 
 
 def test_small_groups_stay_whole(spark):
     rows = spark.range(2000).selectExpr("id AS doc_id", "concat('t', id DIV 5) AS text")
-    got = sharding.assign_shards(rows).groupBy("text_hash").agg(F.count_distinct("shard").alias("n"), F.count(F.lit(1)).alias("m"))
+    got = sharding.assign_shards(rows, 16, 0.1).groupBy("text_hash").agg(F.count_distinct("shard").alias("n"), F.count(F.lit(1)).alias("m"))
     assert got.where("n > 1 OR m <> 5").count() == 0
-    one = sharding.assign_shards(spark.range(320).selectExpr("id AS doc_id", "'same' AS text")).groupBy("shard").count().collect()
+    one = sharding.assign_shards(spark.range(320).selectExpr("id AS doc_id", "'same' AS text"), 16, 0.1).groupBy("shard").count().collect()
     assert [r["count"] for r in one] == [20] * 16
 
 
+def test_shards_against_brute_force(spark):
+    texts = [("most" if i % 3 == 0 else f"group {i % 40}" if i % 3 == 1 else f"text {i} " + "x" * (i % 90)) for i in range(3000)]
+    rows = list(enumerate(texts))
+    for whole in (0.0, 0.5, 100.0):
+        ordered = sorted((hashlib.md5(t.encode()).hexdigest(), i, len(t) + 1) for i, t in rows)
+        total, before, starts, sums = sum(r[2] for r in ordered), 0, {}, {}
+        for h, _, size in ordered:
+            starts.setdefault(h, before)
+            sums[h] = sums.get(h, 0) + size
+            before += size
+        wanted, before, slots = {}, 0, {}
+        for h, i, size in ordered:
+            one = sums[h] <= whole * total / 16
+            shard = (2 * starts[h] + sums[h] if one else 2 * before + size) * 16 // (2 * total)
+            wanted[i] = (shard, slots.get(shard, 0))
+            slots[shard] = slots.get(shard, 0) + 1
+            before += size
+        got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16, whole).collect()
+        assert {r.doc_id: (r.shard, r.slot) for r in got} == wanted
+
+
 def test_token_counts(spark, docs, none, tmp_path):
     encode = token_counts.encoder(token_counts.VOCABULARY).encode_ordinary
     want = _sorted((r[0], len(encode(r[1] or ""))) for r in ROWS)
