@@ -8,7 +8,7 @@ from srcatlas.llm.common import stored, table
 from srcatlas.llm.decontamination import decontaminate
 from srcatlas.llm.mixing import mixed_documents
 from srcatlas.llm.quality import good_documents
-from srcatlas.llm.sharding import sharded_documents
+from srcatlas.llm.sharding import SHARDS, sharded_documents
 from srcatlas.llm.simhash import without_near_duplicates
 
 
@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the columns shard and slot."""
-    return sharded_documents(docs)
+    return sharded_documents(docs, SHARDS, whole=0.1)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing),
