@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import packed, private, small_batches, stored, table
+from .common import by_class, packed, private, small_batches, stored, table
 from .components import connected_components
 
 SHINGLE = 4
@@ -141,12 +141,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     the same for all its rows. No rows give no rows.
     """
     found = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(stored(close_links(distinct, radius), "close"))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = classes.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
-    return found.join(names, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "component_id", "root")
+    distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")), "distinct")
+    roots = connected_components(stored(close_links(distinct.select("fp", "first"), radius), "close"))
+    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "members", F.coalesce("root", "fp").alias("root"))
+    classes = stored(classes, "classes")
+    components = stored(classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    named = by_class(classes.select("fp", "root", F.col("members").alias("copies")), components, "root", heavy=200, most=100_000)
+    names = stored(named.select("fp", "component_id", "root", F.col("copies").alias("members")), "names")
+    return by_class(found, names, "fp", heavy=200, most=100_000).select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
