@@ -19,7 +19,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpora import spark as cs, sql as cq
-from corpora.templates import BRANCH_SYMBOLS, BRANCH_TEMPLATES, CALL_TEMPLATES, CALLS, CODE_MATCHES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED
+from corpora.templates import (
+    BRANCH_SYMBOLS, BRANCH_TEMPLATES, CALL_TEMPLATES, CALLS, CODE_MATCHES, COMMENT_SYMBOLS, COMMENT_TEMPLATES, FIXED_NAMES, LANG_ORDER, MENTIONS, NESTED,
+    STRING_CALLS, STRING_SYMBOLS, STRING_TEMPLATES, TOKENS,
+)
 from srcatlas import configure
 from srcatlas.functions import langs, paths
 from srcatlas.operators import declarations as decl, scope, structural, tokens
@@ -133,12 +136,33 @@ def symbols_of(lang):
     return query
 
 
-def branches_of(lang):
+def symbols_in(lang, templates):
     def query(spark, sf):
-        return decl.extract_symbols(cs.part_files(spark, sf, lang, BRANCH_TEMPLATES), lang, ordered=False).select(*SYMBOL)
+        return decl.extract_symbols(cs.part_files(spark, sf, lang, templates), lang, ordered=False).select(*SYMBOL)
     return query
 
 
+def _by_language(names, query):
+    """One table of what ``query`` finds for each language; file names tell them apart."""
+    out = None
+    for lang in names:
+        out = query(lang) if out is None else out.unionByName(query(lang))
+    return out
+
+
+def tokens_exact(spark, sf):
+    """Every token and column of three languages."""
+    return _by_language(TOKENS, lambda lang: tokens.tokenize(cs.part_files(spark, sf, lang), lang))
+
+
+def symbols_in_strings(spark, sf):
+    return _by_language(STRING_TEMPLATES, lambda lang: symbols_in(lang, STRING_TEMPLATES)(spark, sf))
+
+
+def symbols_in_comments(spark, sf):
+    return _by_language(COMMENT_TEMPLATES, lambda lang: symbols_in(lang, COMMENT_TEMPLATES)(spark, sf))
+
+
 def symbols_capped(spark, sf):
     return decl.extract_symbols(cs.nation_files(spark, sf), "python", cap=500, ordered=False).select(*SYMBOL)
 
@@ -180,6 +204,10 @@ def calls_of(lang):
     return query
 
 
+def find_calls_in_strings(spark, sf):
+    return _by_language(STRING_TEMPLATES, lambda lang: structural.find_calls(cs.part_files(spark, sf, lang, STRING_TEMPLATES), None, lang))
+
+
 def find_calls_by_name(spark, sf):
     return structural.find_calls(cs.call_files(spark, sf), "part_77", "python", limit=None)
 
@@ -464,9 +492,10 @@ _QUERIES = {f.__name__: f for f in (
     scan_corpus, index_roundtrip, symbols_for_prefix, cached_mtimes, scan_changes, upsert_files, prune_deleted,
     refresh_index, refresh_scope, rebuild_index, list_symbols, list_symbols_alias,
     list_symbols_unknown, apply_change_feed, apply_late_changes, stored_symbols, refresh_stored, upsert_touched, index_after_conflict, ignore_from_files, roots_from_listing, nodes_from_tokens, match_code,
+    tokens_exact, symbols_in_strings, symbols_in_comments, find_calls_in_strings,
 )} | {f"symbols_{lang}": symbols_of(lang) for lang in LANG_ORDER} | {
     f"find_calls_{lang}": calls_of(lang) for lang in LANG_ORDER} | {
-    f"symbols_{lang}_branches": branches_of(lang) for lang in BRANCH_TEMPLATES} | TREE_QUERIES
+    f"symbols_{lang}_branches": symbols_in(lang, BRANCH_TEMPLATES) for lang in BRANCH_TEMPLATES} | TREE_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -544,6 +573,12 @@ def _union(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _planted_calls(lang: str, calls: list[tuple[str, int]]) -> str:
+    found = [(capture, text, line, line) for call, line in calls
+             for capture, text in (("@call", call), ("@fn", re.split("[(<]| {", call)[0]))]
+    return cq.rendered(lang, found, "capture text start_line end_line")
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every key of ``queries()``."""
     out = {
@@ -669,9 +704,11 @@ def oracle_sql() -> dict[str, str]:
     out["match_code"] = _union(*[cq.rendered(lang, CODE_MATCHES[lang], "capture text start_line end_line") for lang in NODE_LANGS])
     for lang in BRANCH_TEMPLATES:
         out[f"symbols_{lang}_branches"] = cq.rendered(lang, BRANCH_SYMBOLS, "name kind line")
+    out["tokens_exact"] = _union(*[cq.tokens(lang) for lang in TOKENS])
+    out["symbols_in_strings"] = _union(*[cq.rendered(lang, rows, "name kind line") for lang, rows in STRING_SYMBOLS.items()])
+    out["symbols_in_comments"] = _union(*[cq.rendered(lang, COMMENT_SYMBOLS, "name kind line") for lang in COMMENT_TEMPLATES])
+    out["find_calls_in_strings"] = _union(*[_planted_calls(lang, rows) for lang, rows in STRING_CALLS.items()])
     for lang in LANG_ORDER:
-        found = [(capture, text, line, line) for call, line in CALLS[lang]
-                 for capture, text in (("@call", call), ("@fn", re.split("[(<]| {", call)[0]))]
-        out[f"find_calls_{lang}"] = cq.rendered(lang, found, "capture text start_line end_line")
+        out[f"find_calls_{lang}"] = _planted_calls(lang, CALLS[lang])
         out[f"symbols_{lang}"] = f"SELECT name, kind, file, line FROM ({cq.planted(lang)})"
     return out | llm.SQL if llm else out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpora.templates import LANG_ORDER, PLANTED, TEMPLATES
+from corpora.templates import LANG_ORDER, PLANTED, TEMPLATES, TOKENS
 from srcatlas.functions.langs import EXTENSIONS
 
 N = "replace(p_name, ' ', '_')"
@@ -64,6 +64,17 @@ def rendered(lang: str, rows: list[tuple], columns: str) -> str:
             f"(VALUES {values}) AS t({', '.join(names)})")
 
 
+def tokens(lang: str) -> str:
+    """SELECT file, lang, pos, cls, text, line, paren, brace of every token of a template."""
+    rows, paren, brace = [], 0, 0
+    for line, found in enumerate(TOKENS[lang], 1):
+        for cls, text in (x.split(" ", 1) for x in found):
+            paren, brace = paren - (text == ")"), brace - (text == "}")
+            rows.append((lang, len(rows), cls, text, line, paren, brace))
+            paren, brace = paren + (text == "("), brace + (text == "{")
+    return rendered(lang, rows, "lang pos cls text line paren brace")
+
+
 def order_lines() -> str:
     """Numbered order lines: l_orderkey, l_partkey, l_linenumber, i."""
     return ("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey "

@@ -224,3 +224,71 @@ CODE_MATCHES = {
     "javascript": [("@fn", "{n}_{k}", 5, 5), ("@callee", "helper_{k}", 5, 5)],
     "go": [("@without", "{n}_{k}", 8, 8)],
 }
+
+# Calls in the holes of strings, also strings inside those, and texts that only look like holes
+STRING_TEMPLATES = {
+    "bash": [
+        'x="$(one_{k} a "$(two_{k} "b c")" $((1 + 2)))"', """echo '$(no_{k})' "\\$(no_{k})" # $(no_{k})""", 'y="a $(',
+        "  three_{k} | four_{k}", ') b"', 'after_{k}() { echo "n $(five_{k} "${x}")"; }',
+    ],
+    "javascript": [
+        "const a = `x ${f_{k}(1)} y ${g_{k}(`in ${h_{k}({a: k_{k}(2)})} z`)}${m_{k}(3)}`;", "const b = `\\${no_{k}(1)} $no_{k}(2) {no_{k}(3)}`;",
+        "function after_{k}(x) { return `function D{k}() {", "${x.map(y => `${y ? `<${p_{k}(y)}>` : ``}`)} }`; }",
+    ],
+    "python": [
+        """x = f"a {f_{k}(1)!r:>{w_{k}(2)}} {{no_{k}(3)}}" + rf'{g_{k}("s")}{h_{k}(4)}'""", "y = f'''", "{i_{k}(5)} '", '{j_{k}(f"{m_{k}(6)}")}',
+        "def D{k}(): '''", """z = '{no_{k}(7)}' f"\\N{DASH}{q_{k}(8)}\"""", "def after_{k}(x): return x",
+    ],
+    "swift": [
+        'let s = "x \\(f_{k}(1)) y \\(g_{k}("in \\(h_{k}((2))) z")) (no_{k}(1))"', 'let t = """', " \\(m_{k}(3)) func D{k}() {}", '"""',
+        'let u = #"\\(no_{k}(4))"#', "func after_{k}() {}",
+    ],
+}
+STRING_TEMPLATES["typescript"] = STRING_TEMPLATES["javascript"]
+
+STRING_CALLS = {
+    "bash": [("one_{k}", 1), ("two_{k}", 1), ("echo", 2), ("three_{k}", 4), ("four_{k}", 4), ("echo", 6), ("five_{k}", 6)],
+    "javascript": [
+        ("f_{k}(1)", 1), ("g_{k}(`in ${h_{k}({a: k_{k}(2)})} z`)", 1), ("h_{k}({a: k_{k}(2)})", 1), ("k_{k}(2)", 1), ("m_{k}(3)", 1), ("p_{k}(y)", 4),
+    ],
+    "python": [
+        ("f_{k}(1)", 1), ("w_{k}(2)", 1), ('g_{k}("s")', 1), ("h_{k}(4)", 1), ("i_{k}(5)", 3), ('j_{k}(f"{m_{k}(6)}")', 4), ("m_{k}(6)", 4), ("q_{k}(8)", 6),
+    ],
+    "swift": [("f_{k}(1)", 1), ('g_{k}("in \\(h_{k}((2))) z")', 1), ("h_{k}((2))", 1), ("m_{k}(3)", 3)],
+}
+STRING_CALLS["typescript"] = STRING_CALLS["javascript"]
+STRING_SYMBOLS = {
+    "bash": [("after_{k}", "fn", 6)], "javascript": [("after_{k}", "fn", 3)], "python": [("after_{k}", "fn", 7)], "swift": [("after_{k}", "fn", 6)],
+    "typescript": [("after_{k}", "fn", 3)],
+}
+
+# Comments 20 deep, with quotes that open no string
+COMMENT_TEMPLATES = {
+    lang: ["/* " * 20 + word + " no_{k}() {} don't \"", " */" * 19 + " " + word + " no_{k}() {} */", word + " after_{k}() {}"]
+    for lang, word in (("rust", "fn"), ("swift", "func"))
+}
+COMMENT_SYMBOLS = [("after_{k}", "fn", 3)]
+
+# Every token of three templates, by line; the class stands before the text
+TOKENS = {
+    "python": [
+        ["comment # def decoy_{k}(): pass"], ["ident class", "ident K{k}", "punct :"],
+        ["ident def", "ident meth_{k}", "punct (", "ident self", "punct )", "punct :"], ["ident return", 'string "class D{k}:"'],
+        ["ident async", "ident def", "ident {n}_{k}", "punct (", "ident x", "punct )", "punct :"],
+        ["ident return", "ident helper_{k}", "punct (", "ident x", "punct )"],
+    ],
+    "javascript": [
+        ["comment // function decoy_{k}() {}"], ["ident export", "ident class", "ident K{k}", "punct {"],
+        ["ident meth_{k}", "punct (", "ident a", "punct )", "punct {", "ident if", "punct (", "ident a", "punct )", "punct {", "ident return",
+         'string "class D{k} {"', "punct ;", "punct }", "punct }"],
+        ["punct }"],
+        ["ident function", "ident {n}_{k}", "punct (", "ident x", "punct )", "punct {", "ident return", "ident helper_{k}", "punct (", "ident x",
+         "punct )", "punct ;", "punct }"],
+    ],
+    "go": [
+        ["comment // func decoy_{k}() {}"], ["ident package", "ident p"], ["ident type", "ident T{k}", "ident struct", "punct {", "ident x", "ident int", "punct }"],
+        ["ident type", "punct ("], ["ident G{k}", "ident int"], ["punct )"],
+        ["ident func", "punct (", "ident t", "ident T{k}", "punct )", "ident M{k}", "punct (", "punct )", "punct {", "punct }"],
+        ["ident func", "ident {n}_{k}", "punct (", "punct )", "ident string", "punct {", "ident return", 'string "type D{k} int"', "punct }"],
+    ],
+}

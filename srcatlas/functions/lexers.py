@@ -5,16 +5,22 @@ string is always a single token, so nothing inside it can look like code.
 Everything is possessive: Java then loops instead of recursing, and very long
 literals cannot overflow the stack.
 
+A string with code in it is cut once more: its text, the brackets of each hole
+and the tokens of the code between them become tokens of their own, and so do
+strings inside that code. The text behind a hole starts with the bracket that
+closes it; only files that hold such strings pay for the second cut.
+
 Where a regular expression cannot follow the language: block comments nest up
-to ``NESTING`` levels, template literals and string interpolation up to two,
-and a regex literal is told from a division by the text before it.
+to ``NESTING`` levels, strings with code up to ``HOLES``, and a regex literal
+is told from a division by the text before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NESTING = 8
+NESTING = 32
+HOLES = 4
 
 _LINE_COMMENT = r"//[^\n]*+"
 _C_LINE_COMMENT = r"//(?:[^\n\\]|\\.)*+"
@@ -40,11 +46,26 @@ def _alternatives(*parts: str) -> str:
     return r"(?s)\s*+(?:" + "|".join(parts) + r"|.|\z)"
 
 
+def _python_code() -> str:
+    """Code in braces, whose brackets nest up to ``HOLES`` deep."""
+    code = f"(?:[^{{}}\"']++|{_DOUBLE}|{_SINGLE})"
+    for _ in range(HOLES):
+        code = r"(?:[^{}\"']++|" + _DOUBLE + "|" + _SINGLE + r"|\{" + code + r"*+\})"
+    return code
+
+
+_PYTHON_TEXT = r"\\N\{[^}\n]*+\}|\\[^{]|\\(?=\{)|\{\{"
+
+
 def _python() -> str:
+    hole = _PYTHON_TEXT + r"|\{" + _python_code() + r"*+\}"
+    holed = (r"(?i:[ft]r?|r[ft])(?:" + "|".join(
+        quote * 3 + "(?:[^" + quote + r"\\{]++|" + hole + "|" + quote + "(?!" + quote * 2 + "))*+" + quote * 3
+        + "|" + quote + "(?!" + quote * 2 + ")(?:[^" + quote + r"\\\n{]++|" + hole + ")*+" + quote for quote in "\"'") + ")")
     prefix = r"(?i:[rbuft]|[rbft][rbft])?"
     triple = (r'(?:"""(?:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\.|'(?!''))*+''')")
     return _alternatives(
-        _HASH_COMMENT, _CONTINUED_LINE, prefix + triple,
+        _HASH_COMMENT, _CONTINUED_LINE, holed, prefix + triple,
         prefix + f"(?:{_DOUBLE}|{_SINGLE})", _IDENT, _NUMBER, "->", ":=", r"\*\*")
 
 
@@ -56,12 +77,25 @@ def _rust() -> str:
         f"(?:r#)?{_IDENT}", _NUMBER, "::", "->", "=>", "==", "<=", ">=", "!=")
 
 
+def _javascript_code() -> str:
+    """Code in braces: braces and templates in it nest up to ``HOLES`` deep."""
+    plain = r"[^`{}'\"]++|'(?:[^'\\\n]|\\.)*+'|" + r'"(?:[^"\\\n]|\\.)*+"'
+    code = f"(?:{plain})"
+    for _ in range(HOLES):
+        code = "(?:" + plain + r"|\{" + code + r"*+\}|" + _template(code) + ")"
+    return code
+
+
+_TEMPLATE_TEXT = r"[^`\\$]++|\\.|\$(?!\{)"
+
+
+def _template(code: str) -> str:
+    return "`(?:" + _TEMPLATE_TEXT + r"|\$\{" + code + r"*+\})*+`"
+
+
 def _javascript() -> str:
-    string_in = r"'(?:[^'\\\n]|\\.)*+'|" + r'"(?:[^"\\\n]|\\.)*+"'
     plain_template = r"`(?:[^`\\]++|\\.)*+`"
-    hole = (r"\$\{(?:[^`{}'\"]|" + string_in + r"|\{(?:[^`{}'\"]|" + string_in + r"|\{[^`{}]*+\})*+\}|"
-            + plain_template + r")*+\}")
-    template = r"`(?:[^`\\$]++|\\.|\$(?!\{)|" + hole + r")*+`"
+    template = _template(_javascript_code())
     before_regex = (r"(?<=(?:^|[(,=:\[!&|?{};+\-*%~^<>\n])[ \t]{0,64}"
                     r"|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else)[ \t]{1,8})")
     regex = (before_regex + r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+")
@@ -93,21 +127,47 @@ def _c_common(qualified: bool) -> str:
     return _alternatives(*parts)
 
 
+def _swift_code() -> str:
+    code = r"(?:[^()\"]++|" + _DOUBLE + ")"
+    for _ in range(HOLES):
+        code = r"(?:[^()\"]++|" + _swift_text(code) + r"|\(" + code + r"*+\))"
+    return code
+
+
+def _swift_text(code: str) -> str:
+    return r'"(?:[^"\\\n]++|\\\(' + code + r"*+\)|\\(?!\().)*+" + '"'
+
+
 def _swift() -> str:
-    text_in = r'"(?:[^"\\\n]|\\.)*+"'
-    hole = (r"\\\((?:[^()\"\n]|" + text_in + r"|\((?:[^()\"\n]|" + text_in + r")*+\))*+\)")
     return _alternatives(
         _LINE_COMMENT, _nested_comment(),
         r'(?<hash>#*+)""".*?"""\k<hash>', r'(?<fence>#++)".*?"\k<fence>',
-        r'"(?:[^"\\\n]++|' + hole + r'|\\.)*+"',
+        _swift_text(_swift_code()), _DOUBLE,
         f"`{_IDENT}`", _IDENT, _NUMBER, "->", "==", "&&")
 
 
+# Arithmetic, which is no command.
+_BASH_SUM = r"\$\(\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)\)"
+_BASH_TEXT = r"[^\\$]++|\\.|" + _BASH_SUM + r"|\$(?!\()"
+
+
+def _bash_code() -> str:
+    plain = r"[^()\"'\\]++|\\.|'[^']*+'"
+    code = f"(?:{plain}|{_DOUBLE_LINES})"
+    for _ in range(HOLES):
+        code = f"(?:{plain}|" + _bash_string(code) + r"|\(" + code + r"*+\))"
+    return code
+
+
+def _bash_string(code: str) -> str:
+    return '"(?:[^"' + _BASH_TEXT[2:] + r"|\$\(" + code + r"*+\))*+" + '"'
+
+
 def _bash() -> str:
     heredoc = (r"<<-?(?!<)[ \t]*+['\"\\]?(?<tag>[A-Za-z_]\w*+)['\"]?[^\n]*+\n"
                r"(?:.*?\n)??[ \t]*+\k<tag>(?=[ \t]*+(?:\r?\n|\z))")
     return _alternatives(
-        r"(?<![^\s;&|()])#[^\n]*+", r"\\.", heredoc, _DOUBLE_LINES, r"\$?'[^']*+'",
+        r"(?<![^\s;&|()])#[^\n]*+", r"\\.", heredoc, _bash_string(_bash_code()), _DOUBLE_LINES, r"\$?'[^']*+'",
         r"\$(?:\{[^}]*+\}|\w++|[#?$!@*-])", r"[\p{L}0-9_\-.:/@+%^,~]++", "&&", r"\|\|", ";;")
 
 
@@ -124,11 +184,52 @@ LEXERS = {
 }
 
 
+def _pieces(text: str, sign: str, opener: str, code: str, closer: str) -> str:
+    """Cuts a string into its text, up to each hole and with the sign before it, and holes without their closing bracket."""
+    before = f"(?:{text})*+{sign}(?=\\{opener})|" if sign else ""
+    return f"(?s)\\{opener}{code}*+(?=\\{closer})|{before}(?:{text})++|."
+
+
+_TEMPLATE_PIECES = _pieces(r"[^\\$]++|\\.|\$(?!\{)", r"\$", "{", _javascript_code(), "}")
+
+# What a file with such strings contains, what such a string looks like, the bracket of a hole, and the cut
+INTERPOLATED = {
+    "bash": (r"\$\(", r'^\s*+".*\$\(', "(", _pieces(_BASH_TEXT, r"\$", "(", _bash_code(), ")")),
+    "javascript": (r"\$\{", r"^\s*+`.*\$\{", "{", _TEMPLATE_PIECES),
+    "python": (r"(?i)[ft]r?[\"']", r"^\s*+(?i:[ft]r?|r[ft])[\"'].*\{", "{",
+               _pieces(r"[^\\{]++|" + _PYTHON_TEXT, "", "{", r"(?!\{)" + _python_code(), "}")),
+    "swift": (r"\\\(", r'^\s*+".*\\\(', "(", _pieces(r"[^\\]++|\\(?!\().", r"\\", "(", _swift_code(), ")")),
+    "typescript": (r"\$\{", r"^\s*+`.*\$\{", "{", _TEMPLATE_PIECES),
+}
+
+
+def _tokens(lang: str, src: Column) -> Column:
+    return F.regexp_extract_all(src, F.lit(LEXERS[lang]), F.lit(0))
+
+
+def _open_strings(lang: str, tokens: Column, levels: int = HOLES) -> Column:
+    """Tokens in which a string with holes is replaced by its pieces; together they are the same text."""
+    if not levels:
+        return tokens
+    _, shape, opener, pieces = INTERPOLATED[lang]
+
+    def piece(text: Column) -> Column:
+        code = _open_strings(lang, _tokens(lang, F.substr(text, F.lit(2))), levels - 1)
+        return F.when(text.startswith(opener), F.concat(F.array(F.lit(opener)), code)).otherwise(F.array(text))
+
+    def opened(token: Column) -> Column:
+        return F.flatten(F.transform(F.regexp_extract_all(token, F.lit(pieces), F.lit(0)), piece))
+
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("(?s)" + shape), opened(t)).otherwise(F.array(t))))
+
+
 def cut(lang: Column, src: Column, langs: list[str] | None = None) -> Column:
     """Array of raw tokens (each with the white space before it)."""
     chain = None
     for name in langs or LEXERS:
-        piece = F.regexp_extract_all(src, F.lit(LEXERS[name]), F.lit(0))
+        piece = _tokens(name, src)
+        if name in INTERPOLATED:
+            piece = F.when(src.rlike(INTERPOLATED[name][0]), _open_strings(name, piece)).otherwise(piece)
         chain = F.when(lang == name, piece) if chain is None else chain.when(lang == name, piece)
     return chain
 
@@ -144,6 +245,7 @@ CASE
   WHEN ascii(text) = 35 AND lang IN ('javascript', 'typescript') AND startswith(text, '#!')
        AND length(text) > 2 THEN 'comment'
   WHEN ascii(text) = 35 AND lang IN ('c', 'cpp') THEN 'directive'
+  WHEN ascii(text) IN (41, 125) AND length(text) > 1 THEN 'string'
   WHEN ascii(text) BETWEEN 48 AND 57 THEN 'number'
   WHEN ascii(text) = 39 AND lang = 'rust' AND NOT endswith(text, "'") THEN 'lifetime'
   WHEN length(text) > 1 AND (contains(text, '"') OR contains(text, "'")

@@ -38,8 +38,9 @@ def _newlines(col: str) -> str:
 
 
 # Brackets that nest. Bash uses single ")" in case patterns, so only braces do.
+# The text of a string behind code in it starts with the bracket that closes the code.
 OPENS = "(text = '{' OR (text IN ('(', '[') AND lang <> 'bash'))"
-CLOSES = "(text = '}' OR (text IN (')', ']') AND lang <> 'bash'))"
+CLOSES = "(startswith(text, '}') OR ((startswith(text, ')') OR text = ']') AND lang <> 'bash'))"
 
 
 def _depth(opens: str, closes: str) -> str:
@@ -52,8 +53,8 @@ def _step(opens: str, closes: str) -> str:
 
 
 DEPTHS = {
-    "paren": ("text IN ('(', '[')", "text IN (')', ']')"),
-    "brace": ("text = '{'", "text = '}'"),
+    "paren": ("text IN ('(', '[')", "(startswith(text, ')') OR text = ']')"),
+    "brace": ("text = '{'", "startswith(text, '}')"),
     "level": (OPENS, CLOSES),
 }
 # Files of these languages with arms that replace each other; others need no second look.

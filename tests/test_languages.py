@@ -6,7 +6,7 @@ import pytest
 from helpers import corpus, symbols
 from srcatlas.operators.declarations import definition_spans, extract_symbols
 from srcatlas.operators.structural import find_calls, find_type
-from srcatlas.operators.tokens import tokenize
+from srcatlas.operators.tokens import positioned, tokenize
 
 BASIC = {
     "shelf.rs": ("pub enum Spine {}\npub struct Shelf {}\n\npub fn dust() {}\n",
@@ -271,3 +271,43 @@ def test_arms_of_directives_restart(spark):
     assert at["a.c", "x"] == (1, 0) and at["a.c", "y"] == (1, 0)
     assert at["a.c", "z"] == (0, 1) and at["a.c", "w"] == (0, 0) and at["a.c", "v"] == (0, 1)
     assert at["b.cc", "w"] == (0, 0)
+
+
+HOLED = {
+    "h.js": "const a = `x ${f(1)} ${g(`in ${h({a: 2})} z`)}`;\nlet b = `\\${no(1)} $ {`; after(1);\n",
+    "h.py": "x = f\"{f(1)!r:>{g(2)}} {{no(1)}}\" 'a' rf'''\n{h('q')}'''\nafter(1)\n",
+    "h.swift": 'let s = "\\(f(1)) \\(g("in \\(h((2))) z"))"\nlet t = #"\\(no(1))"#\nafter(1)\n',
+    "h.sh": 'x="$(f "$(g "b c")" $((1+2))) $(h | sort)" \'$(no)\'\nafter 1\n',
+}
+
+
+@pytest.mark.parametrize("path", list(HOLED))
+def test_code_in_strings(spark, path):
+    """Calls in holes are found; the pieces of a string are its text, and its brackets close."""
+    files = corpus(spark, {path: HOLED[path]})
+    lang = files.first().lang
+    rows = positioned(files, [lang]).orderBy("pos").collect()
+    assert all(HOLED[path][r["at"]:r["until"]] == r["text"] for r in rows)
+    assert (rows[-1].paren, rows[-1].brace, rows[-1].level) == (0, 0, 0)
+    found = {r.text for r in find_calls(files, None, lang).collect() if r.capture == "@fn"}
+    assert found == {"f", "g", "h", "after"} | ({"sort"} if lang == "bash" else set())
+
+
+def test_unclosed_holes_stay_text(spark):
+    """A string whose hole never closes is cut as before, and what follows is found."""
+    assert symbols(spark, "u.js", "const a = `${ { `;\nfunction after() {}\n") == [("after", "fn", 2)]
+    assert symbols(spark, "u.py", "x = f'{'\ndef after(): pass\n") == [("after", "fn", 2)]
+    assert symbols(spark, "u.sh", 'x="$("\nafter() { :; }\n') == [("after", "fn", 2)]
+
+
+def test_long_strings_with_code(spark):
+    """800 kB in one string, and 20,000 holes in one."""
+    long = corpus(spark, {"l.js": "const a = `" + "x" * 800_000 + "${f(1)}`;\nconst b = `" + "${g(1)}" * 20_000 + "`;\n"})
+    found = find_calls(long, None, "javascript").where("capture = '@fn'").groupBy("text").count().collect()
+    assert {(r["text"], r["count"]) for r in found} == {("f", 1), ("g", 20_000)}
+
+
+def test_comments_nest_deep(spark):
+    for path, word in (("n.rs", "fn"), ("n.swift", "func")):
+        text = "/*" * 30 + f" don't {word} no() {{}} " + "*/" * 30 + f"\n{word} after() {{}}\n"
+        assert symbols(spark, path, text) == [("after", "fn", 2)]
