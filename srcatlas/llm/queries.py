@@ -13,5 +13,5 @@ QUERIES = {f.__name__: f for f in (
 
 SQL = {
     "op1_decontamination": decontamination.OP1_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op9_mixing": mixing.OP9_SQL,
-    "op11_jaccard_join": jaccard.OP11_SQL, "op13_lexical_search": lexical.OP13_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL, "op11_jaccard_join": jaccard.OP11_SQL, "op13_lexical_search": lexical.OP13_SQL,
 }

@@ -249,3 +249,25 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
 def op8_substring_dedup(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP8_SQL = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+windows AS (
+    SELECT r, doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS win
+    FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM texts)),
+repeated AS (
+    SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS earliest FROM windows) WHERE earliest < doc_id),
+positions AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+judged AS (
+    SELECT p.r, p.word, p.i,
+           coalesce(p.i - max(x.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS UNBOUNDED PRECEDING) < {WINDOW}, false) AS removed
+    FROM positions p LEFT JOIN repeated x ON x.r = p.r AND x.i = p.i),
+kept AS (
+    SELECT r, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS rest
+    FROM judged GROUP BY r)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.r = t.r
+"""
