@@ -55,7 +55,7 @@ def nodes_from_source(files: DataFrame, lang: str, texts: bool = True, clustered
     rows = rows.selectExpr(
         "*", f"last(CASE WHEN NOT edge AND ended IS NOT NULL THEN struct(ended AS def, line, until) END, true) OVER {BACKWARDS} AS ends",
         f"last(CASE WHEN NOT edge THEN sym END, true) OVER {BACKWARDS} AS starts",
-        f"last(CASE WHEN NOT edge AND {CLOSES} THEN struct(line, until) END, true) OVER {BACKWARDS} AS closed")
+        f"last(CASE WHEN NOT edge AND {CLOSES} THEN struct(line, at + 1 AS until) END, true) OVER {BACKWARDS} AS closed")
     rows = rows.where(f"NOT edge AND (sym IS NOT NULL OR NOT {CLOSES})").selectExpr(
         "*", "CASE WHEN ends.def.head.at <= at THEN ends.def.pos WHEN starts.head.at <= at THEN starts.pos END AS item",
         "coalesce((encl.pos + 1) * 4, 0) AS up",

@@ -3,6 +3,7 @@
 import pytest
 
 from corpora import spark as cs
+from helpers import corpus
 from srcatlas.operators.nodes import nodes_from_source
 from srcatlas.operators.tokens import positioned
 from srcatlas.operators.tree import Node, match_nodes
@@ -86,3 +87,9 @@ def test_without_texts_nothing_is_joined(spark):
     assert "Join" not in plan and nodes.where("type = 'call' AND text IS NULL").count() == 2
     with pytest.raises(ValueError):
         nodes_from_source(_corpus(spark), "py")
+
+
+def test_holes_of_strings_are_nodes(spark):
+    rows = nodes_from_source(corpus(spark, {"h.js": "function a() { return `x ${f(1)} z`; }\n"}), "javascript").collect()
+    assert {r.text for r in rows if r.type == "braces"} == {"{ return `x ${f(1)} z`; }", "{f(1)}"}
+    assert [r.text for r in rows if r.type == "call"] == ["f(1)"]
