@@ -407,7 +407,7 @@ def scan_changes(spark, sf):
 def _with_files(index):
     """Index contents as one relation: a row per file and symbol."""
     symbols = index.symbols.select("file", "name", "kind", "line")
-    return index.files.join(symbols, F.col("path") == F.col("file"), "left").select(
+    return index.files.join(symbols.hint("merge"), F.col("path") == F.col("file"), "left").select(
         "path", "lang", "mtime_secs", "mtime_nanos", "name", "kind", "line")
 
 

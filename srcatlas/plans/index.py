@@ -3,6 +3,10 @@
 A refresh is one comparison of listings (path and time) followed by joins; only
 the content of stale files is read and cut into tokens. Every function returns
 new relations and leaves its inputs alone.
+
+A corpus has many paths and symbols, and where they are computed Spark takes
+them for as small as what they are computed from and would broadcast all of
+them through the driver. So joins by path ask for a merge.
 """
 
 from __future__ import annotations
@@ -59,7 +63,7 @@ def scan_changes(files: DataFrame, index: Index, scope: str | None = None, lang:
     known = in_scope(index.files, scope, lang).select(
         F.col("path").alias("known_path"), F.col("lang").alias("known_lang"),
         F.col("mtime_secs").alias("known_secs"), F.col("mtime_nanos").alias("known_nanos"))
-    both = found.join(known, F.col("path") == F.col("known_path"), "full_outer")
+    both = found.join(known.hint("merge"), F.col("path") == F.col("known_path"), "full_outer")
     status = (F.when(F.col("known_path").isNull(), "new")
               .when(F.col("path").isNull(), "deleted")
               .when((F.col("mtime_secs") == F.col("known_secs")) & (F.col("mtime_nanos") == F.col("known_nanos")),
@@ -74,23 +78,23 @@ def scan_changes(files: DataFrame, index: Index, scope: str | None = None, lang:
 def upsert_files(index: Index, files: DataFrame, symbols: DataFrame) -> Index:
     """Replaces the given files and all their symbols."""
     rows = listed(files)
-    paths = rows.select("path")
+    paths = rows.select("path").hint("merge")
     return Index(
         index.files.join(paths, "path", "left_anti").select(*FILE_COLUMNS).unionByName(rows),
-        index.symbols.join(paths.withColumnRenamed("path", "file"), "file", "left_anti").select(*SYMBOL_COLUMNS)
+        index.symbols.join(paths.withColumnRenamed("path", "file").hint("merge"), "file", "left_anti").select(*SYMBOL_COLUMNS)
         .unionByName(symbols.select(*SYMBOL_COLUMNS)))
 
 
 def drop_files(index: Index, paths: DataFrame) -> Index:
     """Removes files (``path``) and, with them, their symbols."""
-    kept = index.files.join(paths.select("path"), "path", "left_anti").select(*FILE_COLUMNS)
-    symbols = index.symbols.join(kept.select(F.col("path").alias("file")), "file", "left_semi")
+    kept = index.files.join(paths.select("path").hint("merge"), "path", "left_anti").select(*FILE_COLUMNS)
+    symbols = index.symbols.join(kept.select(F.col("path").alias("file")).hint("merge"), "file", "left_semi")
     return Index(kept, symbols.select(*SYMBOL_COLUMNS))
 
 
 def prune_deleted(index: Index, existing: DataFrame, scope: str | None = None, lang: str | None = None) -> Index:
     """Drops the files in scope that are not in ``existing``, with their symbols."""
-    return drop_files(index, in_scope(index.files, scope, lang).join(existing.select("path"), "path", "left_anti"))
+    return drop_files(index, in_scope(index.files, scope, lang).join(existing.select("path").hint("merge"), "path", "left_anti"))
 
 
 def refresh_index(index: Index, files: DataFrame, scope: str | None = None, lang: str | None = None,
@@ -102,14 +106,14 @@ def refresh_index(index: Index, files: DataFrame, scope: str | None = None, lang
     """
     state = scan_changes(files, index, scope, lang)
     stale = state.where(F.col("status").isin("new", "changed"))
-    fetched = contents(stale) if contents else files.join(stale.select("path"), "path", "left_semi")
+    fetched = contents(stale) if contents else files.join(stale.select("path").hint("merge"), "path", "left_semi")
     fresh = extract_symbols(fetched, cap=cap, ordered=False)
     # Files and symbols that need no work: unchanged, or outside the scope.
     settled = state.where(F.col("status") != "unchanged").select("path")
-    outside = index.files.join(state.select("path"), "path", "left_anti")
+    outside = index.files.join(state.select("path").hint("merge"), "path", "left_anti")
     return Index(
         state.where(F.col("status") != "deleted").select(*FILE_COLUMNS).unionByName(outside.select(*FILE_COLUMNS)),
-        index.symbols.join(settled.withColumnRenamed("path", "file"), "file", "left_anti").select(*SYMBOL_COLUMNS)
+        index.symbols.join(settled.withColumnRenamed("path", "file").hint("merge"), "file", "left_anti").select(*SYMBOL_COLUMNS)
         .unionByName(fresh.select(*SYMBOL_COLUMNS)))
 
 
@@ -119,7 +123,7 @@ def rebuild_index(files: DataFrame, cap: int | None = None) -> Index:
 
 
 def _symbols_of(files: DataFrame, index: Index, ordered: bool) -> DataFrame:
-    joined = index.symbols.join(files.select(F.col("path").alias("file")), "file")
+    joined = index.symbols.join(files.select(F.col("path").alias("file")).hint("merge"), "file")
     rows = joined.select("name", "kind", "file", "line", "pos")
     return rows.orderBy("file", "line", "pos") if ordered else rows
 

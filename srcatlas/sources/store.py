@@ -221,7 +221,7 @@ def refresh_stored(spark: SparkSession, directory: str, files: DataFrame, conten
     found.write.parquet(where)
     state = spark.read.schema(found.schema).parquet(where)
     stale = state.where("status IN ('new', 'changed')")
-    fetched = contents(stale) if contents else files.join(stale.select("path"), "path", "left_semi")
+    fetched = contents(stale) if contents else files.join(stale.select("path").hint("merge"), "path", "left_semi")
     fresh = extract_symbols(fetched, cap=cap, ordered=False)
 
     def change(part: Index) -> Index:
