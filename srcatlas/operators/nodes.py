@@ -91,7 +91,7 @@ def nodes_from_source(files: DataFrame, lang: str, texts: bool = True, clustered
         if not clustered:
             sources = sources.repartition(partition_count(files.sparkSession), "file")
         cut = F.substring("src", (F.col("pos") + 1).cast("int"), (F.col("until") - F.col("pos")).cast("int"))
-        whole = nodes.where("text IS NULL").join(sources, "file").withColumn("text", decode_capture(cut, F.col("valid")))
+        whole = nodes.where("text IS NULL").join(sources.hint("merge"), "file").withColumn("text", decode_capture(cut, F.col("valid")))
         nodes = nodes.where("text IS NOT NULL").select(*columns).unionByName(whole.select(*columns))
     root = chosen.selectExpr("path AS file", "0L AS node_id", "CAST(null AS BIGINT) AS parent_id", "CAST(null AS STRING) AS field", "'file' AS type",
                              "CAST(null AS STRING) AS text", "1L AS start_line", "CAST(null AS BIGINT) AS end_line", "-1L AS pos", "CAST(null AS BIGINT) AS until")

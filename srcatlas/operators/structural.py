@@ -47,13 +47,14 @@ def limited(matches: DataFrame, limit: int | None) -> DataFrame:
 def _item_texts(files: DataFrame, items: DataFrame) -> DataFrame:
     """Adds ``text``, the source between ``start_at`` and ``end_at``.
 
-    The few matching rows meet the content of the files already filtered by
-    name; adaptive execution broadcasts them when they turn out small.
+    The matching rows meet the content of the files already filtered by name, by
+    a merge: neither side is small in a question about every name, and Spark
+    takes computed content for as small as what it is computed from.
     """
     text = F.col("src") if "src" in files.columns else source_text(F.col("content"))
     sources = files.select(F.col("path").alias("file"), text.alias("src"))
     cut = F.substring("src", (F.col("start_at") + 1).cast("int"), (F.col("end_at") - F.col("start_at")).cast("int"))
-    return items.join(sources, "file").withColumn("text", F.coalesce(decode_capture(cut, F.is_valid_utf8("src")), "name"))
+    return items.join(sources.hint("merge"), "file").withColumn("text", F.coalesce(decode_capture(cut, F.is_valid_utf8("src")), "name"))
 
 
 def _with_item(files: DataFrame, items: DataFrame, name_capture: str, item_capture: str) -> DataFrame:
