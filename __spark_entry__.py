@@ -315,7 +315,11 @@ def _writer(root):
     def write(rows):
         for row in rows:
             target = os.path.join(root, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            folder = os.path.dirname(target)
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+        made = set()
             with open(target, "wb") as f:
                 f.write(row.content)
     return write

@@ -70,13 +70,14 @@ class Directories(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = os.path.abspath(options["path"])
+        self.start = len(self.root.rstrip(os.sep)) + 1
         self.shards = int(options.get("shards", "256"))
         self.ignore = [name for name in options.get("ignore", "").split("/") if name]
         self.below = options.get("below", "")
 
     def _name(self, path: str) -> str:
-        name = os.path.relpath(path, self.root).replace(os.sep, "/")
-        return "" if name == "." else name
+        """A path below the root, as the walk makes them, without the root."""
+        return path[self.start:].replace(os.sep, "/")
 
     def _skipped(self, entry: os.DirEntry, rules: tuple[IgnoreRule, ...]) -> bool:
         if not self.ignore:
@@ -148,7 +149,7 @@ class TreeReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def _row(self, entry: os.DirEntry) -> dict:
-        path = os.path.relpath(entry.path, self.root).replace(os.sep, "/")
+        path = self._name(entry.path)
         try:
             stat = entry.stat(follow_symlinks=False)
             secs, nanos, length = stat.st_mtime_ns // 10**9, stat.st_mtime_ns % 10**9, stat.st_size
