@@ -280,7 +280,10 @@ def _code_nodes(spark, sf):
     for lang in NODE_LANGS:
         nodes = nodes_from_source(cs.part_files(spark, sf, lang), lang)
         out = nodes if out is None else out.unionByName(nodes)
-    return out
+    # Patterns and joins read it many times; it is worked out once.
+    where = f"{_scratch(spark)}/nodes"
+    out.write.parquet(where)
+    return spark.read.schema(out.schema).parquet(where)
 
 
 def nodes_from_tokens(spark, sf):
@@ -313,13 +316,13 @@ def _snapshots(spark, sf):
 
 def _writer(root):
     def write(rows):
+        made = set()
         for row in rows:
             target = os.path.join(root, row.path)
             folder = os.path.dirname(target)
             if folder not in made:
                 os.makedirs(folder, exist_ok=True)
                 made.add(folder)
-        made = set()
             with open(target, "wb") as f:
                 f.write(row.content)
     return write
