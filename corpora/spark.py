@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpora.templates import LANG_ORDER, TEMPLATES
+from srcatlas import configure
 from srcatlas.functions.langs import EXTENSIONS
 
 
@@ -16,18 +17,28 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.lit(values), (index + 1).cast("int"))
 
 
+def _measured(spark: SparkSession, texts: DataFrame, size: Column) -> None:
+    """Tells the session how many bytes of text there are."""
+    configure(spark, texts.agg(F.sum(size)).first()[0])
+
+
 def part_files(spark: SparkSession, sf_dir: str, lang: str | None = None, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """One source file per part: in ``lang``, or spread over all nine."""
     k, count = F.col("k"), len(LANG_ORDER)
-    parts = table(spark, sf_dir, "part").selectExpr(
+    # A few bytes of a part become a whole file: spread them first, or one task writes all files.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").repartition("p_partkey").selectExpr(
         "p_partkey AS k", "replace(p_name, ' ', '_') AS n",
         "concat_ws('/', 'proj', lower(replace(p_brand, '#', '')), lower(p_type)) AS dir")
     chosen = _pick(LANG_ORDER, k % count) if lang is None else F.lit(lang)
     nth = F.floor(k / count) if lang is None else k
     langs = [lang] if lang else LANG_ORDER
-    texts = F.create_map(*[F.lit(x) for name in langs for x in (name, "\n".join(templates[name]) + "\n")])
+    bodies = {name: "\n".join(templates[name]) + "\n" for name in langs}
+    texts = F.create_map(*[F.lit(x) for name, body in bodies.items() for x in (name, body)])
     exts = F.create_map(*[F.lit(x) for name in langs for x in (name, EXTENSIONS[name])])
     parts = parts.select("*", chosen.alias("lang"), nth.alias("nth"))
+    sizes = F.create_map(*[F.lit(x) for name, body in bodies.items() for x in (name, [len(body.encode()), body.count("{k}"), body.count("{n}")])])
+    size = F.element_at(sizes, F.col("lang"))
+    _measured(spark, parts, size[0] + size[1] * (F.length(k.cast("string")) - 3) + size[2] * (F.octet_length("n") - 3))
     parts = parts.select("*", F.element_at(texts, F.col("lang")).alias("template"),
                          F.element_at(exts, F.col("lang")).alias("exts"))
     return parts.selectExpr(
@@ -61,6 +72,7 @@ def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     call = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("    part_"), F.col("l_partkey"), F.lit("()"))) \
         .otherwise(F.concat(F.lit("    self.part_"), F.col("l_partkey"), F.lit("()")))
+    _measured(spark, lines, F.octet_length(call) + 1)
     numbered = lines.select("l_orderkey", F.row_number().over(order).alias("i"), call.alias("call"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "call"))), lambda s: s["call"]), "\n")
     files = numbered.groupBy("l_orderkey").agg(body.alias("body"))

@@ -17,13 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from srcatlas.functions.langs import resolve_lang
-from srcatlas.operators.tokens import BY_FILE, CLOSES, OPENS, RUNNING, captured, partition_count, positioned, with_neighbours
+from srcatlas.operators.tokens import BY_FILE, CLOSES, FILE, OPENS, RUNNING, captured, partition_count, positioned, with_neighbours
 
 CAP_PER_FILE = 500
 
-LEVEL = "PARTITION BY file, lv ORDER BY pos"
+LEVEL = f"PARTITION BY {FILE}, lv ORDER BY pos"
 SO_FAR = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-BEFORE_IT = "(PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+BEFORE_IT = f"(PARTITION BY {FILE} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 BACKWARDS = f"({LEVEL} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -266,7 +266,7 @@ def declarations(tokens: DataFrame, langs: list[str] | None = None) -> DataFrame
     """All declarations in a relation made by ``positioned``."""
     found = resolve(tokens, langs)
     if langs is None or "rust" in langs:
-        found = _outside_macros(found.select("file", "lang", "valid", "pos", "sym", "macro").where("sym IS NOT NULL OR macro <> 0"))
+        found = _outside_macros(found.select("file", "fid", "lang", "valid", "pos", "sym", "macro").where("sym IS NOT NULL OR macro <> 0"))
     found = found.where("sym IS NOT NULL")
     return found.select(captured("sym.name").alias("name"), "sym.kind", "file", "lang", "sym.line", "sym.pos")
 
@@ -318,7 +318,7 @@ def _block_spans(tokens: DataFrame, langs: list[str], extra: dict[str, list[Rule
     closes the body, or the semicolon when there is none."""
     rows = with_ends(resolve(tokens, langs, extra, heads=True))
     rows = rows.selectExpr(
-        "file", "lang", "valid", "pos", "macro", "sym", "line", "until", "ended")
+        "file", "fid", "lang", "valid", "pos", "macro", "sym", "line", "until", "ended")
     if "rust" in langs:
         rows = _outside_macros(rows.where("sym IS NOT NULL OR ended IS NOT NULL OR macro <> 0"))
     both = rows.where("sym IS NOT NULL OR ended IS NOT NULL").selectExpr("file", "lang", "valid", """inline(array(
@@ -335,7 +335,7 @@ def _indent_spans(tokens: DataFrame) -> DataFrame:
     Every line start is repeated for each declaration indent at or right of
     it (a file has few distinct ones), so the end is the next row of a window.
     """
-    whole = "(PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    whole = f"(PARTITION BY {FILE} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     rows = with_neighbours(tokens, before=2, after=1).selectExpr(
         "*", "paren = 0 AND brace = 0 AND starts_line AS begins",
         f"lag(line_end, 1) OVER {BY_FILE} AS before_line", f"lag(until, 1) OVER {BY_FILE} AS before_at",

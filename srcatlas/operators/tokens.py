@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from srcatlas.functions.lexers import TOKEN_CLASS, cut
 from srcatlas.functions.paths import decode_capture, source_text
 
-BY_FILE = "(PARTITION BY file ORDER BY pos)"
-RUNNING = "(PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+# Paths of a corpus begin alike, so sorts by path compare whole texts. A hash of the path
+# ahead of it decides almost every comparison; the path itself keeps files apart.
+FILE = "fid, file"
+BY_FILE = f"(PARTITION BY {FILE} ORDER BY pos)"
+RUNNING = f"(PARTITION BY {FILE} ORDER BY pos ROWS UNBOUNDED PRECEDING)"
 
 
 def partition_count(spark: SparkSession) -> int:
@@ -71,8 +74,8 @@ def _with_arms(tokens: DataFrame) -> DataFrame:
     are added where an arm that is not the first begins and taken off at its
     end. Windows are by file and one small number, so rows stay where they are.
     """
-    by_if = "(PARTITION BY file, ifs ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    by_arm = "(PARTITION BY file, arms ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    by_if = f"(PARTITION BY {FILE}, ifs ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    by_arm = f"(PARTITION BY {FILE}, arms ORDER BY pos ROWS UNBOUNDED PRECEDING)"
     word = r"CASE WHEN cls = 'directive' THEN regexp_extract(text, '^#\\s*(ifdef|ifndef|if|elif|else|endif)', 1) END"
     rows = tokens.selectExpr("*", f"{word} AS word").selectExpr(
         "*", f"""CASE WHEN word IN ('if', 'ifdef', 'ifndef') THEN 'if' WHEN word IN ('else', 'elif') THEN 'else' WHEN word = 'endif' THEN 'endif' END AS turn""")
@@ -91,7 +94,7 @@ def _with_arms(tokens: DataFrame) -> DataFrame:
 
 
 def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool = False, only: str = "true") -> DataFrame:
-    """(file, lang, valid, pos, raw): raw tokens, clustered by file."""
+    """(file, fid, lang, valid, pos, raw): raw tokens, clustered by file, those of a file side by side."""
     content = F.col("src") if "src" in files.columns else source_text(F.col("content"))
     chosen = files.where(F.col("lang").isin(langs) if langs else F.col("lang").isNotNull())
     chosen = chosen.select(F.col("path").alias("file"), "lang", content.alias("src"))
@@ -100,8 +103,10 @@ def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool
     chosen = chosen.withColumn("valid", F.is_valid_utf8("src"))
     if not clustered:
         chosen = chosen.repartition(partition_count(files.sparkSession), "file")
-    return chosen.where(only).select(
-        "file", "lang", "valid",
+    # Tokens then come out all but sorted, which their sorts make use of.
+    chosen = chosen.where(only).withColumn("fid", F.xxhash64("file")).sortWithinPartitions("fid", "file")
+    return chosen.select(
+        "file", "fid", "lang", "valid",
         F.posexplode(cut(F.col("lang"), F.col("src"), langs)).alias("pos", "raw"))
 
 
@@ -120,12 +125,12 @@ def positioned(files: DataFrame, langs: list[str] | None = None, clustered: bool
 
 def _positions(raw: DataFrame) -> DataFrame:
     raw = raw.selectExpr(
-        "file", "lang", "valid", "CAST(pos AS BIGINT) AS pos", "raw",
+        "file", "fid", "lang", "valid", "CAST(pos AS BIGINT) AS pos", "raw",
         r"trim(LEADING ' \t\n\r\u000b\u000c' FROM raw) AS text")
     line_end = f"(sum({_newlines('raw')}) OVER {RUNNING} + 1)"
     until = f"sum(length(raw)) OVER {RUNNING}"
     return raw.selectExpr(
-        "file", "lang", "valid", "pos", "text", f"{TOKEN_CLASS} AS cls",
+        "file", "fid", "lang", "valid", "pos", "text", f"{TOKEN_CLASS} AS cls",
         f"{line_end} - {_newlines('text')} AS line", f"{line_end} AS line_end",
         *[f"{_depth(*pair)} AS {d}" for d, pair in DEPTHS.items()],
         f"{until} - length(text) AS at", f"{until} AS until",

@@ -20,17 +20,21 @@ SETTINGS = {
     # Lets a prefix of the path start the walk of a directory tree below it.
     "spark.sql.python.filterPushdown.enabled": "true",
 }
-TEXT_PER_PARTITION = 64 << 20
+# Text grows some hundredfold when every token of it has its neighbours and brackets beside it.
+TEXT_PER_PARTITION = 1 << 20
+# Beyond so many partitions, they grow up to the size that a sort spills little of.
+SMALL_PARTITIONS = 10_000
+MOST_PER_PARTITION = 64 << 20
 
 
 def configure(spark: SparkSession, source_bytes: int | None = None) -> SparkSession:
     """Applies the settings. With the size of the source text, also raises the
-    number of shuffle partitions to one per 64 MB, so that the sort of the
-    tokens of one partition stays in memory or spills little."""
+    number of shuffle partitions to one per MB, so that the memory for the tokens
+    of one partition does not grow with the corpus; above 10,000, to one per 64 MB."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     if source_bytes:
-        wanted = source_bytes // TEXT_PER_PARTITION + 1
+        wanted = max(min(source_bytes // TEXT_PER_PARTITION, SMALL_PARTITIONS), source_bytes // MOST_PER_PARTITION) + 1
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return spark
