@@ -62,52 +62,73 @@ DEPTHS = {
 }
 # Files of these languages with arms that replace each other; others need no second look.
 _WITH_ARMS = r"lang IN ('c', 'cpp') AND src RLIKE '(?m)^\\s*#\\s*el(se|if)'"
+_TURN = r"^\\s*+#\\s*(ifdef|ifndef|if|elif|else|endif)"
 
 
-def _with_arms(tokens: DataFrame) -> DataFrame:
-    """Depths that restart in each arm of a conditional directive and go on, behind it, from its first arm.
+def _arms(cut: DataFrame) -> DataFrame:
+    """(.., at_pos, part, fix_paren, fix_brace, fix_level): the tokens of a file in parts that start at its conditional
+    directives, with what makes the running sums over the file depths that restart in each arm and go on, behind it,
+    from its first arm. A file without arms is one part.
 
     Only one arm is ever compiled, so a bracket that each of them opens is
-    opened once. ``arms`` counts the arms around a token that are not the first
+    opened once. ``arms`` counts the arms around a part that are not the first
     of theirs. Within one value of it, depth is a running sum since such an arm
     began, plus the depths at which the conditionals around began; the latter
     are added where an arm that is not the first begins and taken off at its
-    end. Windows are by file and one small number, so rows stay where they are.
+    end. Windows are by file and one small number, over one row for each
+    directive: tokens are not rows yet.
     """
-    by_if = f"(PARTITION BY {FILE}, ifs ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    by_arm = f"(PARTITION BY {FILE}, arms ORDER BY pos ROWS UNBOUNDED PRECEDING)"
-    word = r"CASE WHEN cls = 'directive' THEN regexp_extract(text, '^#\\s*(ifdef|ifndef|if|elif|else|endif)', 1) END"
-    rows = tokens.selectExpr("*", f"{word} AS word").selectExpr(
-        "*", f"""CASE WHEN word IN ('if', 'ifdef', 'ifndef') THEN 'if' WHEN word IN ('else', 'elif') THEN 'else' WHEN word = 'endif' THEN 'endif' END AS turn""")
-    rows = rows.selectExpr("*", f"""sum(CASE turn WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER {RUNNING}
+    by_if = f"(PARTITION BY {FILE}, ifs ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    so_far = f"(PARTITION BY {FILE} ORDER BY seg ROWS UNBOUNDED PRECEDING)"
+    # By range: were a file there twice, its tokens would stand behind the directives of both.
+    by_arm = f"(PARTITION BY {FILE}, arms ORDER BY seg RANGE UNBOUNDED PRECEDING)"
+    ahead = f"(PARTITION BY {FILE}, arms ORDER BY seg RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    earlier = f"(PARTITION BY {FILE} ORDER BY seg RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    fixed = f"(PARTITION BY {FILE} ORDER BY seg RANGE UNBOUNDED PRECEDING)"
+    rows = cut.selectExpr("*", f"""CASE WHEN forked THEN concat(array(0),
+        filter(transform(raws, (raw, i) -> CASE WHEN raw RLIKE '{_TURN}' THEN i END), i -> i IS NOT NULL)) ELSE array(0) END AS starts""")
+    rows = rows.selectExpr("* EXCEPT (raws, starts)", """inline(CASE WHEN forked THEN transform(starts, (i, seg) -> named_struct('seg', seg, 'at_pos', i,
+        'part', slice(raws, i + 1, coalesce(get(starts, seg + 1), size(raws)) - i))) ELSE array(named_struct('seg', 0, 'at_pos', 0, 'part', raws)) END)""")
+    rows = rows.selectExpr("*", f"CASE WHEN seg > 0 THEN regexp_extract(part[0], '{_TURN}', 1) END AS word", r"""CASE WHEN forked THEN filter(
+        transform(part, raw -> trim(LEADING ' \t\n\r\u000b\u000c' FROM raw)), text -> left(text, 1) IN ('(', '[', '{', ')', ']', '}')) END AS brackets""")
+    rows = rows.selectExpr("* EXCEPT (word, brackets)", """CASE WHEN word IN ('if', 'ifdef', 'ifndef') THEN 'if' WHEN word IN ('else', 'elif') THEN 'else'
+        WHEN word = 'endif' THEN 'endif' END AS turn""", *[
+        f"coalesce(aggregate(brackets, 0L, (n, text) -> n + {_step(*pair)}), 0L) AS net_{d}" for d, pair in DEPTHS.items()])
+    rows = rows.selectExpr("*", f"""sum(CASE turn WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER {so_far}
         + CASE WHEN turn = 'endif' THEN 1 ELSE 0 END AS ifs""")
     rows = rows.selectExpr("*", f"last(turn, true) OVER {by_if} AS before")
     rows = rows.selectExpr("*", f"""sum(CASE WHEN turn = 'else' AND before = 'if' THEN 1 WHEN turn = 'endif' AND before = 'else' THEN -1
-        ELSE 0 END) OVER {RUNNING} AS arms""")
-    rows = rows.selectExpr("*", *[f"sum({_step(*pair)}) OVER {by_arm} AS sum_{d}" for d, pair in DEPTHS.items()])
+        ELSE 0 END) OVER {so_far} AS arms""")
+    # Sums are those at the directive, which is no bracket: without the part that it starts.
+    rows = rows.selectExpr("*", *[f"coalesce(sum(net_{d}) OVER {ahead}, 0) AS sum_{d}" for d in DEPTHS])
     rows = rows.selectExpr("*", *[f"sum_{d} - coalesce(last(CASE WHEN turn = 'else' THEN sum_{d} END, true) OVER {by_arm}, 0) AS own_{d}" for d in DEPTHS])
     rows = rows.selectExpr("*", *[f"last(CASE WHEN turn = 'if' THEN own_{d} END, true) OVER {by_if} AS base_{d}" for d in DEPTHS])
-    return rows.selectExpr("* EXCEPT (paren, brace, level)", *[
-        f"""own_{d} - CASE WHEN {opens} THEN 1 ELSE 0 END + sum(CASE WHEN turn = 'else' AND before = 'if' THEN base_{d}
-            WHEN turn = 'endif' AND before = 'else' THEN -base_{d} ELSE 0 END) OVER {RUNNING} AS {d}"""
-        for d, (opens, _) in DEPTHS.items()]).select(*tokens.columns)
+    return rows.selectExpr(*cut.drop("raws", "forked").columns, "at_pos", "part", *[
+        f"""own_{d} - coalesce(sum(net_{d}) OVER {earlier}, 0) + sum(CASE WHEN turn = 'else' AND before = 'if' THEN base_{d}
+            WHEN turn = 'endif' AND before = 'else' THEN -base_{d} ELSE 0 END) OVER {fixed} AS fix_{d}""" for d in DEPTHS])
 
 
-def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool = False, only: str = "true") -> DataFrame:
-    """(file, fid, lang, valid, pos, raw): raw tokens, clustered by file, those of a file side by side."""
+def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool = False) -> DataFrame:
+    """(file, fid, lang, valid, pos, raw, fix_paren, fix_brace, fix_level): raw tokens, clustered by file, those of a file side by side."""
     content = F.col("src") if "src" in files.columns else source_text(F.col("content"))
     chosen = files.where(F.col("lang").isin(langs) if langs else F.col("lang").isNotNull())
-    chosen = chosen.select(F.col("path").alias("file"), "lang", content.alias("src"))
+    # The name of the only language is no column, and what other languages need falls away from the plan.
+    lang = F.lit(langs[0]).alias("lang") if langs and len(langs) == 1 else F.col("lang")
+    chosen = chosen.select(F.col("path").alias("file"), lang, content.alias("src"))
     # Everything about the whole text is computed here, so that the rows of the
     # exploded tokens do not carry it along.
     chosen = chosen.withColumn("valid", F.is_valid_utf8("src"))
     if not clustered:
         chosen = chosen.repartition(partition_count(files.sparkSession), "file")
     # Tokens then come out all but sorted, which their sorts make use of.
-    chosen = chosen.where(only).withColumn("fid", F.xxhash64("file")).sortWithinPartitions("fid", "file")
-    return chosen.select(
-        "file", "fid", "lang", "valid",
-        F.posexplode(cut(F.col("lang"), F.col("src"), langs)).alias("pos", "raw"))
+    chosen = chosen.withColumn("fid", F.xxhash64("file")).sortWithinPartitions("fid", "file")
+    raws = cut(F.col("lang"), F.col("src"), langs)
+    if langs and not {"c", "cpp"} & set(langs):
+        return chosen.select("file", "fid", "lang", "valid", F.posexplode(raws).alias("pos", "raw"), *[F.lit(0).cast("bigint").alias(f"fix_{d}") for d in DEPTHS])
+    parts = _arms(chosen.select("file", "fid", lang, "valid", raws.alias("raws"), F.expr(_WITH_ARMS).alias("forked")))
+    fixes = [f"fix_{d}" for d in DEPTHS]
+    tokens = parts.select("file", "fid", lang, "valid", "at_pos", *fixes, F.posexplode("part").alias("nth", "raw"))
+    return tokens.select("file", "fid", "lang", "valid", (F.col("at_pos") + F.col("nth")).alias("pos"), "raw", *fixes)
 
 
 def positioned(files: DataFrame, langs: list[str] | None = None, clustered: bool = False) -> DataFrame:
@@ -117,22 +138,19 @@ def positioned(files: DataFrame, langs: list[str] | None = None, clustered: bool
     every kind of bracket that nests; ``at`` and ``until`` are character offsets;
     ``indent`` counts the blanks between the line start and a first token.
     """
-    if langs and not {"c", "cpp"} & set(langs):
-        return _positions(cut_files(files, langs, clustered))
-    plain = _positions(cut_files(files, langs, clustered, f"NOT ({_WITH_ARMS})"))
-    return plain.unionByName(_with_arms(_positions(cut_files(files, [x for x in ("c", "cpp") if not langs or x in langs], clustered, _WITH_ARMS))))
+    return _positions(cut_files(files, langs, clustered))
 
 
 def _positions(raw: DataFrame) -> DataFrame:
     raw = raw.selectExpr(
-        "file", "fid", "lang", "valid", "CAST(pos AS BIGINT) AS pos", "raw",
+        "file", "fid", "lang", "valid", "CAST(pos AS BIGINT) AS pos", "raw", *[f"fix_{d}" for d in DEPTHS],
         r"trim(LEADING ' \t\n\r\u000b\u000c' FROM raw) AS text")
     line_end = f"(sum({_newlines('raw')}) OVER {RUNNING} + 1)"
     until = f"sum(length(raw)) OVER {RUNNING}"
     return raw.selectExpr(
         "file", "fid", "lang", "valid", "pos", "text", f"{TOKEN_CLASS} AS cls",
         f"{line_end} - {_newlines('text')} AS line", f"{line_end} AS line_end",
-        *[f"{_depth(*pair)} AS {d}" for d, pair in DEPTHS.items()],
+        *[f"{_depth(*pair)} + fix_{d} AS {d}" for d, pair in DEPTHS.items()],
         f"{until} - length(text) AS at", f"{until} AS until",
         r"length(substring_index(left(raw, length(raw) - length(text)), '\n', -1)) AS indent",
     ).where("text <> ''")

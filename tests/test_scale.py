@@ -9,6 +9,7 @@ from corpora import spark as cs
 from helpers import corpus
 from srcatlas import configure
 from srcatlas.operators import structural
+from srcatlas.operators.declarations import extract_symbols
 from srcatlas.operators.nodes import nodes_from_source
 from srcatlas.operators.tokens import tokenize
 from srcatlas.plans import index as plans
@@ -72,3 +73,14 @@ def test_files_of_one_hash_prefix_stay_apart(spark):
     rows = tokenize(corpus(spark, texts)).where("cls = 'ident'").collect()
     assert sorted((r.file, r.line, r.text) for r in rows) == sorted(
         (p, line, t) for i, p in enumerate(texts) for line, t in ((1, "def"), (1, f"f{i}"), (2, f"g{i}")))
+
+
+def test_arms_of_directives_are_windows_over_directives(spark):
+    text = "#if A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n  g();\n}\nint h(int b) { return b; }\n"
+    found = extract_symbols(corpus(spark, {"a.c": text, "b.cpp": text, "c.c": text.replace("#", "// #"), "d.py": "def f(): pass\n"}), ordered=False)
+    tokens = plan(found).split("Generate posexplode")
+    # Files are read and exchanged once; their tokens are sorted by position, by level, and for Rust's macros.
+    assert len(tokens) == 2 and "Union" not in plan(found) and plan(found).count("REPARTITION_BY_NUM") == 1
+    assert tokens[0].count("Sort [") == 3
+    assert sorted((r.file, r.name, r.line) for r in found.collect() if r.file < "c") == sorted(
+        (file, *row) for file in ("a.c", "b.cpp") for row in (("f", 2), ("f", 4), ("h", 8)))
