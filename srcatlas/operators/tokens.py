@@ -98,7 +98,7 @@ def _arms(cut: DataFrame) -> DataFrame:
         + CASE WHEN turn = 'endif' THEN 1 ELSE 0 END AS ifs""")
     rows = rows.selectExpr("*", f"last(turn, true) OVER {by_if} AS before")
     rows = rows.selectExpr("*", f"""sum(CASE WHEN turn = 'else' AND before = 'if' THEN 1 WHEN turn = 'endif' AND before = 'else' THEN -1
-        ELSE 0 END) OVER {so_far} AS arms""")
+        ELSE 0 END) OVER {fixed} AS arms""")
     # Sums are those at the directive, which is no bracket: without the part that it starts.
     rows = rows.selectExpr("*", *[f"coalesce(sum(net_{d}) OVER {ahead}, 0) AS sum_{d}" for d in DEPTHS])
     rows = rows.selectExpr("*", *[f"sum_{d} - coalesce(last(CASE WHEN turn = 'else' THEN sum_{d} END, true) OVER {by_arm}, 0) AS own_{d}" for d in DEPTHS])
