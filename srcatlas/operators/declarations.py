@@ -24,10 +24,14 @@ CAP_PER_FILE = 500
 LEVEL = f"PARTITION BY {FILE}, lv ORDER BY pos"
 SO_FAR = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE_IT = f"(PARTITION BY {FILE} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-BACKWARDS = f"({LEVEL} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 BEFORE = f"({LEVEL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
+def following(column: str) -> str:
+    """The value of a column here or, where it is null, in the next row of the level that has one. Rows stay in the order that ``SO_FAR`` asks for."""
+    return f"coalesce({column}, lead({column}, 1) IGNORE NULLS OVER ({LEVEL}))"
+
+
 def words_in(column: str, words: str) -> str:
     """``column IN (...)`` for a blank-separated word list; null counts as ''."""
     return f"coalesce({column}, '') IN ({', '.join(repr(w) for w in words.split())})"
@@ -164,20 +168,6 @@ _ITEM_START = f"""CASE
     END"""
 
 
-def _leveled(tokens: DataFrame, langs: list[str] | None, extra: dict[str, list[Rule]], heads: bool, every: bool) -> DataFrame:
-    """Tokens a declaration can use (or ``every`` token), one row per token and
-    level: an opening bracket also starts the level inside it (``edge``)."""
-    marked = with_neighbours(tokens, before=3, after=2).selectExpr(
-        "*", f"{_name_rule(langs, extra)} AS rule", f"{_IN_GROUP} AS in_group", f"{_GENERIC} AS generic",
-        f"last({_ITEM_START}, true) OVER {RUNNING} AS head" if heads else f"{_NO_HEAD} AS head",
-        f"coalesce(last(CASE WHEN text = 'enum' THEN true WHEN text IN (';', '{{', '}}') THEN false END, true) OVER {BEFORE_IT}, false) AS of_enum"
-        if every else "false AS of_enum")
-    return marked.selectExpr("*", f"""inline(CASE
-        WHEN {OPENS} AND ({every} OR {_STRUCTURAL}) THEN array(struct(level AS lv, false AS edge), struct(level + 1 AS lv, true AS edge))
-        WHEN {every} OR rule IS NOT NULL OR in_group OR generic OR {_STRUCTURAL} THEN array(struct(level AS lv, false AS edge))
-        END)""")
-
-
 def _owner(cls: str, name: str, line: str, pos: str, head: str, p1: str, p2: str, starts: str) -> str:
     return (f"named_struct('cls', {cls}, 'name', {name}, 'line', {line}, 'pos', {pos}, 'head', {head},"
             f" 'p1', {p1}, 'p2', {p2}, 'starts', {starts})")
@@ -236,24 +226,54 @@ _SYMBOL = f"""CASE
     END"""
 
 
-def resolve(tokens: DataFrame, langs: list[str] | None = None,
-            extra: dict[str, list[Rule]] | None = None, heads: bool = False, every: bool = False) -> DataFrame:
+def _leveled(tokens: DataFrame, langs: list[str] | None, extra: dict[str, list[Rule]], heads: bool, keep: str | None, carry: list[str]) -> DataFrame:
+    """Tokens a declaration can use (and those that ``keep`` asks for), one row per token and
+    level: an opening bracket also starts the level inside it (``edge``).
+
+    The windows by level pass on every column of a row, so what they need of its neighbours is
+    put into values here that only brackets and names have; ``carry`` are further columns.
+    """
+    opened = _owner("p1_cls", "p1", "p1_line", "p1_pos", "head", "p2", "p3", "coalesce(p1_line > p2_line_end, true)")
+    named = _owner("cls", "text", "line", "pos", "head", "p1", "p2", "starts_line")
+    marked = with_neighbours(tokens, before=3, after=2).selectExpr(
+        "*", f"{_name_rule(langs, extra)} AS rule", f"{_IN_GROUP} AS in_group", f"{_GENERIC} AS generic", f"{_STRUCTURAL} AS structural",
+        f"coalesce({keep or 'false'}, false) AS kept", f"CASE WHEN {OPENS} THEN {MACRO_OPENS} END AS macro_open",
+        f"{_ITEM_START if heads else _NO_HEAD} AS item_start", *carry)
+    marked = marked.selectExpr(
+        "*", f"last(item_start, true) OVER {RUNNING} AS head" if heads else f"{_NO_HEAD} AS head",
+        f"coalesce(last(CASE WHEN text = 'enum' THEN true WHEN text IN (';', '{{', '}}') THEN false END, true) OVER {BEFORE_IT}, false) AS of_enum"
+        if keep else "false AS of_enum")
+    own = [column.rsplit(" AS ", 1)[-1] for column in carry]
+    marked = marked.where("kept OR structural OR rule IS NOT NULL OR in_group OR generic").selectExpr(
+        "file", "fid", "lang", "valid", "pos", "text", "line", "until", "n1", "n1_cls", "n1_line", "n1_pos", "n2", "level", "rule", "in_group", "macro_open", *own,
+        "CASE WHEN rule IS NOT NULL OR in_group THEN head END AS head",
+        f"CASE WHEN text = '(' THEN {opened} END AS opened", f"CASE WHEN generic THEN {named} END AS generic",
+        f"CASE WHEN {OPENS} THEN struct(text, p1, p2, pos, until, of_enum) END AS around")
+    return marked.selectExpr("* EXCEPT (level)", f"""inline(CASE
+        WHEN {OPENS} THEN array(struct(level AS lv, false AS edge), struct(level + 1 AS lv, true AS edge))
+        ELSE array(struct(level AS lv, false AS edge)) END)""")
+
+
+def resolve(tokens: DataFrame, langs: list[str] | None = None, extra: dict[str, list[Rule]] | None = None, heads: bool = False,
+            keep: str | None = None, carry: list[str] = (), levels: list[str] = ()) -> DataFrame:
     """Per token and level: ``own`` (the name before my bracket pair), ``encl``
     (the bracket around me), ``pend`` (the declaration waiting for its body)
     and ``sym`` where a declaration is complete. ``heads`` also finds where the
-    whole item starts; ``every`` keeps all tokens but comments."""
-    opened = _owner("p1_cls", "p1", "p1_line", "p1_pos", "head", "p2", "p3", "coalesce(p1_line > p2_line_end, true)")
-    named = _owner("cls", "text", "line", "pos", "head", "p1", "p2", "starts_line")
-    around = _leveled(tokens, langs, extra or {}, heads, every).selectExpr(
-        "*", f"last(CASE WHEN NOT edge AND {OPENS} THEN {MACRO_OPENS} END, true) OVER {SO_FAR} AS macro_pair",
-        f"last(CASE WHEN NOT edge AND text = '(' THEN {opened} END, true) OVER {SO_FAR} AS direct",
-        f"last(CASE WHEN generic THEN {named} WHEN {_STOPS} THEN {_NO_OWNER} END, true) OVER {SO_FAR} AS typed",
-        f"last(CASE WHEN edge THEN struct(text, p1, p2, pos, until, of_enum) END, true) OVER {SO_FAR} AS encl")
+    whole item starts.
+
+    ``keep`` is a condition for further tokens that are wanted, true for all but
+    comments; ``carry`` are columns that go along, from a token and its neighbours;
+    ``levels`` are windows over a level of what is carried."""
+    around = _leveled(tokens, langs, extra or {}, heads, keep, list(carry)).selectExpr(
+        "*", f"last(CASE WHEN NOT edge THEN macro_open END, true) OVER {SO_FAR} AS macro_pair",
+        f"last(CASE WHEN NOT edge THEN opened END, true) OVER {SO_FAR} AS direct",
+        f"last(CASE WHEN generic IS NOT NULL THEN generic WHEN {_STOPS} THEN {_NO_OWNER} END, true) OVER {SO_FAR} AS typed",
+        f"last(CASE WHEN edge THEN around END, true) OVER {SO_FAR} AS encl", *levels)
     owned = around.selectExpr("*", "CASE WHEN direct.name = '>' THEN typed ELSE direct END AS own")
     return owned.selectExpr("*", f"{_WAITS} AS waits").selectExpr(
         "*", f"last(waits, true) OVER {BEFORE} AS pend",
         f"last(CASE WHEN NOT edge AND text = '=' THEN pos END, true) OVER {BEFORE} AS equals_before",
-    ).selectExpr("*", f"{_SYMBOL} AS sym", f"""CASE WHEN edge OR NOT coalesce(macro_pair, false) THEN 0
+    ).selectExpr("* EXCEPT (opened, generic, around, waits, direct, typed)", f"{_SYMBOL} AS sym", f"""CASE WHEN edge OR NOT coalesce(macro_pair, false) THEN 0
         WHEN {OPENS} THEN 1 WHEN {CLOSES} THEN -1 ELSE 0 END AS macro""")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from srcatlas.functions.langs import resolve_lang
 from srcatlas.functions.paths import decode_capture, path_scope, source_text
-from srcatlas.operators.declarations import BACKWARDS, BEFORE, BEFORE_IT, MACRO_OPENS, SO_FAR, TS_MEMBER_STARTS, Rule, definition_spans, resolve, words_in
-from srcatlas.operators.tokens import BY_FILE, CLOSES, OPENS, RUNNING, captured, positioned, with_neighbours
+from srcatlas.operators.declarations import BEFORE, BEFORE_IT, MACRO_OPENS, SO_FAR, TS_MEMBER_STARTS, Rule, definition_spans, following, resolve, words_in
+from srcatlas.operators.tokens import BY_FILE, CLOSES, FILE, OPENS, captured, positioned, with_neighbours
 
 MAX_CAPTURES = 500
 
@@ -111,42 +111,65 @@ _OTHER_WORDS = "if for while switch catch function return func else sizeof in ty
 _SWIFT_BLOCKS = "else do get set willSet didSet defer repeat init deinit catch try return in throws rethrows async"
 _ENDS_VALUE = ("(coalesce(p1, '') IN (')', ']', '}', '?', '!') OR coalesce(p1_cls, '') IN ('ident', 'qualified', 'string', 'number', 'regex'))")
 # Where a chain of names, members, calls and indices starts.
-_STARTS_CHAIN = (f"(NOT edge AND NOT {CLOSES} AND NOT {words_in('p1', '. ?. -> ::')}"
+_STARTS_CHAIN = (f"(NOT {CLOSES} AND NOT {words_in('p1', '. ?. -> ::')}"
                  f" AND NOT ((text IN ('.', '?.', '->', '::', '?', '!', '(', '[') OR (lang = 'swift' AND text = '{{')) AND {_ENDS_VALUE}))")
 
 # What an opening bracket holds that is no code: attributes, macro arguments, patterns.
 _HIDES = {
-    "rust": f"""(text = '[' AND (p1 = '#' OR (p1 = '!' AND p2 = '#'))) OR {MACRO_OPENS}
-        OR (text = '(' AND (coalesce(p1, '') = 'let' OR stop = 'let'
-            OR (stop IN ('{{', '}}', ',', '|') AND next_stop IN ('=>', 'if'))))""",
+    "rust": """hiding OR (text = '(' AND (coalesce(site.p1, '') = 'let' OR stop = 'let'
+            OR (stop IN ('{', '}', ',', '|') AND next_stop IN ('=>', 'if'))))""",
     "python": "text = '(' AND in_case = 'case'",
+    "swift": "hiding",
+}
+_HIDING = {
+    "rust": f"(text = '[' AND (p1 = '#' OR (p1 = '!' AND p2 = '#'))) OR {MACRO_OPENS}",
     "swift": "text = '(' AND coalesce(p2, '') IN ('@', '#')",
 }
 _PARTS = "'=>', '=', ',', ';', '{', '}', 'if', 'let', '|', 'while', 'for', 'in', 'return', 'match', 'else', 'case'"
+# What tokens say to others of their level, by language: a value where they say something, and how it is looked up there.
+_STOP = f"CASE WHEN text IN ({_PARTS}) THEN text END"
+_SWIFT_MEMBER = f"CASE WHEN {words_in('text', 'case let var func static init')} THEN text END"
+_MEMBERS = "CASE WHEN text = ':' AND p1 IN (')', 'noexcept') THEN 'members' WHEN text IN (';', '{', '}') THEN 'none' END"
+_IN_CASE = "CASE WHEN text = 'case' AND starts_line THEN 'case' WHEN text IN (':', 'if') OR starts_line THEN 'none' END"
+_TYPED = """CASE WHEN cls = 'ident' AND n1 = '<' THEN named_struct('name', text, 'pos', pos, 'line', line, 'at', at, 'before', p1)
+    WHEN text IN ('(', ')', ';', '{', '}', '=', '&&', '||', '?') THEN named_struct('name', CAST(null AS STRING), 'pos', 0L, 'line', 0L, 'at', 0L, 'before', '') END"""
+_NO_TYPE = "named_struct('name', CAST(null AS STRING), 'pos', 0L, 'line', 0L, 'at', 0L, 'before', '')"
+_SAYS = {
+    "rust": {"part": (_STOP, f"last(CASE WHEN edge THEN text WHEN part IS NOT NULL THEN part END, true) OVER {BEFORE} AS stop")},
+    "cpp": {"listed": (_MEMBERS, f"last(CASE WHEN edge THEN 'none' ELSE listed END, true) OVER {BEFORE} AS in_list")},
+    "python": {"cased": (_IN_CASE, f"last(CASE WHEN edge THEN 'none' ELSE cased END, true) OVER {BEFORE} AS in_case")},
+    "swift": {"word": (_SWIFT_MEMBER, f"last(CASE WHEN edge THEN 'none' ELSE word END, true) OVER {BEFORE} AS member")},
+    "typescript": {"typing": (_TYPED, f"last(CASE WHEN edge THEN {_NO_TYPE} ELSE typing END, true) OVER {BEFORE} AS typed_name")},
+}
+# The next such token, or the start of the next bracket of the level inside.
+_NEXT = {
+    "rust": ("ahead", "CASE WHEN edge THEN 'edge' WHEN part <> '|' THEN part END", "next_stop"),
+    "cpp": ("ahead", "CASE WHEN edge THEN 'edge' WHEN text IN (';', '{', '}') THEN text END", "next_end"),
+}
 
 
-def _call_rows(files: DataFrame, lang: str) -> DataFrame:
-    """Every token with what decides about calls: the declaration that starts
-    next, its bracket's other end, and the brackets around that hold no code."""
-    rows = resolve(positioned(files, [lang]), [lang], every=True)
-    rows = rows.selectExpr(
-        "*", f"last(CASE WHEN NOT edge THEN sym END, true) OVER {BACKWARDS} AS declared",
-        f"last(CASE WHEN NOT edge AND {CLOSES} THEN struct(line, line_end, until, n1) END, true) OVER {BACKWARDS} AS closed",
-        f"last(CASE WHEN edge THEN 'edge' WHEN text IN ({_PARTS}) AND text <> '|' THEN text END, true) OVER {BACKWARDS} AS next_stop",
-        f"last(CASE WHEN edge THEN 'edge' WHEN text IN (';', '{{', '}}') THEN text END, true) OVER {BACKWARDS} AS next_end")
-    rows = rows.selectExpr(
-        "*", f"last(CASE WHEN edge OR text IN ({_PARTS}) THEN text END, true) OVER {BEFORE} AS stop",
-        f"last(CASE WHEN text = ':' AND p1 IN (')', 'noexcept') THEN 'members' WHEN edge OR text IN (';', '{{', '}}') THEN 'none' END, true) OVER {BEFORE} AS in_list",
-        f"last(CASE WHEN text = 'case' AND starts_line THEN 'case' WHEN text IN (':', 'if') OR starts_line OR edge THEN 'none' END, true) OVER {BEFORE} AS in_case",
-        f"last(CASE WHEN {words_in('text', 'case let var func static init')} THEN text WHEN edge THEN 'none' END, true) OVER {BEFORE} AS member",
-        f"last(CASE WHEN {_STARTS_CHAIN} THEN struct(at, line) END, true) OVER {SO_FAR} AS chain",
-        f"""last(CASE WHEN cls = 'ident' AND n1 = '<' THEN named_struct('name', text, 'pos', pos, 'line', line, 'at', at, 'before', p1)
-            WHEN edge OR text IN ('(', ')', ';', '{{', '}}', '=', '&&', '||', '?') THEN named_struct('name', CAST(null AS STRING), 'pos', 0L, 'line', 0L, 'at', 0L, 'before', '')
-            END, true) OVER {BEFORE} AS typed_name""")
-    rows = rows.selectExpr("*", f"NOT edge AND {OPENS} AND coalesce({_HIDES.get(lang, 'false')}, false) AS hides")
-    rows = rows.selectExpr("*", f"last(CASE WHEN NOT edge AND {OPENS} THEN hides END, true) OVER {SO_FAR} AS hidden_pair")
-    rows = rows.selectExpr("*", f"""CASE WHEN hides THEN 1 WHEN NOT edge AND {CLOSES} AND coalesce(hidden_pair, false) THEN -1 ELSE 0 END AS step""")
-    return rows.selectExpr("*", f"sum(step) OVER {RUNNING} AS hidden") if lang in _HIDES else rows.selectExpr("*", "0L AS hidden")
+def _call_rows(files: DataFrame, lang: str, methods: bool) -> DataFrame:
+    """Brackets, and other tokens that decide about calls, with what decides: the declaration that
+    starts next, the other end of a bracket, and whether what it holds is code (``hides``).
+    ``site`` is what stands at an opening bracket and before it."""
+    carry = [f"CASE WHEN {OPENS} THEN struct(p1, p1_cls, p1_pos, p1_line, p1_at, p2, p2_cls, p2_line_end, line_end, brace, at) END AS site",
+             f"CASE WHEN {CLOSES} THEN struct(line, line_end, until, n1) END AS closing"]
+    levels, keep = [f"{following('closing')} AS closed"], [OPENS, CLOSES]
+    for name, (value, window) in _SAYS.get(lang, {}).items():
+        carry.append(f"{value} AS {name}")
+        keep.append(f"{value} IS NOT NULL")
+        levels.append(window)
+    if lang in _NEXT:
+        levels.append(f"{following(_NEXT[lang][1])} AS {_NEXT[lang][2]}")
+    if lang in _HIDING:
+        carry.append(f"coalesce({_HIDING[lang]}, false) AS hiding")
+    if methods:
+        carry.append(f"CASE WHEN {_STARTS_CHAIN} THEN struct(at, line) END AS link")
+        keep.append(_STARTS_CHAIN)
+        levels.append(f"last(CASE WHEN NOT edge THEN link END, true) OVER {SO_FAR} AS chain")
+    rows = resolve(positioned(files, [lang]), [lang], keep=" OR ".join(f"({k})" for k in keep), carry=carry, levels=levels)
+    rows = rows.selectExpr("*", "CASE WHEN NOT edge THEN sym END AS starting").selectExpr("*", f"{following('starting')} AS declared")
+    return rows.where("NOT edge AND site IS NOT NULL").selectExpr("* EXCEPT (own)", "site.*", f"coalesce({_HIDES.get(lang, 'false')}, false) AS hides")
 
 
 def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool = False) -> DataFrame:
@@ -160,7 +183,7 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
     """
     if lang == "bash":
         return _bash_commands(files, name)
-    rows = _call_rows(files, lang).where("NOT edge AND hidden = 0")
+    rows = _call_rows(files, lang, methods)
     direct = "named_struct('name', p1, 'cls', p1_cls, 'pos', p1_pos, 'line', p1_line, 'at', p1_at, 'before', p2, 'starts', coalesce(p1_line > p2_line_end, true))"
     opens = "text = '(' AND p1_cls = 'ident'"
     if lang == "swift":
@@ -172,37 +195,46 @@ def calls(files: DataFrame, lang: str, name: str | None = None, methods: bool =
         opens = f"(({opens}) OR (text = '(' AND generic_name.name IS NOT NULL))"
         direct = (f"CASE WHEN p1 = '>' THEN named_struct('name', generic_name.name, 'cls', 'ident', 'pos', generic_name.pos, 'line', generic_name.line,"
                   f" 'at', generic_name.at, 'before', generic_name.before, 'starts', false) ELSE {direct} END")
-    rows = rows.where(opens).selectExpr("* EXCEPT (own)", f"{direct} AS own", "text AS opener").where("coalesce(declared.pos, -1) <> own.pos")
-    if name is not None:
-        rows = rows.where(F.col("own.name") == name)
-    else:
-        rows = rows.where(f"NOT {words_in('own.name', _WORDS.get(lang, _OTHER_WORDS))}")
+    rows = rows.selectExpr("*", f"{direct} AS own", "text AS opener")
+    tests = [opens, "coalesce(declared.pos, -1) <> own.pos"]
+    if name is None:
+        tests.append(f"NOT {words_in('own.name', _WORDS.get(lang, _OTHER_WORDS))}")
     if methods:
-        rows = rows.where(words_in("own.before", _MEMBER))
+        tests.append(words_in("own.before", _MEMBER))
     else:
-        rows = rows.where(f"NOT {words_in('own.before', _MEMBER + ' :: ' + _DECLARES)}")
+        tests.append(f"NOT {words_in('own.before', _MEMBER + ' :: ' + _DECLARES)}")
         if lang in ("javascript", "typescript", "c", "cpp"):
-            rows = rows.where("coalesce(closed.n1, '') <> '{'")
+            tests.append("coalesce(closed.n1, '') <> '{'")
         if lang == "typescript":
-            rows = rows.where(f"NOT (coalesce(closed.n1, '') = ':' AND (own.starts OR {words_in('own.before', TS_MEMBER_STARTS)}))")
+            tests.append(f"NOT (coalesce(closed.n1, '') = ':' AND (own.starts OR {words_in('own.before', TS_MEMBER_STARTS)}))")
         if lang in ("c", "cpp"):
-            rows = rows.where(f"coalesce(p2_cls, '') <> 'ident' OR {words_in('own.before', _C_KEYWORDS)}")
-            rows = rows.where("NOT (brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
+            tests.append(f"coalesce(p2_cls, '') <> 'ident' OR {words_in('own.before', _C_KEYWORDS)}")
+            tests.append("NOT (brace = 0 AND coalesce(own.before, '') IN ('*', '&', '&&'))")
         if lang == "cpp":  # names in the list between a constructor and its body
-            rows = rows.where("NOT (coalesce(in_list, '') = 'members' AND coalesce(next_end, '') = '{')")
+            tests.append("NOT (coalesce(in_list, '') = 'members' AND coalesce(next_end, '') = '{')")
         if lang == "go":
-            rows = rows.where("coalesce(own.before, '') <> ')' AND NOT (coalesce(encl.text, '') = '{' AND coalesce(encl.p1, '') = 'interface')")
+            tests.append("coalesce(own.before, '') <> ')' AND NOT (coalesce(encl.text, '') = '{' AND coalesce(encl.p1, '') = 'interface')")
         if lang == "rust":  # variants of an enum
-            rows = rows.where("NOT coalesce(encl.text = '{' AND encl.of_enum, false)")
+            tests.append("NOT coalesce(encl.text = '{' AND encl.of_enum, false)")
         if lang == "swift":
-            rows = rows.where("coalesce(own.before, '') NOT IN ('@', '#') AND NOT (own.name IN ('init', 'subscript') AND opener = '(')"
-                              " AND NOT coalesce(encl.text = '{' AND encl.of_enum AND member = 'case', false)")
+            tests.append("coalesce(own.before, '') NOT IN ('@', '#') AND NOT (own.name IN ('init', 'subscript') AND opener = '(')"
+                         " AND NOT coalesce(encl.text = '{' AND encl.of_enum AND member = 'case', false)")
         if lang in ("javascript", "typescript"):
-            rows = rows.where("NOT (own.name = 'async' AND coalesce(closed.n1, '') = '=>')")
-    return rows.selectExpr(
-        "file", "valid", "own.pos AS pos", "own.name AS name", "own.line AS line", "own.line AS start_line",
-        "coalesce(closed.line_end, line_end) AS end_line", "own.at AS start_at", "coalesce(closed.until, until) AS end_at",
-        "coalesce(chain.line, own.line) AS value_line", "coalesce(chain.at, own.at) AS value_at")
+            tests.append("NOT (own.name = 'async' AND coalesce(closed.n1, '') = '=>')")
+    wanted = F.expr(" AND ".join(f"({test})" for test in tests))
+    if name is not None:
+        wanted = wanted & (F.col("own.name") == name)
+    found = ["file", "valid", "own.pos AS pos", "own.name AS name", "own.line AS line", "own.line AS start_line",
+             "coalesce(closed.line_end, line_end) AS end_line", "own.at AS start_at", "coalesce(closed.until, until) AS end_at",
+             *(["coalesce(chain.line, own.line) AS value_line", "coalesce(chain.at, own.at) AS value_at"] if methods else
+               ["own.line AS value_line", "own.at AS value_at"])]
+    if lang not in _HIDES:
+        return rows.where(wanted).selectExpr(*found)
+    # A call is hidden where a bracket that holds no code, its own too, was opened so far and closes behind it.
+    rows = rows.withColumn("wanted", F.coalesce(wanted, F.lit(False))).where("wanted OR hides").selectExpr(
+        "fid", "wanted", "at", f"CASE WHEN hides THEN coalesce(closed.until, {1 << 62}) END AS hides_until", *found)
+    rows = rows.selectExpr("*", f"max(hides_until) OVER (PARTITION BY {FILE} ORDER BY at ROWS UNBOUNDED PRECEDING) AS hidden_until")
+    return rows.where("wanted AND coalesce(hidden_until <= at, true)").drop("fid", "wanted", "at", "hides_until", "hidden_until")
 
 
 _BASH_RESERVED = ("('if', 'then', 'elif', 'else', 'fi', 'for', 'in', 'do', 'done', 'while', 'until', 'case', 'esac', 'select',"
