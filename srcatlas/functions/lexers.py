@@ -223,6 +223,23 @@ def _open_strings(lang: str, tokens: Column, levels: int = HOLES) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("(?s)" + shape), opened(t)).otherwise(F.array(t))))
 
 
+# Texts above this size are cut in steps: the tokens of a whole file would be one array in memory.
+LONG = 1 << 20
+STEP = 10_000
+# Lexers that look at nothing before a token; a text that starts at one is then cut as it would be within the file.
+WITHOUT_LOOKBEHIND = ("go", "python", "rust", "swift")
+
+
+def steps(lang: Column, src: Column, langs: list[str] | None = None) -> Column:
+    """Array of texts of ``STEP`` tokens that make up a long text; a shorter one stays whole."""
+    out = F.array(src)
+    for name in langs or LEXERS:
+        if name in WITHOUT_LOOKBEHIND:
+            many = F.regexp_extract_all(src, F.lit(f"(?:{LEXERS[name]}){{1,{STEP}}}+"), F.lit(0))
+            out = F.when((lang == name) & (F.octet_length(src) > LONG), many).otherwise(out)
+    return out
+
+
 def cut(lang: Column, src: Column, langs: list[str] | None = None) -> Column:
     """Array of raw tokens (each with the white space before it)."""
     chain = None

@@ -12,9 +12,9 @@ of hundreds of calls that build a column tree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from srcatlas.functions.lexers import TOKEN_CLASS, cut
+from srcatlas.functions.lexers import TOKEN_CLASS, cut, steps
 from srcatlas.functions.paths import decode_capture, source_text
 
 # Paths of a corpus begin alike, so sorts by path compare whole texts. A hash of the path
@@ -120,11 +120,25 @@ def cut_files(files: DataFrame, langs: list[str] | None = None, clustered: bool
     chosen = chosen.withColumn("valid", F.is_valid_utf8("src"))
     if not clustered:
         chosen = chosen.repartition(partition_count(files.sparkSession), "file")
-    # Tokens then come out all but sorted, which their sorts make use of.
-    chosen = chosen.withColumn("fid", F.xxhash64("file")).sortWithinPartitions("fid", "file")
-    raws = cut(F.col("lang"), F.col("src"), langs)
+    chosen = chosen.withColumn("fid", F.xxhash64("file"))
     if langs and not {"c", "cpp"} & set(langs):
-        return chosen.select("file", "fid", "lang", "valid", F.posexplode(raws).alias("pos", "raw"), *[F.lit(0).cast("bigint").alias(f"fix_{d}") for d in DEPTHS])
+        kept = ["file", "fid", "lang", "valid"]
+        rows = chosen.select(*kept, steps(F.col("lang"), F.col("src"), langs).alias("texts"))
+        rows = rows.select(*kept, (F.size("texts") > 1).alias("long"), F.posexplode("texts").alias("step", "src"))
+        # Tokens then come out all but sorted, which their sorts make use of. Behind a window, texts come one by one too:
+        # Spark holds all the rows that one row is exploded into, so that two explodes in a row would hold a whole file.
+        rows = rows.sortWithinPartitions("fid", "file", "step")
+        raws = cut(F.col("lang"), F.col("src"), langs)
+        # The last of each array is the empty token at the end of a text, which no step but the last has in the file.
+        rows = rows.withColumn("many", F.when(F.col("long"), F.size(raws) - 1).otherwise(0))
+        before = Window.partitionBy("fid", "file").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select(*kept, "long", "src", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first"))
+        rows = rows.select(*kept, "long", "first", raws.alias("raws"))
+        raws = F.when(F.col("long"), F.slice("raws", F.lit(1), F.size("raws") - 1)).otherwise(F.col("raws"))
+        rows = rows.select(*kept, "first", F.posexplode(raws).alias("nth", "raw"))
+        return rows.select(*kept, (F.col("first") + F.col("nth")).alias("pos"), "raw", *[F.lit(0).cast("bigint").alias(f"fix_{d}") for d in DEPTHS])
+    chosen = chosen.sortWithinPartitions("fid", "file")
+    raws = cut(F.col("lang"), F.col("src"), langs)
     parts = _arms(chosen.select("file", "fid", lang, "valid", raws.alias("raws"), F.expr(_WITH_ARMS).alias("forked")))
     fixes = [f"fix_{d}" for d in DEPTHS]
     tokens = parts.select("file", "fid", lang, "valid", "at_pos", *fixes, F.posexplode("part").alias("nth", "raw"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpora import spark as cs
 from helpers import corpus
 from srcatlas import configure
+from srcatlas.functions import lexers
 from srcatlas.operators import structural
 from srcatlas.operators.declarations import extract_symbols
 from srcatlas.operators.nodes import nodes_from_source
@@ -84,3 +85,33 @@ def test_arms_of_directives_are_windows_over_directives(spark):
     assert tokens[0].count("Sort [") == 3
     assert sorted((r.file, r.name, r.line) for r in found.collect() if r.file < "c") == sorted(
         (file, *row) for file in ("a.c", "b.cpp") for row in (("f", 2), ("f", 4), ("h", 8)))
+
+
+def test_files_are_cut_once_for_nodes(spark):
+    files = corpus(spark, {"a.rs": "fn f() { g(h[1]); }\n", "b.rs": "fn i() {}\n"})
+    nodes = nodes_from_source(files, "rust")
+    assert plan(nodes).count("posexplode(") == plan(tokenize(files, "rust")).count("posexplode(")
+    assert sorted(r.text for r in nodes.where("type IN ('fn', 'call', 'square')").collect()) == ["[1]", "fn f() { g(h[1]); }", "fn i() {}", "g(h[1])"]
+    twice = nodes_from_source(files.unionByName(files.where("path = 'b.rs'")), "rust")
+    assert twice.where("file = 'b.rs' AND text = 'i'").count() == 2
+
+
+def test_calls_take_one_sort_by_level(spark):
+    text = "def f(a):\n    match g(1):\n        case P(x) | Q(h(y)) if ok(x):\n            z(k[0](2))\n"
+    calls = structural.find_calls(corpus(spark, {"a.py": text}), None, "python")
+    assert plan(calls).count("Sort [fid") == 4 and "DESC" not in plan(calls)
+    assert sorted(r.text for r in calls.where("capture = '@call'").collect()) == ["g(1)", "ok(x)", "z(k[0](2))"]
+
+
+def test_long_files_are_cut_in_steps(spark, monkeypatch):
+    texts = {"a.py": "x = f'a {f(1)} b' + \"c\"\n'''d\n''' \\\n" * 9 + "def e(): pass\n", "b.rs": "fn a<'b>() { 'c'; r#\"d\"# } /* e /* f */ */\n" * 9 + "'", "c.go": "", "d.js": "/a/; b / c\n"}
+    files = corpus(spark, texts)
+    langs = ("python", "rust", "go", "javascript")
+    whole = {lang: sorted(map(tuple, tokenize(files, lang).collect())) for lang in langs}
+    monkeypatch.setattr(lexers, "LONG", 10)
+    monkeypatch.setattr(lexers, "STEP", 7)
+    for lang in langs:
+        rows = tokenize(files, lang)
+        assert sorted(map(tuple, rows.collect())) == whole[lang]
+        # Steps come out of a sort, one by one: rows that one row is exploded into are all held.
+        assert ("{1,7}" in plan(rows)) == (lang != "javascript") and "Sort [" in plan(rows).split("Generate posexplode")[1]
